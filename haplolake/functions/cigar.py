@@ -31,7 +31,8 @@ def consumed(parts: Column, codes: tuple[str, ...]) -> Column:
 
 
 def reference_length(cigar: Column) -> Column:
-    return F.coalesce(consumed(ops(cigar), REFERENCE_OPS), F.lit(0))
+    single = F.regexp_extract(cigar, r"^(\d+)M$", 1).try_cast("int")
+    return F.when(cigar.rlike(r"^\d+M$"), single).otherwise(F.coalesce(consumed(ops(cigar), REFERENCE_OPS), F.lit(0)))
 
 
 def query_length(cigar: Column) -> Column:
@@ -64,7 +65,12 @@ def placed(cigar: Column, start: Column) -> Column:
             F.concat(s["out"], F.array(item)).alias("out"),
         )
 
-    return F.aggregate(ops(cigar), state, step, lambda s: s["out"])
+    whole = F.struct(
+        F.regexp_extract(cigar, r"^(\d+)M$", 1).try_cast("int").alias("len"), F.lit("M").alias("op"), start.cast("int").alias("ref"), F.lit(0).alias("query")
+    )
+    general = F.aggregate(ops(cigar), state, step, lambda s: s["out"])
+    # most reads match in one piece and skip the fold
+    return F.when(cigar.rlike(r"^\d+M$"), F.array(whole).cast(_PLACED)).otherwise(general)
 
 
 def text(parts: Column) -> Column:

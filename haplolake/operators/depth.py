@@ -171,33 +171,41 @@ def pileup(
     adjustment is made.
     """
     spots = positions.select("contig", "pos").distinct().select(
-        "contig", F.col("pos").cast("long").alias("pos0_"), (F.col("pos") - 1).cast("long").alias("start"), F.col("pos").cast("long").alias("end")
+        "contig", F.col("pos").cast("long").alias("pos"), (F.col("pos") - 1).cast("long").alias("start"), F.col("pos").cast("long").alias("end")
     )
-    columns = ["contig", "start", "end", "flag", "mapq", "cigar", "seq"] + (["qual"] if "qual" in a.columns else [])
-    reads = as_intervals(filter_alignments(a, min_mapq, exclude_flags)).select(*columns)
-    pairs = overlap_join(reads, spots).withColumn("_ops", C.placed(F.col("cigar"), F.col("start")))
-    at = (F.col("pos0_") - 1).cast("int")
-    here = F.get(
-        F.filter(
-            "_ops", lambda p: p["op"].isin(*C.REFERENCE_OPS) & (p["op"] != "N") & (p["ref"] <= at) & (p["ref"] + p["len"] > at)
-        ),
-        F.lit(0),
+    # one row per aligned or deleted stretch of a read, with the text of that stretch and of the indel behind it
+    reads = as_intervals(filter_alignments(a, min_mapq, exclude_flags)).withColumn("_ops", C.placed(F.col("cigar"), F.col("start")))
+    stretch = F.transform("_ops", lambda p, i: F.struct(p.alias("here"), F.get("_ops", i + 1).alias("next")))
+    wanted = F.filter(stretch, lambda s: s["here"]["op"].isin(*C.ALIGNED_OPS, "D"))
+    rows = reads.select("contig", "seq", *(["qual"] if "qual" in a.columns else []), "mapq", has(REVERSE).alias("_rev"), F.explode(wanted).alias("s"))
+    here, after = F.col("s.here"), F.col("s.next")
+    solid = here["op"] != "D"
+
+    def text(name: str) -> Column:
+        return F.when(solid, F.substr(name, here["query"] + 1, here["len"]))
+
+    rows = rows.select(
+        "contig",
+        "mapq",
+        F.when(F.col("_rev"), "-").otherwise("+").alias("strand"),
+        here["ref"].cast("long").alias("start"),
+        (here["ref"] + here["len"]).cast("long").alias("end"),
+        text("seq").alias("_text"),
+        (text("qual") if "qual" in a.columns else F.lit(None).cast("string")).alias("_qual"),
+        F.when(solid & (after["op"] == "I"), F.substr("seq", after["query"] + 1, after["len"])).alias("_ins"),
+        F.when(solid & (after["op"] == "D"), after["len"]).alias("_del"),
     )
-    pairs = pairs.withColumn("_p", here).filter(F.col("_p").isNotNull())
-    solid = F.col("_p.op").isin(*C.ALIGNED_OPS)
-    offset = F.col("_p.query") + at - F.col("_p.ref") + 1
-    last = at == F.col("_p.ref") + F.col("_p.len") - 1
-    following = F.get(F.filter("_ops", lambda p: p["op"].isin("I", "D") & (p["ref"] == at + 1)), F.lit(0))
-    pairs = pairs.withColumn("_next", F.when(solid & last, following))
-    quality = F.ascii(F.substr("qual", offset, F.lit(1))) - 33 if "qual" in a.columns else F.lit(None).cast("int")
+    pairs = overlap_join(rows, spots)
+    at = (F.col("start_b") - F.col("start") + 1).cast("int")
+    last = F.col("end_b") == F.col("end")
     out = pairs.select(
         "contig",
-        F.col("pos0_").alias("pos"),
-        F.when(solid, F.substr("seq", offset, F.lit(1))).otherwise("*").alias("base"),
-        F.when(has(REVERSE), "-").otherwise("+").alias("strand"),
-        F.when(F.col("_next.op") == "I", F.substr("seq", F.col("_next.query") + 1, F.col("_next.len"))).alias("ins"),
-        F.when(F.col("_next.op") == "D", F.col("_next.len")).alias("del_len"),
-        F.when(solid, quality).alias("baseq"),
+        "pos",
+        F.coalesce(F.substr("_text", at, F.lit(1)), F.lit("*")).alias("base"),
+        "strand",
+        F.when(last, F.col("_ins")).alias("ins"),
+        F.when(last, F.col("_del")).alias("del_len"),
+        (F.ascii(F.substr("_qual", at, F.lit(1))) - 33).alias("baseq"),
         "mapq",
     )
     return out.filter(F.col("baseq").isNull() | (F.col("baseq") >= min_baseq)) if min_baseq else out

@@ -352,7 +352,7 @@ def find_feature(spark, d):
 
 @query(
     "strand_filter",
-    """SELECT v.sample, v.chrom, v.pos, v.ref, v.alt, CASE WHEN coalesce(f.p, 1.0e0) < 0.2e0 AND c.chrom IS NOT NULL THEN 'StrandBias' ELSE '.' END AS filter FROM v_variants v
+    """SELECT v.sample, v.chrom, v.pos, v.ref, v.alt, CASE WHEN coalesce(f.p, 1.0e0) < 0.123e0 AND c.chrom IS NOT NULL THEN 'StrandBias' ELSE '.' END AS filter FROM v_variants v
        LEFT JOIN counts c ON c.chrom = v.chrom AND c.pos = v.pos AND c.ref = v.ref AND c.alt = v.alt
        LEFT JOIN fisher f ON f.a = ref_fwd AND f.b = ref_rev AND f.c = alt_fwd AND f.d = alt_rev""",
     _AV,
@@ -362,5 +362,5 @@ def strand_filter(spark, d):
     v = view(spark, d, "v_variants").select(
         "sample", "chrom", "pos", "ref", F.array("alt").alias("alts"), strings().alias("filters"), X.empty_map().alias("info"), F.create_map(F.lit("GT"), F.col("gt")).alias("fmt")
     )
-    out = D.strand_bias(v, D.pileup(alignments(spark, d), _positions(spark, d)), 0.2)
+    out = D.strand_bias(v, D.pileup(alignments(spark, d), _positions(spark, d)), 0.123)
     return out.select("sample", "chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), X.format_filters(F.col("filters")).alias("filter"))
