@@ -87,10 +87,16 @@ def mad_outliers(spark, d):
     return K.lower_mad(view(spark, d, "v_aligned")).select("sequence", "aligned", "mad_median", "mad_scaled", "removed")
 
 
-@query("filter_samples")
+@query(
+    "filter_samples",
+    """SELECT sequence, aligned, aligned < 60 AS removed, CASE WHEN aligned < 60 THEN 'removed_by_gmm' ELSE 'retained_by_gmm' END AS filter_reason FROM v_aligned
+       UNION ALL SELECT 'reference', 100.0e0, false, 'reference'""",
+    ("v_aligned",),
+)
 def filter_samples(spark, d):
-    ref = spark.range(1).select(F.lit("reference").alias("sequence"), F.lit(100.0).alias("aligned"))
-    return K.filter_samples(view(spark, d, "v_aligned").unionByName(ref))
+    aligned = view(spark, d, "v_aligned")
+    ref = aligned.limit(1).select(F.lit("reference").alias("sequence"), F.lit(100.0).alias("aligned"))
+    return K.filter_samples(aligned.unionByName(ref)).select("sequence", "aligned", "removed", "filter_reason")
 
 
 @query(

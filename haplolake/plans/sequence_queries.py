@@ -17,7 +17,7 @@ from haplolake.plans.views import table, view
 _S = ("v_sequences",)
 
 
-@query("clean_bases", "SELECT contig, regexp_replace(translate(upper(raw), 'U', 'T'), '[^ACGTN]', 'N', 'g') AS seq FROM v_sequences", _S)
+@query("clean_bases", "SELECT contig, regexp_replace(translate(upper(replace(raw, 'ß', 'ss')), 'U', 'T'), '[^ACGTN]', 'N', 'g') AS seq FROM v_sequences", _S)
 def clean_bases(spark, d):
     return view(spark, d, "v_sequences").select("contig", A.clean_bases(F.col("raw")).alias("seq"))
 
@@ -101,7 +101,7 @@ def mask_sequences(spark, d):
        FROM (SELECT g.sample, s.contig, unnest(range(length(s.seq))) AS p, unnest(string_split(s.seq, '')) AS b FROM v_sequences s, (SELECT DISTINCT sample FROM v_alleles) g) q
        LEFT JOIN written w ON w.sample = q.sample AND w.contig = q.contig AND w.p = q.p GROUP BY 1, 2""",
     ("v_alleles",),
-    """RECURSIVE usable AS (SELECT sample, contig, pos, arg_min(ref, rec_no * 1000 + length(ref) * 10) AS ref, arg_min(alt, rec_no * 1000 + length(ref) * 10) AS alt
+    """RECURSIVE usable AS (SELECT sample, contig, pos, arg_min(ref, rec_no) AS ref, arg_min(alt, rec_no) AS alt
         FROM (SELECT * FROM v_alleles WHERE pos % 11 <> 0 AND length(alt) <= length(ref)) GROUP BY 1, 2, 3),
       ranked AS (SELECT *, row_number() OVER (PARTITION BY sample, contig ORDER BY pos) AS i FROM usable),
       walk AS (SELECT sample, contig, pos, ref, alt, i, pos + length(ref) AS free, true AS kept FROM ranked WHERE i = 1

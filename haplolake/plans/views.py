@@ -100,7 +100,8 @@ VIEWS: dict[str, str] = {
         FROM documents""",
     # edits whose REF agrees with v_sequences
     "v_edits": """
-        SELECT sample, contig, pos, substr(min(seq), CAST(pos AS INT), span) AS ref, kind, gt, step, min(id) AS rec_no
+        SELECT sample, contig, pos, substr(min(seq), CAST(pos AS INT), span) AS ref, kind, gt, step,
+               min(id) * 16 + step * 4 + CASE kind WHEN 'del' THEN 0 WHEN 'mnp' THEN 1 WHEN 'ins' THEN 2 ELSE 3 END AS rec_no
         FROM (SELECT l.l_returnflag AS sample, s.contig, s.seq,
                      CAST((l.l_partkey * 7 + l.l_linenumber * 31) % (length(s.seq) - 8) + 1 AS BIGINT) AS pos,
                      CAST(CASE WHEN l.l_partkey % 5 = 0 THEN 4 WHEN l.l_partkey % 5 = 1 THEN 2 ELSE 1 END AS INT) AS span,
@@ -109,8 +110,8 @@ VIEWS: dict[str, str] = {
                      CASE WHEN l.l_linenumber = 7 THEN '0/1' ELSE '1/1' END AS gt,
                      CAST(1 + l.l_suppkey % 3 AS INT) AS step,
                      l.l_orderkey * 8 + l.l_linenumber AS id
-              FROM lineitem l
-              JOIN v_sequences s ON s.ord = l.l_orderkey % (SELECT count(*) FROM documents)
+              FROM (SELECT *, l_orderkey % (SELECT count(*) FROM documents) AS doc FROM lineitem) l
+              JOIN v_sequences s ON s.ord = l.doc
               WHERE length(s.seq) > 16) e
         GROUP BY sample, contig, pos, span, kind, gt, step""",
     "v_alleles": """
