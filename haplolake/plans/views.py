@@ -96,15 +96,17 @@ VIEWS: dict[str, str] = {
         SELECT CAST(doc_id AS STRING) AS contig,
                translate(lower(text), '{_LETTERS}', '{_BASES}') AS raw,
                regexp_replace(translate(lower(text), '{_LETTERS}', '{_BASES}'), '[^ACGT]', 'N'{{g}}) AS seq,
+               length(regexp_replace(translate(lower(text), '{_LETTERS}', '{_BASES}'), '[^ACGT]', 'N'{{g}})) AS n,
                source AS sample, doc_id AS ord
         FROM documents""",
     # edits whose REF agrees with v_sequences
     "v_edits": """
-        SELECT sample, contig, pos, substr(min(seq), CAST(pos AS INT), span) AS ref, kind, gt, step,
+        SELECT sample, contig, pos, min(ref) AS ref, kind, gt, step,
                min(id) * 16 + step * 4 + CASE kind WHEN 'del' THEN 0 WHEN 'mnp' THEN 1 WHEN 'ins' THEN 2 ELSE 3 END AS rec_no
-        FROM (SELECT l.l_returnflag AS sample, s.contig, s.seq,
-                     CAST((l.l_partkey * 7 + l.l_linenumber * 31) % (length(s.seq) - 8) + 1 AS BIGINT) AS pos,
-                     CAST(CASE WHEN l.l_partkey % 5 = 0 THEN 4 WHEN l.l_partkey % 5 = 1 THEN 2 ELSE 1 END AS INT) AS span,
+        FROM (SELECT l.l_returnflag AS sample, s.contig,
+                     CAST((l.l_partkey * 7 + l.l_linenumber * 31) % (s.n - 8) + 1 AS BIGINT) AS pos,
+                     substr(s.seq, CAST((l.l_partkey * 7 + l.l_linenumber * 31) % (s.n - 8) + 1 AS INT),
+                            CAST(CASE WHEN l.l_partkey % 5 = 0 THEN 4 WHEN l.l_partkey % 5 = 1 THEN 2 ELSE 1 END AS INT)) AS ref,
                      CASE WHEN l.l_partkey % 5 = 0 THEN 'del' WHEN l.l_partkey % 5 = 1 THEN 'mnp'
                           WHEN l.l_partkey % 5 = 2 THEN 'ins' ELSE 'snp' END AS kind,
                      CASE WHEN l.l_linenumber = 7 THEN '0/1' ELSE '1/1' END AS gt,
@@ -112,8 +114,8 @@ VIEWS: dict[str, str] = {
                      l.l_orderkey * 8 + l.l_linenumber AS id
               FROM (SELECT *, l_orderkey % (SELECT count(*) FROM documents) AS doc FROM lineitem) l
               JOIN v_sequences s ON s.ord = l.doc
-              WHERE length(s.seq) > 16) e
-        GROUP BY sample, contig, pos, span, kind, gt, step""",
+              WHERE s.n > 16) e
+        GROUP BY sample, contig, pos, kind, gt, step""",
     "v_alleles": """
         SELECT sample, contig, pos, rec_no, ref, gt,
                CASE kind WHEN 'del' THEN substr(ref, 1, 1)
