@@ -217,7 +217,7 @@ def read_delta(spark: SparkSession, paths: Paths) -> DataFrame:
     head = F.split(F.substring_index("v", "\n", 1), r"\s+")
     body = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n", ""), r"\s+$", "")
     blocks = pair.select(head[0].alias("ref"), head[1].alias("qry"), F.explode(F.split(body, r"(?m)\n0$\n?")).alias("b")).filter(F.trim("b") != "")
-    lines = F.filter(F.transform(F.split("b", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("b", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     blocks = blocks.withColumn("_l", lines).withColumn("_h", F.split(F.col("_l")[0], r"\s+")).filter(F.size("_h") == 7)
     n = F.transform("_h", lambda x: x.try_cast("int"))
     offsets = F.transform(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), lambda x: x.cast("int"))
