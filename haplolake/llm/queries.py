@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, sharding, topk
-from haplolake.llm.common import documents
+from haplolake.llm import bpe, mixing, quality, sharding, topk, toxicity
+from haplolake.llm.common import documents, labels, remainder_of
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def _held_out():
+    return (remainder_of(F.col("doc_id")) == 0).alias("held_out")
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.classify_quality(documents(spark, folder).select("doc_id", "text"), labels(spark, folder))
+    return scored.select("doc_id", _held_out(), "score", "predicted")
+
+
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_documents(documents(spark, folder).select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.classify_toxicity(documents(spark, folder).select("doc_id", "text"), labels(spark, folder))
+    return scored.select("doc_id", _held_out(), "score", "predicted")
+
+
 def op6_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     e = spark.read.parquet(f"{folder}/embeddings.parquet").where(topk.usable(F.col("embedding")))
     e = e.select("vec_id", topk.scaled(F.col("embedding")).alias("ints"))
@@ -34,7 +53,10 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
+    "op4_mixing": op4_mixing,
     "op6_exact_topk": op6_exact_topk,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
