@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, mixing, quality, sharding, topk, toxicity
+from haplolake.llm import bpe, mixing, pii, quality, sharding, topk, toxicity
 from haplolake.llm.common import documents, labels, remainder_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,12 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(documents(spark, folder).select("doc_id", "text"))
+    numbers = [pii.count_of("base", k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *numbers, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.classify_toxicity(documents(spark, folder).select("doc_id", "text"), labels(spark, folder))
     return scored.select("doc_id", _held_out(), "score", "predicted")
@@ -55,6 +61,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_exact_topk": op6_exact_topk,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
