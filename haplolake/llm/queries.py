@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, mixing, pii, quality, sharding, topk, toxicity
+from haplolake.llm import bpe, fingerprints, mixing, pii, quality, sharding, topk, toxicity
 from haplolake.llm.common import documents, labels, remainder_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *numbers, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, folder))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.classify_toxicity(documents(spark, folder).select("doc_id", "text"), labels(spark, folder))
     return scored.select("doc_id", _held_out(), "score", "predicted")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_exact_topk": op6_exact_topk,
+    "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
