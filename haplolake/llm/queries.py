@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, fingerprints, mixing, pii, quality, sharding, topk, toxicity
+from haplolake.llm import bpe, fingerprints, mixing, neardup, pii, quality, sharding, topk, toxicity
 from haplolake.llm.common import documents, labels, remainder_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), "score", "predicted")
 
 
+def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, folder), 4, 80)
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_documents(documents(spark, folder).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,6 +68,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_neardup": op3_neardup,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_exact_topk": op6_exact_topk,
