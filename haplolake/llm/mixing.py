@@ -137,7 +137,7 @@ def mix(docs: DataFrame, sources: Column, size: Column, quotas=targets, passes:
     rest = spark.createDataFrame(plan, "_pattern string, _whole int, _rest double, source_size long, target double")
     summed = sums_before(keyed.drop("_sources"), ["_pattern"], ["_hash", "_id", "size"], "_v", "_before", sum(r["n"] for r in per_pattern))
     key = F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i"), F.col("size").alias("z"))
-    fits = summed.join(rest.select("_pattern", "_rest"), "_pattern").where("_v > 0 AND _before + _v / 2 <= _rest")
+    fits = summed.join(F.broadcast(rest.select("_pattern", "_rest")), "_pattern").where("_v > 0 AND _before + _v / 2 <= _rest")
     edge = rest.join(fits.groupBy("_pattern").agg(F.max(key).alias("_edge")), "_pattern", "left")
     # as many rows as the plan, which the driver holds already
     marked = d.drop("source_size", "target", "copies", "taken").join(F.broadcast(stage(edge)), "_pattern")

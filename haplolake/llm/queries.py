@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, fingerprints, mixing, neardup, pii, quality, sharding, topk, toxicity
+from haplolake.llm import bpe, fingerprints, mixing, neardup, pii, quality, sharding, suffix, topk, toxicity
 from haplolake.llm.common import documents, labels, remainder_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def _held_out():
     return (remainder_of(F.col("doc_id")) == 0).alias("held_out")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, folder))
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.classify_quality(documents(spark, folder).select("doc_id", "text"), labels(spark, folder))
     return scored.select("doc_id", _held_out(), "score", "predicted")
@@ -67,6 +71,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
     "op3_neardup": op3_neardup,
     "op4_mixing": op4_mixing,
