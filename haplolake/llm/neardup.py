@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from haplolake.llm.common import WORD_PATTERN
 from haplolake.llm.components import components
 from haplolake.llm.shingles import mix, shingle_set
 from haplolake.session import stage
@@ -46,7 +47,7 @@ def minwise(shingles: np.ndarray) -> bytes:
 
 
 def _described(size: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("tokens", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,16 +58,17 @@ def _described(size: int):
                 n.append(len(s))
                 cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 tokens.append(minwise(s) if len(s) else None)
-            columns = (pa.array(c, f.type) for c, f in zip((ids, n, cls, tokens), schema, strict=True))
+            hashes = batch.column("text_hash").to_pylist()
+            columns = (pa.array(c, f.type) for c, f in zip((ids, hashes, n, cls, tokens), schema, strict=True))
             yield pa.RecordBatch.from_arrays(list(columns), schema=schema)
 
     return run
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, set size, class (a digest of the set) and minwise tokens of every document."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(_described(size), "doc_id long, n_shingles long, cls binary, tokens binary")
+    """doc_id, the text's hash, set size, class (a digest of the set) and minwise tokens of every document."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return d.mapInArrow(_described(size), "doc_id long, text_hash long, n_shingles long, cls binary, tokens binary")
 
 
 def _token(column: str, i: int) -> Column:
@@ -141,7 +143,22 @@ def _confirmed(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: int = SMALL) -> DataFrame:
+def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that stay when each group of near-duplicates keeps the one of its smallest doc_id.
+
+    Of rows that repeat this id in the group, the text of the smallest hash
+    stays, once. Documents without words or without a doc_id are in no group and
+    stay. All columns are kept as they are.
+    """
+    resolved = near_duplicates(docs, size, percent, with_hash=True).where("n_shingles > 0 AND doc_id IS NOT NULL")
+    best = resolved.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.text_hash").alias("_h"))
+    blank = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    marked = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_h", F.xxhash64("text"))
+    kept = marked.where(~blank).join(best, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    return kept.select(*docs.columns).unionByName(docs.where(blank))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: int = SMALL, with_hash: bool = False) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``n_links`` of every document.
 
     Documents are linked if their ``size``-word shingle sets have
@@ -170,9 +187,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: in
     number = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_class = classes.select("cls", "rep").join(roots.join(lowest, "root").join(number, "node").withColumnRenamed("node", "cls"), "cls", "left")
     of_class = of_class.select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = described.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    out = described.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *(["text_hash"] if with_hash else []),
     )
