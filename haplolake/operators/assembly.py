@@ -61,15 +61,18 @@ def paf_rank() -> Column:
     )
 
 
-def annotate_paf(v: DataFrame, paf: DataFrame, **thresholds: float) -> DataFrame:
-    """Add the context of the best covering PAF block and label doubtful records LowQual."""
+def annotate_paf(v: DataFrame, paf: DataFrame, keys: tuple[str, ...] = (), **thresholds: float) -> DataFrame:
+    """Add the context of the best covering PAF block and label doubtful records LowQual.
+
+    With ``keys`` (say, the sample) a record meets blocks of its own key only.
+    """
     t = {**PAF_THRESHOLDS, **thresholds}
     if set(t) != set(PAF_THRESHOLDS):
         raise ValueError(f"unknown threshold in {sorted(thresholds)}")
     keep = ["qname", "start", "end", "mapq", "tp", "s1", "s2", "cm", "as", "dv", "de", "rl", "qspan"]
-    blocks = paf_fields(paf).select("contig", *keep)
+    blocks = paf_fields(paf).select(*keys, "contig", *keep)
     points = v.withColumn("contig", F.col("chrom")).withColumn("pos0", (F.col("pos") - 1).cast("long"))
-    found = best_block(points, blocks, paf_rank(), keep)
+    found = best_block(points, blocks, paf_rank(), keep, [*keys, "contig"])
     hit = F.col("qname").isNotNull()
     ratio = F.when(F.col("s1") > 0, F.col("s2") / F.nullif(F.col("s1"), F.lit(0)))
     per_kb = F.col("cm") / (F.col("qspan") / 1000.0)
@@ -113,10 +116,13 @@ def annotate_paf(v: DataFrame, paf: DataFrame, **thresholds: float) -> DataFrame
     )
 
 
-def missing_regions(blocks: DataFrame, contigs: DataFrame, primary_only: bool = True) -> DataFrame:
-    """Reference intervals no alignment block covers."""
+def missing_regions(blocks: DataFrame, contigs: DataFrame, primary_only: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Reference intervals no alignment block covers; with ``keys`` in both tables, by key.
+
+    A key of ``contigs`` without any block lacks whole contigs.
+    """
     used = paf_primary(blocks) if primary_only and "tags" in blocks.columns else blocks
-    return complement(used.select("contig", "start", "end"), contigs)
+    return complement(used.select(*keys, "contig", "start", "end"), contigs, [*keys, "contig"])
 
 
 def coords_intervals(coords: DataFrame) -> DataFrame:
@@ -185,6 +191,10 @@ def _fold_offsets() -> Column:
     return F.aggregate(F.transform("offsets", lambda o: o.cast("int")), state, step, lambda s: s["out"])
 
 
+def _owned(owner: str, name: str) -> Column:
+    return F.concat(F.coalesce(F.length(owner).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(owner, F.lit("")), F.col(name))
+
+
 def delta_variants(
     blocks: DataFrame,
     ref: DataFrame,
@@ -198,18 +208,32 @@ def delta_variants(
 ) -> DataFrame:
     """Variants of delta blocks: SNPs where aligned bases differ, left-anchored indels.
 
+    If ``blocks`` and ``qry`` have a ``sample``, query contigs belong to it and so do
+    the variants and ambiguous positions; otherwise all are of the one ``sample``.
+    A block that names a contig which is not there is an error.
+
     A block becomes gap-free stretches, the stretches pieces of at most ``chunk``
     bases; a piece meets its two sequence chunks by equi-join, so no task holds a
     whole contig pair and a long block spreads over many tasks.
     """
+    by_sample = "sample" in blocks.columns
+    if by_sample:
+        # sample and contig in one name, the length first so that no two names agree
+        blocks, qry = blocks.withColumn("qry", _owned("sample", "qry")), qry.withColumn("contig", _owned("sample", "contig"))
+    else:
+        blocks = blocks.withColumn("sample", F.lit(sample).cast("string"))
     sized = qry.select(F.col("contig").alias("qry"), F.length("seq").alias("_qlen"))
+    known = ref.select(F.col("contig").alias("ref"), F.lit(True).alias("_known"))
     base = block_metrics(stage(blocks.withColumn("block_id", F.monotonically_increasing_id())))
-    base = base.join(sized, "qry").withColumn("reverse", F.col("qry_start") > F.col("qry_end"))
+    base = base.join(sized, "qry", "left").join(known, "ref", "left")
+    unknown = F.raise_error(F.concat(F.lit("delta block of an unknown contig: "), "ref", F.lit(" "), "qry")).cast("int")
+    base = base.withColumn("_qlen", F.when(F.col("_known") & F.col("_qlen").isNotNull(), F.col("_qlen")).otherwise(unknown))
+    base = base.withColumn("reverse", F.col("qry_start") > F.col("qry_end"))
     first_q = F.when(F.col("reverse"), F.col("_qlen") - F.col("qry_start")).otherwise(F.col("qry_start") - 1)
     base = base.withColumn("_r0", (F.col("ref_start") - 1).cast("int")).withColumn("_q0", first_q.cast("int"))
     base = base.withColumn("_gaps", _fold_offsets())
     tail = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("ref"), F.lit(0).alias("qry"), F.lit(0).alias("size"))
-    kept = ["block_id", "ref", "qry", "reverse", "ref_start", "ref_end", "errors", "block_len", "identity", "_r0", "_q0", "_qlen"]
+    kept = ["sample", "block_id", "ref", "qry", "reverse", "ref_start", "ref_end", "errors", "block_len", "identity", "_r0", "_q0", "_qlen"]
     runs = base.select(*kept, "_gaps", F.posexplode(F.concat("_gaps", F.array(tail))).alias("_i", "_g"))
     before = F.get("_gaps", F.col("_i") - 1)
     # a run of sign + skips reference bases, of sign - skips query bases
@@ -238,7 +262,7 @@ def delta_variants(
     q = F.substr("qseq", (F.col("qlo") - F.col("qblock") * chunk + 1).cast("int"), F.col("hi") - F.col("lo"))
     met = met.withColumn("_r", r).withColumn("_q", q).filter(F.col("_r") != F.col("_q"))
     index = F.explode(F.sequence(F.lit(1), F.length("_r"))).alias("_k")
-    common = ["block_id", "ref", "ref_start", "ref_end", "errors", "block_len", "identity"]
+    common = ["sample", "block_id", "ref", "ref_start", "ref_end", "errors", "block_len", "identity"]
     snps = (
         met.select(*common, "lo", "_r", "_q", index)
         .select(
@@ -268,7 +292,8 @@ def delta_variants(
     good = filter_blocks(per_block.withColumn("variants_per_kb", F.col("n_variants") * 1000.0 / F.col("block_len")), min_identity, min_length, max_variants_per_kb)
     used = records.join(good.select("block_id", "variants_per_kb"), "block_id")
     if drop_ambiguous_positions:
-        used = drop_ambiguous(used.withColumn("chrom", F.col("ref")), good.withColumn("contig", F.col("ref")).select("contig", "ref_start", "ref_end")).drop("chrom")
+        place = _owned("sample", "ref")
+        used = drop_ambiguous(used.withColumn("chrom", place), good.select(place.alias("contig"), "ref_start", "ref_end")).drop("chrom")
     low, high = F.least("ref_start", "ref_end"), F.greatest("ref_start", "ref_end")
     edge = F.least(F.abs(F.col("pos") - low), F.abs(high - F.col("pos")))
     notes = {
@@ -279,7 +304,7 @@ def delta_variants(
         "MUMMER_EDGE_DIST": edge,
     }
     return used.select(
-        F.lit(sample).cast("string").alias("sample"),
+        "sample",
         F.col("ref").alias("chrom"),
         "pos",
         F.lit(".").alias("id"),

@@ -16,6 +16,9 @@ from haplolake.functions.numbers import fisher_two_sided, half_up, phred
 from haplolake.operators.alignments import EXCLUDE_DEFAULT, REVERSE, as_intervals, filter_alignments, has
 from haplolake.operators.intervals import merge_intervals, overlap_join, sweep
 
+# Bins near the length of what meets: aligned stretches of reads, and features.
+READ_BIN, FEATURE_BIN = 256, 2048
+
 
 def aligned_blocks(a: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Reference stretches covered by aligned bases (M, =, X)."""
@@ -99,26 +102,38 @@ def genome_coverage(coverage: DataFrame, keys: tuple[str, ...] = ()) -> DataFram
 # --- copy number ---------------------------------------------------------------------
 
 
-def contig_cnv(coverage: DataFrame, baseline: float | None = None) -> DataFrame:
-    """Copy number of each contig against ``baseline`` or the longest contig (first on ties)."""
+def _above_zero(base: Column) -> Column:
+    return F.when(base > 0, base).otherwise(F.raise_error(F.lit("baseline depth must be above zero")).cast("double"))
+
+
+def contig_cnv(coverage: DataFrame, baseline: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Copy number of each contig against ``baseline`` or the longest contig (first on ties) of the same ``keys``."""
     if baseline is not None:
-        base = F.lit(float(baseline))
+        known, base = coverage, F.lit(float(baseline))
     else:
         rank = F.struct(F.col("length").cast("long"), (-F.col("ord")).cast("long"))
-        base = coverage.agg(F.max_by("meandepth", rank).alias("b")).scalar()
-    checked = F.when(base > 0, base).otherwise(F.raise_error(F.lit("baseline depth must be above zero")).cast("double"))
-    return coverage.select("contig", F.col("meandepth").alias("read_depth"), half_up(F.col("meandepth") / checked).alias("copy_number"))
+        longest = coverage.groupBy(*keys).agg(F.max_by("meandepth", rank).alias("_base"))
+        known = coverage.join(longest, list(keys)) if keys else coverage.withColumn("_base", longest.scalar())
+        base = F.col("_base")
+    depth = F.col("meandepth")
+    return known.select(*keys, "contig", depth.alias("read_depth"), half_up(depth / _above_zero(base)).alias("copy_number"))
 
 
-def feature_depth(features: DataFrame, segments: DataFrame, keep: tuple[str, ...] = ("feature_id",)) -> DataFrame:
+def feature_depth(
+    features: DataFrame, segments: DataFrame, keep: tuple[str, ...] = ("feature_id",), keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Median per-base depth of each feature (start, end 0-based); uncovered bases count as 0.
 
     Overlaps are summed per depth value first, then the median is a weighted one.
+    With ``keys`` (of the segments) each feature has a row per key that has
+    segments on its contig; whole-contig segments always do.
     """
-    key = [*keep, "contig", "start", "end"]
+    key = [*keys, *keep, "contig", "start", "end"]
+    if keys:
+        features = features.join(segments.select(*keys, "contig").distinct(), "contig")
     width = F.least("end", "end_b") - F.greatest("start", "start_b")
     cut = (
-        overlap_join(features.select(*key), segments.filter(F.col("depth") > 0))
+        overlap_join(features.select(*key), segments.filter(F.col("depth") > 0), [*keys, "contig"], bin_size=FEATURE_BIN)
         .groupBy(*key, "depth")
         .agg(F.sum(width).alias("bases"))
     )
@@ -130,17 +145,30 @@ def feature_depth(features: DataFrame, segments: DataFrame, keep: tuple[str, ...
     return every.groupBy(*key).agg(F.percentile("depth", F.lit(0.5), F.col("bases")).alias("read_depth"))
 
 
-def feature_cnv(features: DataFrame, segments: DataFrame, baseline: float | Column, keep: tuple[str, ...] = ("feature_id",)) -> DataFrame:
+def feature_cnv(
+    features: DataFrame,
+    segments: DataFrame,
+    baseline: float | Column | DataFrame,
+    keep: tuple[str, ...] = ("feature_id",),
+    keys: tuple[str, ...] = (),
+) -> DataFrame:
+    """Copy number of each feature; ``baseline`` is a number, a column, or a table (keys, baseline)."""
+    found = feature_depth(features, segments, keep, keys)
+    if isinstance(baseline, DataFrame):
+        found = found.join(baseline.select(*keys, F.col("baseline").alias("_base")), list(keys))
+        return found.withColumn("copy_number", half_up(F.col("read_depth") / _above_zero(F.col("_base")))).drop("_base")
     base = F.lit(float(baseline)) if not isinstance(baseline, Column) else baseline
-    return feature_depth(features, segments, keep).withColumn("copy_number", half_up(F.col("read_depth") / base))
+    return found.withColumn("copy_number", half_up(F.col("read_depth") / base))
 
 
-def baseline_from_region(segments: DataFrame, contigs: DataFrame, region: tuple[str | None, int, int]) -> DataFrame:
-    """One row: median depth of a 1-based closed region, on the longest contig unless named."""
+def baseline_from_region(
+    segments: DataFrame, contigs: DataFrame, region: tuple[str | None, int, int], keys: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per key: median depth of a 1-based closed region, on the longest contig unless named; 0 is an error."""
     contig, start, end = region
     place = contigs.filter(F.col("contig") == contig) if contig else contigs.orderBy(F.desc("length"), "ord").limit(1)
     spot = place.select(F.lit("region").alias("feature_id"), "contig", F.lit(start - 1).cast("long").alias("start"), F.lit(end).cast("long").alias("end"))
-    return feature_depth(spot, segments).select(F.col("read_depth").alias("baseline"))
+    return feature_depth(spot, segments, keys=keys).select(*keys, _above_zero(F.col("read_depth")).alias("baseline"))
 
 
 def find_feature(features: DataFrame, name: str) -> DataFrame:
@@ -154,30 +182,40 @@ def find_feature(features: DataFrame, name: str) -> DataFrame:
     return found.withColumn("feature_id", checked)
 
 
-def baseline_from_feature(segments: DataFrame, features: DataFrame, name: str) -> DataFrame:
-    return feature_depth(find_feature(features, name), segments).select(F.col("read_depth").alias("baseline"))
+def baseline_from_feature(segments: DataFrame, features: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: median depth of a named feature; 0 is an error."""
+    return feature_depth(find_feature(features, name), segments, keys=keys).select(*keys, _above_zero(F.col("read_depth")).alias("baseline"))
 
 
 # --- pileup and strand bias ------------------------------------------------------------
 
 
 def pileup(
-    a: DataFrame, positions: DataFrame, exclude_flags: int = EXCLUDE_DEFAULT, min_mapq: int = 0, min_baseq: int = 0
+    a: DataFrame,
+    positions: DataFrame,
+    exclude_flags: int = EXCLUDE_DEFAULT,
+    min_mapq: int = 0,
+    min_baseq: int = 0,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Observations at the given (contig, pos): base, strand, and the indel that follows.
 
+    ``keys`` are columns of the reads that stay on the observations; where the
+    positions have them too, a position is asked of these reads alone.
+
     ``base`` is ``*`` inside a deletion; ``ins`` is the inserted text and
     ``del_len`` the deleted length right after the position. No overlap or BAQ
     adjustment is made.
     """
-    spots = positions.select("contig", "pos").distinct().select(
-        "contig", F.col("pos").cast("long").alias("pos"), (F.col("pos") - 1).cast("long").alias("start"), F.col("pos").cast("long").alias("end")
+    own = [k for k in keys if k in positions.columns]
+    spots = positions.select(*own, "contig", "pos").distinct().select(
+        *own, "contig", F.col("pos").cast("long").alias("pos"), (F.col("pos") - 1).cast("long").alias("start"), F.col("pos").cast("long").alias("end")
     )
     # one row per aligned or deleted stretch of a read, with the text of that stretch and of the indel behind it
     reads = as_intervals(filter_alignments(a, min_mapq, exclude_flags)).withColumn("_ops", C.placed(F.col("cigar"), F.col("start")))
     stretch = F.transform("_ops", lambda p, i: F.struct(p.alias("here"), F.get("_ops", i + 1).alias("next")))
     wanted = F.filter(stretch, lambda s: s["here"]["op"].isin(*C.ALIGNED_OPS, "D"))
-    rows = reads.select("contig", "seq", *(["qual"] if "qual" in a.columns else []), "mapq", has(REVERSE).alias("_rev"), F.explode(wanted).alias("s"))
+    rows = reads.select(*keys, "contig", "seq", *(["qual"] if "qual" in a.columns else []), "mapq", has(REVERSE).alias("_rev"), F.explode(wanted).alias("s"))
     here, after = F.col("s.here"), F.col("s.next")
     solid = here["op"] != "D"
 
@@ -185,6 +223,7 @@ def pileup(
         return F.when(solid, F.substr(name, here["query"] + 1, here["len"]))
 
     rows = rows.select(
+        *keys,
         "contig",
         "mapq",
         F.when(F.col("_rev"), "-").otherwise("+").alias("strand"),
@@ -195,10 +234,11 @@ def pileup(
         F.when(solid & (after["op"] == "I"), F.substr("seq", after["query"] + 1, after["len"])).alias("_ins"),
         F.when(solid & (after["op"] == "D"), after["len"]).alias("_del"),
     )
-    pairs = overlap_join(rows, spots)
+    pairs = overlap_join(rows, spots, [*own, "contig"], bin_size=READ_BIN)
     at = (F.col("start_b") - F.col("start") + 1).cast("int")
     last = F.col("end_b") == F.col("end")
     out = pairs.select(
+        *keys,
         "contig",
         "pos",
         F.coalesce(F.substr("_text", at, F.lit(1)), F.lit("*")).alias("base"),
@@ -263,21 +303,23 @@ def pileup_from_text(p: DataFrame) -> DataFrame:
     return p.select("contig", "pos", F.explode(decode_bases("bases")).alias("o")).select("contig", "pos", "o.*")
 
 
-def strand_counts(v: DataFrame, observations: DataFrame, keys: tuple[str, ...] = ("chrom", "pos")) -> DataFrame:
+def strand_counts(v: DataFrame, observations: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Reference and alternate support by strand for single-ALT SNPs and anchored indels.
 
+    With ``keys`` (say, the sample) a record meets observations of its own key only.
+
     Observations are counted per (position, base, strand, indel) before they meet
     the variants, so deep positions travel as a handful of rows.
     """
     seen = (
         observations.filter(F.col("strand").isNotNull())
-        .groupBy(F.col("contig").alias("chrom"), F.col("pos").cast("long").alias("pos"), "base", "strand", "ins", "del_len")
+        .groupBy(*keys, F.col("contig").alias("chrom"), F.col("pos").cast("long").alias("pos"), "base", "strand", "ins", "del_len")
         .agg(F.count("*").alias("_n"))
     )
     alt = F.get("alts", F.lit(0))
     snp = A.is_snp(F.col("ref"), F.col("alts"))
     single = v.filter((F.size("alts") == 1) & (snp | A.is_anchored_indel(F.col("ref"), alt)))
-    sites = single.select("chrom", F.col("pos").cast("long").alias("pos"), "ref", alt.alias("alt")).distinct()
+    sites = single.select(*keys, "chrom", F.col("pos").cast("long").alias("pos"), "ref", alt.alias("alt")).distinct()
     one_base = F.length("ref") == F.length("alt")
     grown = F.substr("alt", F.length("ref") + 1, F.length("alt"))
     target = F.when(F.length("alt") > F.length("ref"), F.col("ins") == grown).otherwise(
@@ -291,8 +333,8 @@ def strand_counts(v: DataFrame, observations: DataFrame, keys: tuple[str, ...] =
         return F.coalesce(F.sum(F.when(cond & (F.col("strand") == strand), F.col("_n"))), F.lit(0)).cast("long")
 
     return (
-        sites.join(seen, ["chrom", "pos"], "left")
-        .groupBy("chrom", "pos", "ref", "alt")
+        sites.join(seen, [*keys, "chrom", "pos"], "left")
+        .groupBy(*keys, "chrom", "pos", "ref", "alt")
         .agg(
             total(is_ref, "+").alias("ref_fwd"),
             total(is_ref, "-").alias("ref_rev"),
@@ -313,11 +355,13 @@ def with_strand_test(counts: DataFrame) -> DataFrame:
     )
 
 
-def strand_bias(v: DataFrame, observations: DataFrame, filter_pvalue: float | None = None) -> DataFrame:
+def strand_bias(
+    v: DataFrame, observations: DataFrame, filter_pvalue: float | None = None, keys: tuple[str, ...] = ()
+) -> DataFrame:
     """Annotate records with strand support; optionally label p-values below the threshold StrandBias."""
-    tests = with_strand_test(strand_counts(v, observations))
+    tests = with_strand_test(strand_counts(v, observations, keys))
     keyed = v.withColumn("_alt", F.when(F.size("alts") == 1, F.get("alts", F.lit(0))))
-    joined = keyed.join(tests.withColumnRenamed("alt", "_alt"), ["chrom", "pos", "ref", "_alt"], "left")
+    joined = keyed.join(tests.withColumnRenamed("alt", "_alt"), [*keys, "chrom", "pos", "ref", "_alt"], "left")
     tested = F.col("pvalue").isNotNull()
     share = F.coalesce(F.col("alt_fwd_frac").cast("string"), F.lit("."))
     notes = {
@@ -347,8 +391,9 @@ def call_snps(
     min_alt_count: int = 2,
     min_alt_fraction: float = 0.05,
     hom_fraction: float = 0.9,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Threshold SNP calls: allele counts per position, genotype by allele share.
+    """Threshold SNP calls: allele counts per position (and ``keys``), genotype by allele share.
 
     ``reference_bases`` holds (contig, pos, ref). This is no Bayesian caller and
     gives no QUAL.
@@ -356,14 +401,14 @@ def call_snps(
     good = observations.filter(
         (F.col("mapq") >= min_mapq) & (F.col("baseq").isNull() | (F.col("baseq") >= min_baseq)) & (F.col("base") != "*")
     )
-    counts = good.groupBy("contig", "pos", "base").agg(F.count("*").alias("ao"))
-    depth = counts.groupBy("contig", "pos").agg(F.sum("ao").alias("dp"))
+    counts = good.groupBy(*keys, "contig", "pos", "base").agg(F.count("*").alias("ao"))
+    depth = counts.groupBy(*keys, "contig", "pos").agg(F.sum("ao").alias("dp"))
     share = F.col("ao") / F.col("dp")
     return (
-        counts.join(depth, ["contig", "pos"])
+        counts.join(depth, [*keys, "contig", "pos"])
         .join(reference_bases.select("contig", "pos", "ref"), ["contig", "pos"])
         .filter((F.col("base") != F.col("ref")) & (F.col("ao") >= min_alt_count) & (share >= min_alt_fraction))
         .select(
-            "contig", "pos", "ref", F.col("base").alias("alt"), "dp", "ao", F.when(share >= hom_fraction, "1/1").otherwise("0/1").alias("gt")
+            *keys, "contig", "pos", "ref", F.col("base").alias("alt"), "dp", "ao", F.when(share >= hom_fraction, "1/1").otherwise("0/1").alias("gt")
         )
     )

@@ -252,7 +252,7 @@ def _tagged(cells: Column, level: int) -> Column:
 
 
 def best_block(
-    points: DataFrame, blocks: DataFrame, rank: Column, keep: list[str], by: str = "contig", at: str = "pos0"
+    points: DataFrame, blocks: DataFrame, rank: Column, keep: list[str], by: str | list[str] = "contig", at: str = "pos0"
 ) -> DataFrame:
     """Left join of each point to the covering block [start, end) of highest ``rank``.
 
@@ -261,6 +261,7 @@ def best_block(
     fixed, so neither deep coverage nor a hot position multiplies rows. ``rank``
     is a struct whose last fields make ties explicit.
     """
+    keys = _keys(by)
     best = F.struct(rank.alias("rank"), F.struct(*[F.col(c) for c in keep]).alias("row"))
     cells = []
     start, end = F.col("start").cast("long"), F.col("end").cast("long")
@@ -279,11 +280,11 @@ def best_block(
         cells.append(_tagged(ids, level))
     tree = (
         blocks.withColumn("_best", best)
-        .select(by, "_best", F.explode(F.concat(*cells)).alias("_cell"))
-        .groupBy(by, "_cell.level", "_cell.cell")
+        .select(*keys, "_best", F.explode(F.concat(*cells)).alias("_cell"))
+        .groupBy(*keys, "_cell.level", "_cell.cell")
         .agg(F.max("_best").alias("_best"))
     )
-    asks = points.select(by, at).distinct()
+    asks = points.select(*keys, at).distinct()
     path = F.array(
         *[
             F.struct(F.lit(lv).alias("level"), F.shiftright(F.col(at).cast("long"), TREE_SHIFT * lv).alias("cell"))
@@ -291,14 +292,14 @@ def best_block(
         ]
     )
     found = (
-        asks.select(by, at, F.explode(path).alias("_cell"))
-        .select(by, at, "_cell.level", "_cell.cell")
-        .join(tree, [by, "level", "cell"])
-        .groupBy(by, at)
+        asks.select(*keys, at, F.explode(path).alias("_cell"))
+        .select(*keys, at, "_cell.level", "_cell.cell")
+        .join(tree, [*keys, "level", "cell"])
+        .groupBy(*keys, at)
         .agg(F.max("_best").alias("_best"))
-        .select(by, at, "_best.row.*")
+        .select(*keys, at, "_best.row.*")
     )
-    return points.join(found, [by, at], "left")
+    return points.join(found, [*keys, at], "left")
 
 
 def nearest_distance(

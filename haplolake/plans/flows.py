@@ -13,6 +13,7 @@ from haplolake.operators import stats as S
 from haplolake.operators import variants as V
 from haplolake.operators.alignments import filter_alignments
 from haplolake.operators.assembly import missing_regions
+from haplolake.operators.checks import split_failures
 from haplolake.operators.depth import depth_blocks, depth_segments
 from haplolake.session import stage
 
@@ -30,24 +31,26 @@ class SampleResult:
     qc: DataFrame
 
 
-def _finish(v: DataFrame, seqs: DataFrame, cds: DataFrame | None, low: DataFrame | None, user_mask: DataFrame | None, pipeline_type: str) -> SampleResult:
+def _finish(
+    v: DataFrame, samples: DataFrame, seqs: DataFrame, cds: DataFrame | None, low: DataFrame | None, user_mask: DataFrame | None, pipeline_type: str
+) -> SampleResult:
+    """``samples`` lists every sample of the run; one without a call keeps the reference's sequence and has its rows."""
     if cds is not None:
         v = Q.annotate_consequences(v, cds, seqs)
     v = stage(v)
     final = V.collapse_gt(v)
     passing = V.pass_only(v)
     # masks come after the consensus, so that REF still agrees while edits are applied
-    out = Q.consensus(seqs, passing, v.select("sample").distinct())
+    out = Q.consensus(seqs, passing, samples)
     out = Q.mask_sequences(out, V.mixed_sites(v), "n")
     if low is not None:
         out = Q.mask_sequences(out, low, "N")
     if user_mask is not None:
-        names = v.agg(F.sort_array(F.collect_set("sample"))).scalar()
+        names = samples.agg(F.sort_array(F.collect_set("sample"))).scalar()
         out = Q.mask_sequences(out, user_mask.withColumn("sample", F.explode(names)), "X")
     out = stage(out)
     summary = S.vcf_summary(final)
-    samples = v.select("sample").distinct().withColumn("pipeline_type", F.lit(pipeline_type))
-    qc = S.sample_qc(samples, vcf=summary, fasta=S.composition(out))
+    qc = S.sample_qc(samples.withColumn("pipeline_type", F.lit(pipeline_type)), vcf=summary, fasta=S.composition(out))
     return SampleResult(final, V.pass_only(final), out, summary, S.vcf_breakdown(final), V.variants_tab(final), qc)
 
 
@@ -61,17 +64,21 @@ def short_reads(
     user_mask: DataFrame | None = None,
     **context: int,
 ) -> SampleResult:
-    """From calls and alignments (both with ``sample``) to annotated calls, masked consensus and QC."""
+    """From calls and alignments (both with ``sample``) to annotated calls, masked consensus and QC.
+
+    The samples are those of the alignments and of the calls together.
+    """
+    samples = stage(alignments.select("sample").union(calls.select("sample")).distinct())
     v = V.retype(V.split_multiallelic(V.has_alt_gt(calls)))
     v = V.short_read_filters(V.drop_unobserved(Q.normalize(v, seqs)))
     used = filter_alignments(alignments)
-    names = used.agg(F.sort_array(F.collect_set("sample"))).scalar()
+    names = samples.agg(F.sort_array(F.collect_set("sample"))).scalar()
     frame = contigs.withColumn("sample", F.explode(names))
     segments = stage(depth_segments(used, frame, keys=("sample",)))
     zero, low = depth_blocks(segments, min_depth, ("sample", "contig"))
     v = V.add_deletions(v, zero, seqs, contigs, merged=True)
     v = V.context_filter(v, **context)
-    return _finish(v, seqs, cds, low if min_depth > 0 else None, user_mask, "short")
+    return _finish(v, samples, seqs, cds, low if min_depth > 0 else None, user_mask, "short")
 
 
 def assembly(calls: DataFrame, blocks: DataFrame, seqs: DataFrame, contigs: DataFrame, cds: DataFrame | None = None, sample: str = "sample", **context: int) -> SampleResult:
@@ -80,13 +87,15 @@ def assembly(calls: DataFrame, blocks: DataFrame, seqs: DataFrame, contigs: Data
     v = V.assembly_filters(V.drop_unobserved(Q.normalize(v, seqs)))
     gaps = missing_regions(blocks, contigs).withColumn("sample", F.lit(sample))
     v = V.add_deletions(v, gaps, seqs, contigs, merged=True)
-    return _finish(V.context_filter(v, **context), seqs, cds, None, None, "asm")
+    samples = calls.select("sample").union(calls.sparkSession.createDataFrame([(sample,)], "sample string")).distinct()
+    return _finish(V.context_filter(v, **context), samples, seqs, cds, None, None, "asm")
 
 
 @dataclass
 class CoreResult:
-    """Tables of a core analysis."""
+    """Tables of a core analysis; ``failed`` holds samples that don't fit the reference, with their errors."""
 
+    failed: DataFrame
     alignment: DataFrame
     decisions: DataFrame
     core: DataFrame
@@ -97,12 +106,13 @@ class CoreResult:
 
 def core(consensus: DataFrame, reference: DataFrame, threshold: float = 0.95, reference_id: str = "reference") -> CoreResult:
     """Join samples into one alignment, drop poorly aligned ones, and keep the soft core."""
-    msa = K.build_msa(consensus, reference, reference_id)
+    consensus, failed = split_failures(consensus, stage(K.check_msa(consensus, reference)))
+    msa = K.build_msa(consensus, reference, reference_id, checked=True)
     decisions = stage(K.filter_samples(S.aligned_percent(msa), reference_id))
     kept = decisions.filter(~F.col("removed")).select(F.col("sequence").alias("sample"))
     cells = consensus.select("sample", "contig", "seq").unionByName(reference.select(F.lit(reference_id).alias("sample"), "contig", "seq"))
     sites = stage(K.msa_sites(cells.join(kept, "sample", "left_semi"), reference))
     chosen = K.soft_core(sites, threshold)
     return CoreResult(
-        msa, decisions, K.core_alignment(sites, chosen), K.constant_sites(sites), K.snp_distances(sites), K.snp_distances(sites.join(chosen.select("site"), "site", "left_semi"))
+        failed, msa, decisions, K.core_alignment(sites, chosen), K.constant_sites(sites), K.snp_distances(sites), K.snp_distances(sites.join(chosen.select("site"), "site", "left_semi"))
     )
