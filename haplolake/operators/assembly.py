@@ -29,6 +29,7 @@ PAF_THRESHOLDS = {
 # Delta block filters; 0 switches one off.
 MIN_IDENTITY, MIN_BLOCK, MAX_VARIANTS_PER_KB = 96.05, 700, 37.5
 
+# Numeric PAF tags.
 _PAF_NUMBERS = {"s1": "int", "s2": "int", "cm": "int", "AS": "int", "dv": "double", "de": "double", "rl": "int"}
 
 

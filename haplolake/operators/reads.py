@@ -20,9 +20,8 @@ _HASH_BITS = 60
 
 def _quality_at_least(minimum: int) -> Column:
     """How many bases have this quality or more."""
-    low = "".join(f"\\x{{{c:02x}}}" for c in (33, 33 + minimum - 1))
-    first, last = low[:6], low[6:]
-    return F.length(F.regexp_replace("qual", f"[{first}-{last}]", "")).cast("long")
+    lowest, highest = 33, 33 + minimum - 1  # codes of the qualities below
+    return F.length(F.regexp_replace("qual", f"[\\x{lowest:02x}-\\x{highest:02x}]", "")).cast("long")
 
 
 def read_stats(reads: DataFrame, by: str = "file", all_stats: bool = False, n_stats: tuple[int, ...] = (), gaps: str = "-. ") -> DataFrame:

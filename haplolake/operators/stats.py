@@ -12,17 +12,18 @@ from haplolake.functions import fields as X
 
 # Metrics of a sample in report order.
 QC_COLUMNS = (
-    "sample pipeline_type read_files read_num_seqs read_sum_len read_min_len read_avg_len read_max_len "
-    "alignment_total alignment_primary alignment_secondary alignment_supplementary alignment_duplicates "
-    "alignment_mapped alignment_mapped_percent alignment_properly_paired alignment_properly_paired_percent "
-    "alignment_reads_mapped alignment_reads_unmapped alignment_bases_mapped alignment_error_rate "
-    "alignment_average_length alignment_average_quality alignment_insert_size_average alignment_mean_depth "
-    "alignment_mean_breadth alignment_contigs vcf_total vcf_pass vcf_filtered vcf_lowqual vcf_lowdepth vcf_snp "
-    "vcf_mnp vcf_indel vcf_complex vcf_symbolic vcf_contigs_with_variants vcf_bcsq_annotated vcf_transitions "
-    "vcf_transversions vcf_ts_tv_ratio vcf_qual_mean vcf_depth_mean vcf_depth_min vcf_depth_max "
-    "vcf_allele_fraction_mean final_length final_acgt final_A final_C final_G final_T final_N final_n final_gap "
-    "final_other final_acgt_fraction final_N_fraction final_n_fraction final_gap_fraction core_aligned_percent"
-).split()
+    "sample", "pipeline_type", "read_files", "read_num_seqs", "read_sum_len", "read_min_len", "read_avg_len", "read_max_len",
+    "alignment_total", "alignment_primary", "alignment_secondary", "alignment_supplementary", "alignment_duplicates",
+    "alignment_mapped", "alignment_mapped_percent", "alignment_properly_paired", "alignment_properly_paired_percent",
+    "alignment_reads_mapped", "alignment_reads_unmapped", "alignment_bases_mapped", "alignment_error_rate",
+    "alignment_average_length", "alignment_average_quality", "alignment_insert_size_average", "alignment_mean_depth",
+    "alignment_mean_breadth", "alignment_contigs", "vcf_total", "vcf_pass", "vcf_filtered", "vcf_lowqual", "vcf_lowdepth",
+    "vcf_snp", "vcf_mnp", "vcf_indel", "vcf_complex", "vcf_symbolic", "vcf_contigs_with_variants", "vcf_bcsq_annotated",
+    "vcf_transitions", "vcf_transversions", "vcf_ts_tv_ratio", "vcf_qual_mean", "vcf_depth_mean", "vcf_depth_min",
+    "vcf_depth_max", "vcf_allele_fraction_mean", "final_length", "final_acgt", "final_A", "final_C", "final_G", "final_T",
+    "final_N", "final_n", "final_gap", "final_other", "final_acgt_fraction", "final_N_fraction", "final_n_fraction",
+    "final_gap_fraction", "core_aligned_percent",
+)
 
 
 def _types() -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +12,8 @@ from haplolake.functions import fields as X
 from haplolake.functions import names as N
 
 __all__ = [
-    "numbered_lines", "read_bed", "read_coords", "read_coverage", "read_delta", "read_depth", "read_fai", "read_fasta", "read_fastq",
+    "numbered_lines", "parse_bed", "parse_coords", "parse_coverage", "parse_delta", "parse_fai", "parse_fasta", "parse_fastq", "parse_flagstat",
+    "parse_gff", "parse_mpileup", "parse_paf", "parse_sam", "parse_sam_header", "parse_samstats", "parse_vcf", "parse_vcf_header", "read_bed", "read_coords", "read_coverage", "read_delta", "read_depth", "read_fai", "read_fasta", "read_fastq",
     "read_file_list", "read_flagstat", "read_gff", "read_metadata", "read_mpileup", "read_paf", "read_sam", "read_sam_header",
     "read_samples", "read_samstats", "read_vcf", "read_vcf_header", "scan_files",
 ]
@@ -53,13 +53,12 @@ def _stem(path: Column) -> Column:
 # --- VCF -----------------------------------------------------------------------------------
 
 
-def read_vcf(spark: SparkSession, paths: Paths, sample: str | None = None) -> DataFrame:
+def parse_vcf(lines: DataFrame, sample: str | None = None) -> DataFrame:
     """Variant records, one row per (record, sample); ``sample`` overrides the header's names.
 
     Rows with fewer than 8 fields or a POS that is no number are dropped; a file
     without sample columns takes its name as the sample.
     """
-    lines = _lines(spark, paths)
     head = lines.filter(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("_h"))
     names = head.groupBy("file").agg(F.min("_h").alias("_h")).select("file", F.slice("_h", 10, F.greatest(F.size("_h") - 9, F.lit(0))).alias("_names"))
     f = F.col("_f")
@@ -85,14 +84,18 @@ def read_vcf(spark: SparkSession, paths: Paths, sample: str | None = None) -> Da
     )
 
 
-def read_vcf_header(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_vcf(spark: SparkSession, paths: Paths, sample: str | None = None) -> DataFrame:
+    return parse_vcf(_lines(spark, paths), sample)
+
+
+def parse_vcf_header(lines: DataFrame) -> DataFrame:
     """Header definitions (file, kind, id, number, type, description, length, ord); the first of an id wins."""
     line = F.col("value")
 
     def part(pattern: str) -> Column:
         return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
 
-    rows = _lines(spark, paths).filter(line.startswith("##") & line.rlike("^##[A-Za-z]+=<"))
+    rows = lines.filter(line.startswith("##") & line.rlike("^##[A-Za-z]+=<"))
     parsed = rows.select(
         "file",
         F.regexp_extract(line, "^##([A-Za-z]+)=<", 1).alias("kind"),
@@ -107,6 +110,10 @@ def read_vcf_header(spark: SparkSession, paths: Paths) -> DataFrame:
     return parsed.groupBy("file", "kind", "id").agg(first.alias("_d"), F.min("ord").alias("ord")).select("file", "kind", "id", "_d.*", "ord")
 
 
+def read_vcf_header(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_vcf_header(_lines(spark, paths))
+
+
 def read_file_list(spark: SparkSession, path: str) -> list[str]:
     """Paths of a list file: blank and comment lines skipped, ``~`` expanded."""
     import os
@@ -118,10 +125,10 @@ def read_file_list(spark: SparkSession, path: str) -> list[str]:
 # --- SAM -----------------------------------------------------------------------------------
 
 
-def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
+def parse_sam(lines: DataFrame) -> DataFrame:
     """Alignment records of SAM text; lines with fewer than 11 fields are dropped."""
     f = F.col("_f")
-    rows = _lines(spark, paths).filter(~F.col("value").rlike(r"^@[A-Z]{2}(\t|$)")).withColumn("_f", F.split("value", "\t")).filter(F.size("_f") >= 11)
+    rows = lines.filter(~F.col("value").rlike(r"^@[A-Z]{2}(\t|$)")).withColumn("_f", F.split("value", "\t")).filter(F.size("_f") >= 11)
     tags = F.filter(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: t.rlike("^..:.:"))
     keys = F.transform(tags, lambda t: F.substring(t, 1, 2))
     values = F.transform(tags, lambda t: F.regexp_replace(t, "^..:.:", ""))
@@ -143,21 +150,29 @@ def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
-def read_sam_header(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_sam(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_sam(_lines(spark, paths))
+
+
+def parse_sam_header(lines: DataFrame) -> DataFrame:
     """Header lines (file, kind, tags MAP, ord), e.g. kind ``SQ`` with tags SN and LN."""
-    rows = _lines(spark, paths).filter(F.col("value").rlike(r"^@[A-Z]{2}\t"))
+    rows = lines.filter(F.col("value").rlike(r"^@[A-Z]{2}\t"))
     parts = F.filter(F.split("value", "\t"), lambda p: p.rlike("^[A-Za-z][A-Za-z0-9]:"))
     tags = X._map_last_wins(F.transform(parts, lambda p: F.substring(p, 1, 2)), F.transform(parts, lambda p: F.regexp_replace(p, "^..:", "")))
     return rows.select("file", F.substring("value", 2, 2).alias("kind"), tags.alias("tags"), F.col("rec_no").alias("ord"))
 
 
+def read_sam_header(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_sam_header(_lines(spark, paths))
+
+
 # --- intervals, features, blocks ---------------------------------------------------------------
 
 
-def read_bed(spark: SparkSession, paths: Paths, strict: bool = True) -> DataFrame:
+def parse_bed(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Half-open intervals; bad rows are an error, or dropped unless ``strict``. Empty intervals are dropped."""
     f = F.col("_f")
-    rows = _lines(spark, paths).filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("_f", F.split("value", "\t"))
+    rows = lines.filter((F.trim("value") != "") & ~F.col("value").startswith("#")).withColumn("_f", F.split("value", "\t"))
     start, end = F.get(f, F.lit(1)).try_cast("bigint"), F.get(f, F.lit(2)).try_cast("bigint")
     good = start.isNotNull() & end.isNotNull() & (start >= 0) & (end >= start)
     if strict:
@@ -167,10 +182,14 @@ def read_bed(spark: SparkSession, paths: Paths, strict: bool = True) -> DataFram
     return rows.select(f[0].alias("contig"), checked.alias("start"), end.alias("end"), F.get(f, F.lit(3)).alias("name")).filter(F.col("end") > F.col("start"))
 
 
-def read_gff(spark: SparkSession, paths: Paths, feature_type: str | None = None, all_types: bool = False) -> DataFrame:
+def read_bed(spark: SparkSession, paths: Paths, strict: bool = True) -> DataFrame:
+    return parse_bed(_lines(spark, paths), strict)
+
+
+def parse_gff(lines: DataFrame, feature_type: str | None = None, all_types: bool = False) -> DataFrame:
     """GFF3 features (1-based closed gff_start/gff_end and half-open start/end) of one type: the given or the first seen."""
     f = F.col("_f")
-    rows = _lines(spark, paths).filter(~F.col("value").startswith("#")).withColumn("_f", F.split("value", "\t")).filter(F.size("_f") == 9)
+    rows = lines.filter(~F.col("value").startswith("#")).withColumn("_f", F.split("value", "\t")).filter(F.size("_f") == 9)
     a = X.parse_pairs(f[8], flags=False)
     start, end = f[3].try_cast("bigint"), f[4].try_cast("bigint")
     valid = F.coalesce((start >= 1) & (end >= start), F.lit(False))
@@ -190,10 +209,14 @@ def read_gff(spark: SparkSession, paths: Paths, feature_type: str | None = None,
     return out.withColumn("feature_id", F.coalesce(attr("ID"), attr("Name"), attr("gene"), attr("locus_tag"), place))
 
 
-def read_paf(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_gff(spark: SparkSession, paths: Paths, feature_type: str | None = None, all_types: bool = False) -> DataFrame:
+    return parse_gff(_lines(spark, paths), feature_type, all_types)
+
+
+def parse_paf(lines: DataFrame) -> DataFrame:
     """PAF blocks on the target (contig, start, end) with a tags MAP."""
     f = F.col("_f")
-    rows = _lines(spark, paths).withColumn("_f", F.split("value", "\t")).filter(F.size("_f") >= 12)
+    rows = lines.withColumn("_f", F.split("value", "\t")).filter(F.size("_f") >= 12)
     tags = F.filter(F.slice(f, 13, F.greatest(F.size(f) - 12, F.lit(0))), lambda t: t.rlike("^[^:]+:[^:]*:"))
     keys = F.transform(tags, lambda t: F.substring_index(t, ":", 1))
     values = F.transform(tags, lambda t: F.regexp_replace(t, "^[^:]*:[^:]*:", ""))
@@ -203,16 +226,34 @@ def read_paf(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
-def read_coords(spark: SparkSession, paths: Paths) -> DataFrame:
+def read_paf(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_paf(_lines(spark, paths))
+
+
+def parse_coords(lines: DataFrame) -> DataFrame:
     """Tab-separated show-coords rows (contig, s1, e1): 13 fields or more, the contig is the last but one."""
     f = F.col("_f")
-    rows = _lines(spark, paths).withColumn("_f", F.split(F.trim("value"), "\t")).filter(F.size("_f") >= 13)
+    rows = lines.withColumn("_f", F.split(F.trim("value"), "\t")).filter(F.size("_f") >= 13)
     return rows.select(F.element_at(f, -2).alias("contig"), f[0].cast("bigint").alias("s1"), f[1].cast("bigint").alias("e1"))
 
 
-def read_delta(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Alignment blocks with their signed offsets; one text record per contig pair, blocks end with ``0``."""
-    text = spark.read.option("lineSep", "\n>").text(paths)
+def read_coords(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_coords(_lines(spark, paths))
+
+
+def parse_delta(text: DataFrame) -> DataFrame:
+    """Alignment blocks with their signed offsets; one text record (value) per contig pair, blocks end with ``0``.
+
+    Text before the first pair must name the NUCMER program; an offset of a block
+    that continues a run before any indel began is an error in the text.
+    """
+    text = text.withColumn(
+        "value",
+        F.when(
+            ~F.col("value").rlike(r"^>?\S+ \S+ \d+ \d+\r?\n") & ~F.col("value").rlike(r"^[^\n]*\n\s*NUCMER\s*$"),
+            F.raise_error(F.lit("delta text without a NUCMER header")).cast("string"),
+        ).otherwise(F.col("value")),
+    )
     pair = text.select(F.regexp_replace("value", "\r", "").alias("v")).filter(F.col("v").rlike(r"^\S+ \S+ \d+ \d+\n"))
     head = F.split(F.substring_index("v", "\n", 1), r"\s+")
     body = F.regexp_replace(F.regexp_replace("v", r"^[^\n]*\n", ""), r"\s+$", "")
@@ -221,17 +262,27 @@ def read_delta(spark: SparkSession, paths: Paths) -> DataFrame:
     blocks = blocks.withColumn("_l", lines).withColumn("_h", F.split(F.col("_l")[0], r"\s+")).filter(F.size("_h") == 7)
     n = F.transform("_h", lambda x: x.try_cast("int"))
     offsets = F.transform(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), lambda x: x.cast("int"))
+    starts_inside = F.abs(F.get(offsets, F.lit(0))) == 1
+    offsets = F.when(starts_inside, F.raise_error(F.lit("delta block begins with a continued indel")).cast("array<int>")).otherwise(offsets)
     return blocks.select("ref", "qry", n[0].alias("ref_start"), n[1].alias("ref_end"), n[2].alias("qry_start"), n[3].alias("qry_end"), n[4].alias("errors"), offsets.alias("offsets"))
 
 
+def read_delta(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_delta(spark.read.option("lineSep", "\n>").text(paths))
+
+
 # --- sequences and reads ----------------------------------------------------------------------
 
 
 def read_fasta(spark: SparkSession, paths: Paths, upper: bool = False) -> DataFrame:
-    """One row per record (file, contig, description, seq, ord); the id is the first word."""
     row = F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)
     order = F.shiftleft(F.floor(F.col("_metadata.file_block_start") / _SPLIT_UNIT).cast("long"), _ROW_BITS) + row
-    text = spark.read.option("lineSep", "\n>").text(paths).select(F.regexp_replace("value", "^>|\r", "").alias("v"), F.col("_metadata.file_path").alias("file"), order.alias("ord"))
+    return parse_fasta(spark.read.option("lineSep", "\n>").text(paths).select("value", F.col("_metadata.file_path").alias("file"), order.alias("ord")), upper)
+
+
+def parse_fasta(text: DataFrame, upper: bool = False) -> DataFrame:
+    """One row per record (file, contig, description, seq, ord) of texts (value, file, ord); the id is the first word."""
+    text = text.select(F.regexp_replace("value", "^>|\r", "").alias("v"), "file", "ord")
     head = F.trim(F.substring_index("v", "\n", 1))
     seq = F.regexp_replace(F.when(F.contains("v", F.lit("\n")), F.regexp_replace("v", r"^[^\n]*\n", "")).otherwise(""), r"\s", "")
     records = text.filter(head != "").select(
@@ -240,26 +291,31 @@ def read_fasta(spark: SparkSession, paths: Paths, upper: bool = False) -> DataFr
     return records
 
 
-def read_fastq(spark: SparkSession, r1: Paths, r2: Paths | None = None) -> DataFrame:
-    """Reads (file, read_id, mate, seq, qual) framed by line number, never by the ``@`` sign."""
-    def one(paths: Paths, mate: int) -> DataFrame:
-        lines = numbered_lines(spark, paths).withColumn("_no", F.expr("line div 4")).withColumn("_role", F.col("line") % 4)
-        role = lambda i: F.max(F.when(F.col("_role") == i, F.col("value")))
-        rows = lines.groupBy("file", "_no").agg(role(0).alias("_h"), role(1).alias("seq"), role(3).alias("qual"))
-        head = F.regexp_extract("_h", r"^@(\S*)", 1)
-        return rows.filter(F.col("_h").startswith("@")).select("file", F.regexp_replace(head, "/[12]$", "").alias("read_id"), F.lit(mate).alias("mate"), "seq", "qual", F.col("_no").alias("ord"))
+def parse_fastq(lines: DataFrame, mate: int = 1) -> DataFrame:
+    """Reads (file, read_id, mate, seq, qual) of numbered lines, framed by line number, never by the ``@`` sign."""
+    lines = lines.withColumn("_no", F.expr("line div 4")).withColumn("_role", F.col("line") % 4)
+    role = lambda i: F.max(F.when(F.col("_role") == i, F.col("value")))
+    rows = lines.groupBy("file", "_no").agg(role(0).alias("_h"), role(1).alias("seq"), role(3).alias("qual"))
+    head = F.regexp_extract("_h", r"^@(\S*)", 1)
+    return rows.filter(F.col("_h").startswith("@")).select("file", F.regexp_replace(head, "/[12]$", "").alias("read_id"), F.lit(mate).alias("mate"), "seq", "qual", F.col("_no").alias("ord"))
 
-    reads = one(r1, 1)
-    return reads if r2 is None else reads.unionByName(one(r2, 2))
+
+def read_fastq(spark: SparkSession, r1: Paths, r2: Paths | None = None) -> DataFrame:
+    reads = parse_fastq(numbered_lines(spark, r1), 1)
+    return reads if r2 is None else reads.unionByName(parse_fastq(numbered_lines(spark, r2), 2))
 
 
-def read_fai(spark: SparkSession, path: Paths) -> DataFrame:
+def parse_fai(lines: DataFrame) -> DataFrame:
     """Contig names and lengths of a FASTA index, in file order; rows without a numeric length are skipped."""
     f = F.split("value", "\t")
-    rows = _lines(spark, path).select(f[0].alias("contig"), F.get(f, F.lit(1)).try_cast("bigint").alias("length"), F.col("rec_no").alias("ord"))
+    rows = lines.select(f[0].alias("contig"), F.get(f, F.lit(1)).try_cast("bigint").alias("length"), F.col("rec_no").alias("ord"))
     return rows.filter(F.col("length").isNotNull())
 
 
+def read_fai(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_fai(_lines(spark, paths))
+
+
 # --- tool tables -------------------------------------------------------------------------------
 
 
@@ -267,17 +323,22 @@ def read_depth(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.csv(paths, sep="\t", comment="#", schema="contig string, pos bigint, depth bigint", mode="FAILFAST")
 
 
-def read_mpileup(spark: SparkSession, paths: Paths) -> DataFrame:
+def parse_mpileup(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
-    return _lines(spark, paths).filter(F.size(f) >= 5).select(f[0].alias("contig"), f[1].cast("bigint").alias("pos"), f[2].alias("ref"), f[4].alias("bases"))
+    return lines.filter(F.size(f) >= 5).select(f[0].alias("contig"), f[1].cast("bigint").alias("pos"), f[2].alias("ref"), f[4].alias("bases"))
 
 
+def read_mpileup(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_mpileup(_lines(spark, paths))
+
+
+# Columns of the coverage table.
 _COVERAGE = ("rname", "startpos", "endpos", "numreads", "covbases", "coverage", "meandepth", "meanbaseq", "meanmapq")
 
 
-def read_coverage(spark: SparkSession, paths: Paths) -> DataFrame:
+def parse_coverage(lines: DataFrame) -> DataFrame:
     """Per-contig coverage, by header names or in the usual column order."""
-    lines = _lines(spark, paths).filter(F.col("value") != "")
+    lines = lines.filter(F.col("value") != "")
     head = lines.filter(F.col("value").startswith("#")).groupBy("file").agg(F.min("value").alias("_h"))
     named = head.select("file", F.split(F.regexp_replace("_h", "^#+", ""), "\t").alias("_names"))
     f = F.split("value", "\t")
@@ -295,13 +356,18 @@ def read_coverage(spark: SparkSession, paths: Paths) -> DataFrame:
     )
 
 
+def read_coverage(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_coverage(_lines(spark, paths))
+
+
+# Line endings of the flagstat text.
 _FLAGSTAT = {
     "total": r"in total", "primary": r"primary$", "secondary": r"secondary$", "supplementary": r"supplementary$", "duplicates": r"duplicates$",
     "mapped": r"mapped \(", "properly_paired": r"properly paired \(",
 }
 
 
-def read_flagstat(spark: SparkSession, paths: Paths) -> DataFrame:
+def parse_flagstat(lines: DataFrame) -> DataFrame:
     """One row per file of a samtools flagstat text."""
     line = F.col("value")
     count = F.regexp_extract(line, r"^(\d+) \+ \d+ ", 1).try_cast("bigint")
@@ -313,23 +379,32 @@ def read_flagstat(spark: SparkSession, paths: Paths) -> DataFrame:
         aggs.append(F.max(F.when(hit, count)).alias(name))
         if name in ("mapped", "properly_paired"):
             aggs.append(F.max(F.when(hit, share)).alias(f"{name}_percent"))
-    return _lines(spark, paths).groupBy("file").agg(*aggs)
+    return lines.groupBy("file").agg(*aggs)
 
 
+def read_flagstat(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_flagstat(_lines(spark, paths))
+
+
+# Labels of the summary numbers.
 _SAMSTATS = {
     "reads mapped": "reads_mapped", "reads unmapped": "reads_unmapped", "bases mapped": "bases_mapped", "error rate": "error_rate",
     "average length": "average_length", "average quality": "average_quality", "insert size average": "insert_size_average",
 }
 
 
-def read_samstats(spark: SparkSession, paths: Paths) -> DataFrame:
+def parse_samstats(lines: DataFrame) -> DataFrame:
     """One row per file of the SN section of samtools stats."""
     f = F.split("value", "\t")
-    rows = _lines(spark, paths).filter(F.col("value").startswith("SN\t") & (F.size(f) >= 3))
+    rows = lines.filter(F.col("value").startswith("SN\t") & (F.size(f) >= 3))
     label, value = F.regexp_replace(f[1], ":$", ""), f[2].try_cast("double")
     return rows.groupBy("file").agg(*[F.max(F.when(label == k, value)).alias(n) for k, n in _SAMSTATS.items()])
 
 
+def read_samstats(spark: SparkSession, paths: Paths) -> DataFrame:
+    return parse_samstats(_lines(spark, paths))
+
+
 # --- sample tables -------------------------------------------------------------------------------
 
 
@@ -357,28 +432,33 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs
 
-    def head(uri: str) -> str | None:
+    def head(uri: str) -> tuple[str | None, str | None]:
+        """The whole first line, or why it can't be read."""
         try:
             system, path = fs.FileSystem.from_uri(uri)
             with system.open_input_stream(path, compression=None) as handle:
-                data = handle.read(1 << 16)
-            if data[:2] == b"\x1f\x8b":
-                import io
-
-                data = gzip.GzipFile(fileobj=io.BytesIO(data)).readline()
-            return data.split(b"\n", 1)[0].decode("utf-8", "replace").rstrip("\r")
-        except (OSError, EOFError, ValueError):
-            return None
+                zipped = handle.read(2) == b"\x1f\x8b"
+            with system.open_input_stream(path, compression="gzip" if zipped else None) as handle:
+                parts = []
+                while data := handle.read(1 << 16):
+                    line, newline, _ = data.partition(b"\n")
+                    parts.append(line)
+                    if newline:
+                        break
+            return b"".join(parts).decode("utf-8", "replace").rstrip("\r"), None
+        except (OSError, EOFError, ValueError) as error:
+            return None, str(error)
 
     for batch in batches:
-        yield batch.assign(first_line=batch["path"].map(head))
+        found = [head(p) for p in batch["path"]]
+        yield batch.assign(first_line=[f[0] for f in found], error=[f[1] for f in found])
 
 
 def scan_files(spark: SparkSession, root: str, max_depth: int = 4, exclude: str | None = None, exclude_files: list[str] | None = None) -> DataFrame:
-    """Files below ``root`` (path, length, first_line) up to ``max_depth`` folders deep.
+    """Files below ``root`` (path, length, first_line, error) up to ``max_depth`` folders deep.
 
     ``exclude`` is a regular expression or a glob on the file name. Contents are
-    not read beyond the first block of each file.
+    read up to the first line's end; a file that can't be read has an ``error``.
     """
     import fnmatch
     import re
@@ -397,4 +477,4 @@ def scan_files(spark: SparkSession, root: str, max_depth: int = 4, exclude: str
         files = files.filter(~N.base_name(F.col("path")).rlike(pattern))
     if exclude_files:
         files = files.filter(~inside.isin(*exclude_files))
-    return files.mapInPandas(_first_lines, "path string, length bigint, first_line string")
+    return files.mapInPandas(_first_lines, "path string, length bigint, first_line string, error string")

@@ -25,6 +25,44 @@ DEFINITIONS = {
     ("INFO", "SVTYPE"): '##INFO=<ID=SVTYPE,Number=1,Type=String,Description="Type of structural variant">',
     ("INFO", "SVLEN"): '##INFO=<ID=SVLEN,Number=1,Type=Integer,Description="Length of structural variant">',
     ("INFO", "TYPE"): '##INFO=<ID=TYPE,Number=A,Type=String,Description="Allele type">',
+    ("FORMAT", "AO"): '##FORMAT=<ID=AO,Number=A,Type=Integer,Description="Alternate allele observations">',
+    ("FORMAT", "SB"): '##FORMAT=<ID=SB,Number=1,Type=Float,Description="Share of alternate reads on the forward strand">',
+    ("INFO", "BCSQ"): '##INFO=<ID=BCSQ,Number=.,Type=String,Description="Consequence annotation">',
+    **{
+        ("INFO", name): f'##INFO=<ID={name},Number=1,Type={kind},Description="{text}">'
+        for name, kind, text in (
+            ("CONTEXT_LOCAL_SNPS", "Integer", "SNPs within the window"),
+            ("CONTEXT_INDEL_DIST", "Integer", "Distance to the nearest indel"),
+            ("CONTEXT_LOWQUAL_REASON", "String", "Context rules that fired"),
+            ("ASM_MAPQ", "Integer", "Mapping quality of the assembly block"),
+            ("ASM_TP", "String", "Type of the assembly block"),
+            ("ASM_S1", "Integer", "Chaining score"),
+            ("ASM_S2", "Integer", "Chaining score of the best secondary chain"),
+            ("ASM_CM", "Integer", "Minimizers on the chain"),
+            ("ASM_AS", "Integer", "Alignment score"),
+            ("ASM_DV", "Float", "Approximate divergence"),
+            ("ASM_DE", "Float", "Gap-compressed divergence"),
+            ("ASM_RL", "Integer", "Length of repetitive query seeds"),
+            ("ASM_S2_RATIO", "Float", "Secondary to primary chaining score"),
+            ("ASM_CM_PER_KB", "Float", "Minimizers per kilobase"),
+            ("ASM_RL_FRAC", "Float", "Share of repetitive query seeds"),
+            ("ASM_EDGE_DIST", "Integer", "Distance to the block's edge"),
+            ("ASM_LOWQUAL_REASON", "String", "Assembly rules that fired"),
+            ("MUMMER_BLEN", "Integer", "Length of the alignment block"),
+            ("MUMMER_ERR", "Integer", "Errors of the alignment block"),
+            ("MUMMER_IDENTITY", "Float", "Identity of the alignment block"),
+            ("MUMMER_VAR_KB", "Float", "Variants per kilobase of the block"),
+            ("MUMMER_EDGE_DIST", "Integer", "Distance to the block's edge"),
+            ("SB_REF_FWD", "Integer", "Reference reads on the forward strand"),
+            ("SB_REF_REV", "Integer", "Reference reads on the reverse strand"),
+            ("SB_ALT_FWD", "Integer", "Alternate reads on the forward strand"),
+            ("SB_ALT_REV", "Integer", "Alternate reads on the reverse strand"),
+            ("SB_ALT_FWD_FRAC", "Float", "Share of alternate reads on the forward strand"),
+            ("SB_PVALUE", "Float", "Strand-bias p-value"),
+            ("SB_PHRED", "Float", "Strand-bias p-value, phred-scaled"),
+            ("SB_METHOD", "String", "Test of the strand bias"),
+        )
+    },
     ("INFO", "ZERODEPTH"): '##INFO=<ID=ZERODEPTH,Number=0,Type=Flag,Description="No read covers this interval">',
 }
 
