@@ -128,6 +128,8 @@ def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray, length: int =
     group = np.cumsum(~same)
     together = same | np.append(same[1:], False)
     order, group = order[together], group[together]
+    if not len(order):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     own, off = owner[order], offset[order]
     ranked = np.lexsort((at[own] + off, doc[own], group))
     later = np.concatenate([[False], group[ranked][1:] == group[ranked][:-1]])
