@@ -53,7 +53,7 @@ _ROW_DDL = "kind long, anchor long, content long, doc long, at long, n long"
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys, and their dense ranks from 1."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     by_order = keys[order]
     names = np.empty(len(keys), np.int64)
     names[order] = np.cumsum(np.concatenate([[1], by_order[1:] != by_order[:-1]]))
@@ -85,15 +85,17 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     first = first[first < n]  # without the empty suffix that evens out the sample
     high = int(len(sample)).bit_length()
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.argsort((t[zeros] << high) | rank[zeros + 1], kind="stable")]
+    zeros = zeros[np.argsort((t[zeros] << high) | rank[zeros + 1])]
     in_one, in_two = first[first % 3 == 1], first[first % 3 == 2]
     before = np.searchsorted((t[in_one] << high) | rank[in_one + 1], (t[zeros] << high) | rank[zeros + 1])
 
+    pair = (t[: n + 2] << bits) | t[1 : n + 3]
+    if 2 * bits + high > 63:  # two symbols and a rank don't fit: name the pairs first
+        _, pair = _ranks(pair)
+
     def two(i: np.ndarray) -> np.ndarray:
-        # symbol, symbol and rank, with the first two named together so that they fit
         return (pair[i] << high) | rank[i + 2]
 
-    _, pair = _ranks((t[: n + 2] << bits) | t[1 : n + 3])
     before += np.searchsorted(two(in_two), two(zeros))
     out = np.empty(n, np.int64)
     place = np.arange(len(zeros)) + before
