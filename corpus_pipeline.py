@@ -45,8 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text they decode to."""
-    path = public_tokenizers.path(TOKENIZER)
-    return bpe.decode(bpe.encode(docs, path), path).select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded")
+    return bpe.encode_and_decode(docs, public_tokenizers.path(TOKENIZER), ["doc_id", "lang", "source"])
 
 
 STAGES = [("quality", accept), ("near_duplicates", deduplicate), ("personal_data", mask), ("mixing", mix), ("encoding", encode)]

@@ -264,6 +264,32 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", text: str = "decode
     return df.withColumn(text, decode_ids(F.col(ids), path))
 
 
+def encode_and_decode(df: DataFrame, path: str, keep: list[str], text: str = "text", rows: int = 500) -> DataFrame:
+    """The ``keep`` columns with n_tokens, token_ids and decoded, in one pass.
+
+    A worker holds one set of tables and ``rows`` results at a time, whatever the
+    size of the batches that reach it. NULL and empty texts give no ids and an
+    empty text. ``keep`` must not hold the new names.
+    """
+    import pyarrow as pa
+
+    source = df.select(*keep, F.col(text).alias("_text"))
+    ddl = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in batches:
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                ids = [own.encode(t) for t in part.column("_text").to_pylist()]
+                made = {
+                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "token_ids": pa.array(ids, pa.binary()),
+                    "decoded": pa.array([own.decode(x).decode() for x in ids], pa.string()),
+                }
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made.values()], names=[*keep, *made])
+
+    return source.mapInArrow(run, ddl + ", n_tokens long, token_ids binary, decoded string")
+
+
 def round_trip(text: Column, path: str) -> Column:
     """Struct of the packed ids' and the decoded text's SHA-256, for texts that need not leave the worker."""
     import hashlib
