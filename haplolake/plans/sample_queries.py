@@ -346,3 +346,39 @@ def core_alignment_whole(spark, d):
     return K.core_alignment(msa, K.soft_core(msa, 0.03))
 
 
+
+
+_MODELS = """long_ AS (SELECT contig, seq, n, n // 3 AS third, ord FROM v_sequences WHERE n > 120),
+    parts AS (SELECT contig, 6 AS s, third AS e, CASE WHEN ord % 2 = 0 THEN '+' ELSE '-' END AS strand, ord % 3 = 2 AS bare, CASE WHEN ord % 2 = 0 THEN 0 ELSE n - third - 36 END AS before, n - 42 AS total FROM long_
+      UNION ALL SELECT contig, third + 30, n - 6, CASE WHEN ord % 2 = 0 THEN '+' ELSE '-' END, ord % 3 = 2, CASE WHEN ord % 2 = 0 THEN third - 6 ELSE 0 END, n - 42 FROM long_),
+    hits AS (SELECT a.sample, a.contig, a.pos, a.ref, a.alt, p.*, length(a.alt) - length(a.ref) AS grow,
+      CASE WHEN strand = '+' THEN before + greatest(a.pos - 1, s) - s ELSE before + e - least(a.pos - 1 + length(a.ref), e) END AS c0, least(a.pos - 1 + length(a.ref), e) - greatest(a.pos - 1, s) AS w
+      FROM v_alleles a JOIN parts p ON p.contig = a.contig AND a.pos - 1 < p.e AND p.s < a.pos - 1 + length(a.ref) WHERE length(a.ref) <> length(a.alt)),
+    told AS (SELECT DISTINCT sample, contig, pos, ref, alt, CASE WHEN bare THEN concat_ws('|', 'non_coding', 'g' || contig, 't' || contig, 'tRNA') ELSE concat_ws('|',
+      CASE WHEN c0 < 3 THEN 'start_lost' WHEN c0 + w > total - 3 AND grow < 0 THEN 'stop_lost' WHEN grow % 3 <> 0 THEN 'frameshift' WHEN grow > 0 THEN 'inframe_insertion' ELSE 'inframe_deletion' END,
+      'g' || contig, 't' || contig, 'protein_coding', strand) END AS csq FROM hits)"""
+
+
+@query(
+    "consequences_of_indels",
+    """SELECT a.sample, a.contig AS chrom, a.pos, a.ref, a.alt, coalesce(t.csq, '') AS csq FROM (SELECT * FROM v_alleles WHERE length(ref) <> length(alt)) a
+       LEFT JOIN (SELECT sample, contig, pos, ref, alt, string_agg(csq, ',' ORDER BY csq) AS csq FROM told GROUP BY ALL) t
+         ON t.sample = a.sample AND t.contig = a.contig AND t.pos = a.pos AND t.ref = a.ref AND t.alt = a.alt""",
+    ("v_alleles",),
+    _MODELS,
+)
+def consequences_of_indels(spark, d):
+    """Insertions and deletions over coding sequences of two parts, a third of them non-coding."""
+    from haplolake.operators.sequences import annotate_consequences
+    from haplolake.plans.sequence_queries import _edits
+
+    seqs = view(spark, d, "v_sequences").filter("n > 120").withColumn("third", F.expr("n div 3"))
+    span = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
+    ends = F.array(span(F.lit(6), F.col("third")), span(F.col("third") + 30, F.col("n") - 6))
+    cds = seqs.select(
+        "contig", F.when(F.col("ord") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat(F.lit("g"), "contig").alias("gene"), F.concat(F.lit("t"), "contig").alias("transcript"),
+        F.when(F.col("ord") % 3 == 2, "tRNA").otherwise("protein_coding").alias("biotype"), F.explode(ends).alias("p"),
+    ).select("contig", "strand", "gene", "transcript", "biotype", "p.*")
+    v = _edits(spark, d).filter(F.length("ref") != F.length(F.get("alts", F.lit(0))))
+    out = annotate_consequences(v, cds, view(spark, d, "v_sequences"))
+    return keys_of(out, F.coalesce(F.try_element_at("info", F.lit("BCSQ")), F.lit("")).alias("csq"))
