@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,27 @@ def assembly(calls: DataFrame, blocks: DataFrame, seqs: DataFrame, contigs: Data
     return _finish(V.context_filter(v, **context), samples, seqs, cds, None, None, "asm")
 
 
+def long_reads(
+    calls: DataFrame,
+    alignments: DataFrame,
+    seqs: DataFrame,
+    contigs: DataFrame,
+    cds: DataFrame | None = None,
+    min_depth: int = 0,
+    user_mask: DataFrame | None = None,
+    **context: int,
+) -> SampleResult:
+    """The same as ``short_reads`` with the filters of long reads."""
+    samples = stage(alignments.select("sample").union(calls.select("sample")).distinct())
+    v = V.retype(V.split_multiallelic(V.has_alt_gt(calls)))
+    v = V.long_read_filters(V.drop_unobserved(Q.normalize(v, seqs)))
+    names = samples.agg(F.sort_array(F.collect_set("sample"))).scalar()
+    segments = stage(depth_segments(filter_alignments(alignments), contigs.withColumn("sample", F.explode(names)), keys=("sample",)))
+    zero, low = depth_blocks(segments, min_depth, ("sample", "contig"))
+    v = V.context_filter(V.add_deletions(v, zero, seqs, contigs, merged=True), **context)
+    return _finish(v, samples, seqs, cds, low if min_depth > 0 else None, user_mask, "long")
+
+
 @dataclass
 class CoreResult:
     """Tables of a core analysis; ``failed`` holds samples that don't fit the reference, with their errors."""
@@ -116,3 +138,28 @@ def core(consensus: DataFrame, reference: DataFrame, threshold: float = 0.95, re
     return CoreResult(
         failed, msa, decisions, K.core_alignment(sites, chosen), K.constant_sites(sites), K.snp_distances(sites), K.snp_distances(sites.join(chosen.select("site"), "site", "left_semi"))
     )
+
+
+@dataclass
+class CohortResult:
+    """Sample results of any kind taken together, and the core analysis over them."""
+
+    breakdown: DataFrame
+    qc: DataFrame
+    failed: DataFrame
+    core: CoreResult
+
+
+def cohort(results: list[SampleResult], reference: DataFrame, threshold: float = 0.95, reference_id: str = "reference") -> CohortResult:
+    """Combined breakdown and QC of several runs, the core of their consensus, and the samples that fell out.
+
+    ``qc`` gets each sample's aligned share; samples that don't fit the reference
+    or are removed as outliers are in ``failed`` with the reason.
+    """
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    seqs = union([r.consensus.select("sample", "contig", "seq") for r in results])
+    found = core(seqs, reference, threshold, reference_id)
+    shares = found.decisions.select("sequence", "aligned")
+    qc = S.add_core_alignment_qc(S.union_by_name([r.qc for r in results]), shares, reference_id)
+    out = found.decisions.filter("removed").select(F.col("sequence").alias("sample"), F.concat(F.lit("removed: "), F.coalesce("filter_reason", F.lit(""))).alias("error"))
+    return CohortResult(union([r.breakdown for r in results]), qc, found.failed.select("sample", "error").unionByName(out), found)

@@ -113,3 +113,20 @@ def test_a_sample_without_calls_is_kept(spark, variants, reads):
     c = flows.core(bad.select("sample", "contig", "seq"), seqs.withColumn("ord", F.lit(0)), 0.6)
     assert [r["sample"] for r in c.failed.collect()] == ["w"]
     assert {r["sample"] for r in c.alignment.collect()} == {"reference", "s", "u"}
+
+
+def test_long_reads_and_cohort(spark, variants, reads):
+    seqs = spark.createDataFrame([("chr1", TEXT)], "contig string, seq string")
+    contigs = spark.createDataFrame([("chr1", 100, 0)], "contig string, length bigint, ord int")
+    calls = variants([(31, "A", "C")]).withColumn("fmt", F.map_concat("fmt", F.create_map(F.lit("DP"), F.lit("30")))).withColumn("qual", F.lit(200.0))
+    calls = calls.withColumn("filters", F.array().cast("array<string>"))
+    a = reads([(f"r{i}", 0, 1 + (i % 2) * 50, "50M", TEXT[(i % 2) * 50 : (i % 2) * 50 + 50]) for i in range(8)])
+    short = flows.short_reads(calls, a.withColumn("sample", F.lit("s")), seqs, contigs)
+    long = flows.long_reads(calls.withColumn("sample", F.lit("l")), a.withColumn("sample", F.lit("l")), seqs, contigs)
+    assert {r["sample"]: r["seq"][30] for r in long.consensus.collect()} == {"l": "c"}
+    stray = flows.short_reads(calls.filter("false"), a.withColumn("sample", F.lit("w")), seqs.withColumn("contig", F.lit("zz")), contigs.withColumn("contig", F.lit("zz")))
+    out = flows.cohort([short, long, stray], seqs.withColumn("ord", F.lit(0)), 0.6)
+    assert {r["sample"]: r["pipeline_type"] for r in out.qc.collect()} == {"s": "short", "l": "long", "w": "short"}
+    assert [r["sample"] for r in out.failed.collect()] == ["w"]
+    assert {r["sample"] for r in out.breakdown.collect()} >= {"s", "l"}
+    assert {(r["a"], r["b"]): r["distance"] for r in out.core.core_distances.collect()} == {("l", "reference"): 1, ("l", "s"): 0, ("reference", "s"): 1}
