@@ -14,7 +14,8 @@ windows have the same anchor at the same offset.
    over 100 bytes. Of equal windows all but the earliest are removed.
 3. Anchors of very many contexts would make one task too large. Their windows
    are dealt out one by one under a 64-bit hash of their own bytes instead, and
-   the earliest of each is found by a partial minimum.
+   the earliest of each is found by a partial minimum. Repeats inside a batch
+   are settled before that.
 
 Every window takes exactly one of these ways together with all windows equal to
 it, so no repeat is lost.
@@ -38,7 +39,7 @@ from haplolake.session import stage
 
 LENGTH, ANCHOR = 100, 24
 SPAN = LENGTH - ANCHOR + 1  # anchor positions in a window
-IN_BATCH, IN_GROUP = 64, 256  # contexts of one anchor beyond which its windows are dealt out one by one
+IN_BATCH, IN_GROUP = 64, 1024  # contexts of one anchor beyond which its windows are dealt out one by one
 SORTED_BYTES = 1_000_000  # bytes that are suffix-sorted at once, and up to a batch more
 _OFFSET_BITS = 38  # of a position; the bits above tell texts of one doc_id apart
 _NO_ID = (1 << 63) - 1  # stands for a NULL doc_id, behind all others
@@ -176,7 +177,8 @@ def _digests(raw: bytes, first: np.ndarray, n: np.ndarray) -> list[int]:
 
 
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    made = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def _rows(kind, anchor, content, doc, at, n) -> pa.RecordBatch:
@@ -211,12 +213,28 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks = anchor[hot & new_anchor]
             zero = np.zeros(len(marks), np.int64)
             yield _rows(HOT, marks, zero, zero, zero, zero)
+            crowd = []
             for i in np.flatnonzero(first & hot):
                 start = int(at[i]) & ((1 << _OFFSET_BITS) - 1)
                 starts = np.arange(start, start + n[i])
-                windows = np.array(_digests(texts[own[i]], starts, np.ones(n[i], np.int64)), np.uint64).view(np.int64)
-                same = np.full(n[i], 1, np.int64)
-                yield _rows(WINDOW, same * anchor[i], windows, same * doc[i], at[i] + starts - start, same)
+                crowd.append(_windows(texts[own[i]], starts, anchor[i], doc[i], at[i] + starts - start))
+            earliest, later = _earliest(np.concatenate(crowd, 1))
+            for kind, (anchor_, window, doc_, at_) in ((WINDOW, earliest), (COPY, later)):
+                yield _rows(kind, anchor_, window, doc_, at_, np.ones(len(doc_), np.int64))
+
+
+def _windows(raw: bytes, starts: np.ndarray, anchor: int, doc: int, at: np.ndarray) -> np.ndarray:
+    """Rows anchor, hash, doc and place of single windows."""
+    hashes = np.array(_digests(raw, starts, np.ones(len(starts), np.int64)), np.uint64).view(np.int64)
+    return np.stack([np.full(len(starts), anchor), hashes, np.full(len(starts), doc), at])
+
+
+def _earliest(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of each window in a batch, and the later ones, which are repeats whatever other batches hold."""
+    anchor, content, doc, at = windows
+    windows = windows[:, np.lexsort((at, doc, content, anchor))]
+    first = np.concatenate([[True], (windows[:2, 1:] != windows[:2, :-1]).any(0)])
+    return windows[:, first], windows[:, ~first]
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int, size=None) -> Iterator[pa.Table]:
@@ -264,9 +282,13 @@ _BYTES_DDL = "anchor long, content long, doc long, at long, bytes binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted context; of a crowded one the hash of each window."""
+    """The bytes of each wanted context; of a crowded one the hash of each window.
+
+    Windows that repeat inside a batch come without an anchor: they are settled.
+    """
     for batch in batches:
         out: list[tuple] = []
+        crowd: list[np.ndarray] = []
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
             tag = _tag(raw)
@@ -278,10 +300,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((w["anchor"], 0, doc, w["at"], raw[start : start + w["n"] + LENGTH - 1]))
                 else:
                     starts = np.arange(start, start + w["n"])
-                    windows = np.array(_digests(raw, starts, np.ones(w["n"], np.int64)), np.uint64).view(np.int64).tolist()
-                    out += [(w["anchor"], h, doc, w["at"] + i, None) for i, h in enumerate(windows)]
+                    crowd.append(_windows(raw, starts, w["anchor"], doc, w["at"] + starts - start))
         if out:
             yield _batch(list(zip(*out, strict=True)), _BYTES)
+        if crowd:
+            earliest, later = _earliest(np.concatenate(crowd, 1))
+            yield _batch([*earliest, pa.nulls(earliest.shape[1], pa.binary())], _BYTES)
+            yield _batch([pa.nulls(later.shape[1], pa.int64()), *later[1:], pa.nulls(later.shape[1], pa.binary())], _BYTES)
 
 
 _RUN = pa.schema([("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
@@ -351,12 +376,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     tasks = partitions_for(spark, open_.count(), 20_000)
     shared = cut.where("bytes IS NOT NULL").repartition(tasks, "anchor").sortWithinPartitions("anchor")
     sorted_runs = shared.mapInArrow(_sort, _RUN_DDL)
-    windows = cut.where("bytes IS NULL").select("anchor", "content", "doc", "at")
+    windows = cut.where("bytes IS NULL AND anchor IS NOT NULL").select("anchor", "content", "doc", "at")
     windows = windows.unionByName(settled.where(F.col("kind") == WINDOW).select("anchor", "content", "doc", "at"))
     place = F.struct("doc", "at")
     earliest = windows.groupBy("anchor", "content").agg(F.min(place).alias("e"), F.count("*").alias("k")).where("k > 1")
     crowd = windows.join(earliest, ["anchor", "content"]).where(place != F.col("e")).select("doc", "at", F.lit(1).cast("long").alias("n"))
     copies = settled.where(F.col("kind") == COPY).select("doc", "at", "n")
+    copies = copies.unionByName(cut.where("anchor IS NULL").select("doc", "at", F.lit(1).cast("long").alias("n")))
     return copies.unionByName(sorted_runs).unionByName(crowd)
 
 

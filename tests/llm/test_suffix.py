@@ -79,7 +79,9 @@ def test_against_brute_force(spark, monkeypatch, crowd):
     cut = pa.Table.from_batches(suffix._cut(iter([again] if wanted else [])), suffix._BYTES)
     shared = cut.filter(pa.compute.is_valid(cut["bytes"])).sort_by("anchor")
     runs = [r for b in suffix._sort(iter(shared.to_batches(max_chunksize=40))) for r in b.to_pylist()]
-    windows = [(r["anchor"], r["content"], r["doc"], r["at"]) for r in cut.filter(pa.compute.is_null(cut["bytes"])).to_pylist()]
+    loose = cut.filter(pa.compute.is_null(cut["bytes"])).to_pylist()
+    runs += [{"doc": r["doc"], "at": r["at"], "n": 1} for r in loose if r["anchor"] is None]
+    windows = [(r["anchor"], r["content"], r["doc"], r["at"]) for r in loose if r["anchor"] is not None]
     windows += [(r["anchor"], r["content"], r["doc"], r["at"]) for r in settled if r["kind"] == suffix.WINDOW]
     earliest = {}
     for a, c, d, p in windows:
