@@ -12,7 +12,7 @@ ALIGNED_OPS = ("M", "=", "X")
 EDGE_OPS = ("D", "N", "P")
 
 _VALID = r"^(\d+[MIDNSHP=X])+$"
-_PLACED = "array<struct<len:int,op:string,ref:int,query:int>>"
+_PLACED = "array<struct<len:int,op:string,ref:bigint,query:int>>"
 
 
 def ops(cigar: Column) -> Column:
@@ -54,7 +54,7 @@ def end_clips(cigar: Column) -> tuple[Column, Column]:
 def placed(cigar: Column, start: Column) -> Column:
     """Operations with the 0-based reference and query offset at which each begins."""
     state = F.struct(
-        start.cast("int").alias("ref"), F.lit(0).alias("query"), F.array().cast(_PLACED).alias("out")
+        start.cast("long").alias("ref"), F.lit(0).alias("query"), F.array().cast(_PLACED).alias("out")
     )
 
     def step(s: Column, p: Column) -> Column:
@@ -66,7 +66,7 @@ def placed(cigar: Column, start: Column) -> Column:
         )
 
     whole = F.struct(
-        F.regexp_extract(cigar, r"^(\d+)M$", 1).try_cast("int").alias("len"), F.lit("M").alias("op"), start.cast("int").alias("ref"), F.lit(0).alias("query")
+        F.regexp_extract(cigar, r"^(\d+)M$", 1).try_cast("int").alias("len"), F.lit("M").alias("op"), start.cast("long").alias("ref"), F.lit(0).alias("query")
     )
     general = F.aggregate(ops(cigar), state, step, lambda s: s["out"])
     # most reads match in one piece and skip the fold

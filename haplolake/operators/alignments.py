@@ -207,7 +207,7 @@ def crop_reads(a: DataFrame, bed: DataFrame) -> DataFrame:
     """
     reads = as_intervals(a).filter(F.col("end") > F.col("start"))
     pairs = overlap_join(reads, merge_intervals(bed)).withColumn("_ops", C.placed(F.col("cigar"), F.col("start")))
-    lo, hi = F.greatest("start", "start_b").cast("int"), F.least("end", "end_b").cast("int")
+    lo, hi = F.greatest("start", "start_b").cast("long"), F.least("end", "end_b").cast("long")
     pairs = pairs.withColumn("_lo", lo).withColumn("_hi", hi)
 
     def cut(p: Column) -> Column:
@@ -217,10 +217,10 @@ def crop_reads(a: DataFrame, bed: DataFrame) -> DataFrame:
         spans = p["op"].isin(*C.ALIGNED_OPS)
         size = F.when(spans | p["op"].isin("D", "N"), kept).when(inside & p["op"].isin("I", "P"), p["len"]).otherwise(0)
         return F.struct(
-            size.alias("len"),
+            size.cast("int").alias("len"),
             p["op"].alias("op"),
             F.when(p["op"] == "I", p["ref"]).otherwise(first).alias("ref"),
-            F.when(spans, p["query"] + first - p["ref"]).otherwise(p["query"]).alias("query"),
+            F.when(spans, p["query"] + first - p["ref"]).otherwise(p["query"]).cast("int").alias("query"),
         )
 
     parts = F.filter(F.transform("_ops", cut), lambda p: p["len"] > 0)
@@ -238,7 +238,7 @@ def crop_reads(a: DataFrame, bed: DataFrame) -> DataFrame:
         return F.when(F.col(name) == "*", "*").otherwise(text)
 
     new = {
-        "pos": (F.coalesce(F.get(on_ref, F.lit(0))["ref"], F.col("_lo")) + 1).cast("int"),
+        "pos": (F.coalesce(F.get(on_ref, F.lit(0))["ref"], F.col("_lo")) + 1).cast(a.schema["pos"].dataType),
         "cigar": C.text(F.col("_parts")),
         "seq": letters("seq"),
         "qual": letters("qual"),

@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
                CASE l_linenumber WHEN 1 THEN 99 WHEN 2 THEN 147 WHEN 3 THEN 1123 WHEN 4 THEN 256
                                  WHEN 5 THEN 4 WHEN 6 THEN 2064 ELSE 16 END AS flag,
                'chr' || CAST(l_orderkey % 4 AS STRING) AS rname,
-               CAST(l_orderkey * 40 + l_linenumber * 5 + 1 AS INT) AS pos,
+               CAST(l_orderkey * 40 + l_linenumber * 5 + 1 AS BIGINT) AS pos,
                CAST(l_quantity + 10 AS INT) AS mapq,
                CASE l_partkey % 5 WHEN 0 THEN '100M'
                     WHEN 1 THEN CAST(l_suppkey % 20 + 1 AS STRING) || 'S' || CAST(99 - l_suppkey % 20 AS STRING) || 'M'

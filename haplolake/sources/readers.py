@@ -137,11 +137,11 @@ def parse_sam(lines: DataFrame) -> DataFrame:
         f[0].alias("qname"),
         f[1].cast("int").alias("flag"),
         f[2].alias("rname"),
-        f[3].cast("int").alias("pos"),
+        f[3].cast("bigint").alias("pos"),
         f[4].cast("int").alias("mapq"),
         f[5].alias("cigar"),
         f[6].alias("rnext"),
-        f[7].cast("int").alias("pnext"),
+        f[7].cast("bigint").alias("pnext"),
         f[8].cast("int").alias("tlen"),
         f[9].alias("seq"),
         f[10].alias("qual"),
