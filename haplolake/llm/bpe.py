@@ -32,7 +32,7 @@ from haplolake.llm.common import _OTHER_SPACES, _SIX, Remember
 END = "</w>"
 # The last symbol of a word is moved to a plane of its own, so each symbol is one character.
 _LAST = 0x10000
-MEMO_CHUNK, MEMO_ENTRIES = 64, 400_000
+MEMO_CHUNK, MEMO_ENTRIES = 64, 250_000
 
 # Below U+0180 letters, numbers and lower case are the same in every Unicode version, and texts are composed
 # already, so such texts are split by the same pattern with its classes written out. U+001C to U+001F count
@@ -72,7 +72,7 @@ class Codec:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self.rank.setdefault((left, right), (r, whole))
             self.parts.setdefault(whole, (r, left, right))
-        self.fits = Remember(self._fits, 2_000_000)
+        self.fits = Remember(self._fits, 500_000)
 
         self.length = {i: len(s) for s, i in self.symbol.items()}
         automaton = ahocorasick.Automaton()

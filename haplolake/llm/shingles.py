@@ -17,7 +17,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_hash = Remember(xxhash.xxh3_64_intdigest, 300_000)
+_hash = Remember(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def words_of(text: str | None) -> list[bytes]:
