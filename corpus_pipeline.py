@@ -31,16 +31,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each span of personal data replaced by its kind; ``n_chars`` follows the new text."""
-    found = pii.find_pii(docs.withColumnsRenamed({"text": "_text"}), pii.fit_pii(docs), "_text")
-    clean = found.withColumn("text", pii.masked(F.col("_text"), F.col("spans")))
-    changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", changed).select(*docs.columns)
+    # the row travels as one column, so that columns of any name survive
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    clean = pii.find_pii(rows, pii.fit_pii(docs)).withColumn("_clean", pii.masked(F.col("text"), F.col("spans")))
+    size = F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("_row.n_chars"))
+    return clean.select(F.col("_row").withField("text", F.col("_clean")).withField("n_chars", size).alias("_row")).select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those that it doesn't take are gone."""
-    mixed = mixing.mix_documents(docs).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    mixed = mixing.mix_documents(rows).where("copies > 0")
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,14 @@ def test_odd_rows(spark):
         assert step(spark, docs, FOLDER).count() > 0
 
 
+def test_clashing_columns_survive(spark):
+    docs = documents(spark, "/root/testdata/sf0.001").selectExpr("*", "doc_id AS size", "doc_id AS copies", "'x' AS base", "doc_id AS spans", "0 AS score", "doc_id AS target")
+    for _, step in P.STAGES[:-1]:
+        got = step(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns and got.count() > 50
+        assert got.where("size <> doc_id OR copies <> doc_id OR base <> 'x' OR spans <> doc_id OR score <> 0 OR target <> doc_id").count() == 0
+
+
 def test_run_is_the_chain(spark):
     got = P.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 50 and got.where("n_tokens IS NULL OR decoded IS NULL").count() == 0
