@@ -9,6 +9,13 @@ one of them. Two sets of similarity s share a token with chance s, so ``TREES``
 independent trees find a pair of similarity 0.8 that parts at the first token
 with chance 1 - 0.2**TREES.
 
+Pairs that part inside a node of more than ``SMALL`` documents may be missed by
+that. So the members of each tree's first nodes that are large and still hold
+several components are compared with each other on their full sets, in tiles:
+a node is cut by set size (sets of similarity 0.8 are in the same size class or
+in neighbouring ones) and into blocks of bounded bytes, and each pair of blocks
+is one task's matrix product. A tile returns only links that join components.
+
 Equal sets are one class, represented once. Every candidate link is confirmed on
 the full sets; components come from confirmed links alone.
 """
@@ -16,6 +23,7 @@ the full sets; components come from confirmed links alone.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +42,8 @@ TREES, LEVELS, TOKENS = 8, 6, 64
 SMALL = 24
 # Candidates whose tokens agree less than this are not confirmed: five standard errors under 0.8.
 LEAST_AGREEMENT = 0.55
+# Bytes of sets and number of sets in a block; a tile has two blocks. Shingles of more sets are counted by matrix products.
+BLOCK_BYTES, BLOCK_SETS, RARE = 4_000_000, 1024, 64
 
 _seeds = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -102,6 +112,94 @@ def candidates(classes: DataFrame, small: int = SMALL) -> DataFrame:
     return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _tiles(classes: DataFrame, small: int, percent: int) -> DataFrame:
+    """``cls``, ``comp`` and ``tile`` of the members of large first nodes, once for each tile; tiles of one component are left out."""
+    width = 1.001 * max(math.log(100 / max(percent, 1)), 1e-9)
+    firsts = [F.xxhash64(F.lit(t), _token("tokens", LEVELS * t)).alias(f"t{t}") for t in range(TREES)]
+    rows = classes.select("cls", "comp", "n", F.explode(F.array(*firsts)).alias("node")).withColumn("c", F.floor(F.log("n") / width))
+    spread = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    sizes = rows.groupBy("node", "c").agg(F.count("*").alias("k"), F.sum("n").alias("all"), *spread)
+    blocks = F.greatest(F.ceil(F.col("all") * 8 / BLOCK_BYTES), F.ceil(F.col("k") / BLOCK_SETS))
+    sizes = sizes.withColumn("m", blocks.cast("long"))
+    nodes = sizes.groupBy("node").agg(F.sum("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("m"))
+    rows = rows.join(nodes.where((F.col("k") > small) & (F.col("lo") != F.col("hi"))).select("node", "m"), "node")
+    c, own = F.col("c"), F.pmod(F.xxhash64("cls", F.lit(-1)), F.col("m")[F.col("c")])
+
+    def facing(other: Column, tile) -> Column:
+        return F.when(F.col("m")[other].isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("m")[other] - 1), tile)).otherwise(F.array().cast("array<long>"))
+
+    met = F.concat(
+        facing(c, lambda x: F.xxhash64("node", c, F.least("own", x), c, F.greatest("own", x))),
+        facing(c + 1, lambda x: F.xxhash64("node", c, "own", c + 1, x)),
+        facing(c - 1, lambda x: F.xxhash64("node", c - 1, x, c, "own")),
+    )
+    rows = stage(rows.withColumn("own", own).select("cls", "comp", F.explode(met).alias("tile")))
+    mixed = rows.groupBy("tile").agg(*spread).where("lo <> hi").select("tile")
+    return rows.join(mixed, "tile")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted distinct sets, above the diagonal."""
+    k = len(sets)
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(k), [len(s) for s in sets])
+    by_name = np.argsort(name, kind="stable")
+    owner = owner[by_name]
+    count = np.bincount(name)
+    start = np.cumsum(count) - count
+    same = np.zeros((k, k), np.float32)
+    hot = np.flatnonzero(count > RARE)
+    for a in range(0, len(hot), 1024):
+        part = hot[a : a + 1024]
+        has = np.zeros((k, len(part)), np.float32)
+        for column, i in enumerate(part):
+            has[owner[start[i] : start[i] + count[i]], column] = 1
+        same += has @ has.T
+    flat = same.reshape(-1)
+    for size in range(2, RARE + 1):
+        which = np.flatnonzero(count == size)
+        x, y = np.triu_indices(size, 1)
+        step = max(1, 1_000_000 // len(x))
+        for a in range(0, len(which), step):
+            own = owner[start[which[a : a + step], None] + np.arange(size)]
+            at, times = np.unique(own[:, x] * k + own[:, y], return_counts=True)
+            flat[at] += times
+    return same
+
+
+def _joins(percent: int):
+    """Of one tile, confirmed links between components, no more than join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls = table.column("cls").to_pylist()
+        label = {c: i for i, c in enumerate(sorted(set(table.column("comp").to_pylist())))}
+        comp = np.array([label[c] for c in table.column("comp").to_pylist()])
+        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        n = np.array([len(s) for s in sets])
+        same = _overlaps(sets)
+        a, b = [], []
+        for i in range(len(sets) - 1):
+            both = same[i, i + 1 :].astype(np.int64)
+            like = (100 * both >= percent * (n[i] + n[i + 1 :] - both)) & (comp[i + 1 :] != comp[i])
+            for j in (np.flatnonzero(like) + i + 1).tolist():
+                if comp[i] != comp[j]:
+                    comp[comp == comp[j]] = comp[i]
+                    a.append(min(cls[i], cls[j]))
+                    b.append(max(cls[i], cls[j]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def crowd_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, size: int, percent: int, small: int = SMALL) -> DataFrame:
+    """Links that join components inside large nodes, every two members of different components compared."""
+    known = classes.join(roots.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    tiles = stage(_tiles(known, small, percent))
+    members = tiles.select("cls").distinct()
+    sets = stage(_sets(docs, classes.select("cls", "rep").join(members, "cls"), size))
+    return tiles.join(sets, "cls").groupBy("tile").applyInArrow(_joins(percent), "a binary, b binary").distinct()
+
+
 def _within(rows: DataFrame) -> DataFrame:
     """All pairs of each node; the nodes are small."""
     met = rows.groupBy("tree", "node").agg(F.sort_array(F.collect_list("cls")).alias("all"))
@@ -164,7 +262,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: in
     Documents are linked if their ``size``-word shingle sets have
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest
     doc_id reachable by links. ``n_links`` counts the confirmed links of the
-    document's class to other classes. Texts without words are linked with
+    document's class to other classes; in crowds not all links are looked for,
+    but all that join components. Texts without words are linked with
     nothing. Documents of fewer words have one shingle. A NULL doc_id has no
     component and is kept. Rows that repeat a doc_id are separate documents of
     that id. An empty table gives an empty result. Other columns are not kept.
@@ -183,6 +282,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: in
     full = like.join(sets.withColumnsRenamed({"cls": "a", "set": "s_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "s_b"}), "b")
     links = stage(full.where(_confirmed(percent)("s_a", "s_b")).select("a", "b"))
     roots = components(links)
+    more = stage(crowd_links(docs, classes, roots, size, percent, small))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
     lowest = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
     number = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     of_class = classes.select("cls", "rep").join(roots.join(lowest, "root").join(number, "node").withColumnRenamed("node", "cls"), "cls", "left")

@@ -66,6 +66,28 @@ def test_against_all_pairs(spark, small):
     assert sorted(map(tuple, got)) == brute(rows, 4, 80)
 
 
+def test_star_of_copies_unlike_each_other(spark):
+    rng = random.Random(5)
+    hub = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(hub))]
+    for d in range(1, 3001):
+        copy = list(hub)
+        for part in range(10):  # ten scattered words: 357 of 437 shingles are the original's
+            copy[40 * part + rng.randrange(4, 36)] = f"x{d}_{part}"
+        rows.append((d, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert {r.component_id for r in neardup.near_duplicates(df, 4, 80).select("component_id").distinct().collect()} == {0}
+
+
+def test_overlaps():
+    import numpy as np
+
+    rng = random.Random(2)
+    sets = [np.unique(np.array([rng.randrange(30) if rng.random() < 0.5 else rng.randrange(3000) for _ in range(40)], np.uint64)) for _ in range(150)]
+    got = neardup._overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in combinations(range(150), 2))
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (3, "other text"), (1, "A B C D E")], "doc_id long, text string")
     got = neardup.near_duplicates(df).select("doc_id", "component_id", "kept").collect()
