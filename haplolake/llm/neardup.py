@@ -40,8 +40,8 @@ from haplolake.session import stage
 
 TREES, LEVELS, TOKENS = 8, 6, 64
 SMALL = 24
-# Candidates whose tokens agree less than this are not confirmed: five standard errors under 0.8.
-LEAST_AGREEMENT = 0.55
+# Candidates whose tokens agree less than this are not confirmed: at 19 or fewer of 64, a pair of similarity 0.8 does so with chance 4.9e-18.
+LEAST_AGREEMENT = 0.3
 # Bytes of sets and number of sets in a block; a tile has two blocks. Shingles of more sets are counted by matrix products.
 BLOCK_BYTES, BLOCK_SETS, RARE = 4_000_000, 1024, 64
 

@@ -79,6 +79,13 @@ def test_star_of_copies_unlike_each_other(spark):
     assert {r.component_id for r in neardup.near_duplicates(df, 4, 80).select("component_id").distinct().collect()} == {0}
 
 
+def test_token_cut_is_negligible():
+    from math import ceil, comb
+
+    fewest = ceil(neardup.LEAST_AGREEMENT * neardup.TOKENS)
+    assert sum(comb(neardup.TOKENS, i) * 0.8**i * 0.2 ** (neardup.TOKENS - i) for i in range(fewest)) < 1e-17
+
+
 def test_overlaps():
     import numpy as np
 
