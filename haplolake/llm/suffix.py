@@ -135,7 +135,8 @@ def repeated(texts: list[bytes], doc: np.ndarray, at: np.ndarray, length: int =
         return np.empty(0, np.int64), np.empty(0, np.int64)
     own, off = owner[order], offset[order]
     ranked = np.lexsort((at[own] + off, doc[own], group))
-    later = np.concatenate([[False], group[ranked][1:] == group[ranked][:-1]])
+    first = np.concatenate([[True], group[ranked][1:] != group[ranked][:-1]])
+    later = _later(first, doc[own[ranked]], (at[own] + off)[ranked])
     return own[ranked][later], off[ranked][later]
 
 
@@ -204,7 +205,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, content, doc, at, n, own = (x[order] for x in (anchor, content, doc, at, n, own))
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         first = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
-        yield _rows(COPY, anchor[~first], content[~first], doc[~first], at[~first], n[~first])
+        later = _later(first, doc, at)
+        yield _rows(COPY, anchor[later], content[later], doc[later], at[later], n[later])
         group = np.cumsum(new_anchor) - 1
         hot = np.bincount(group[first], minlength=group[-1] + 1)[group] > IN_BATCH
         plain = first & ~hot
@@ -234,7 +236,13 @@ def _earliest(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     anchor, content, doc, at = windows
     windows = windows[:, np.lexsort((at, doc, content, anchor))]
     first = np.concatenate([[True], (windows[:2, 1:] != windows[:2, :-1]).any(0)])
-    return windows[:, first], windows[:, ~first]
+    return windows[:, first], windows[:, _later(first, windows[2], windows[3])]
+
+
+def _later(first: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which sorted rows have another place than the first of their group; rows that repeat id and text are one place."""
+    earliest = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return (doc != doc[earliest]) | (at != at[earliest])
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int, size=None) -> Iterator[pa.Table]:
@@ -268,7 +276,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         first = new_anchor | np.concatenate([[True], content[1:] != content[:-1]])
-        yield _rows(COPY, anchor[~first], content[~first], doc[~first], at[~first], n[~first])
+        later = _later(first, doc, at)
+        yield _rows(COPY, anchor[later], content[later], doc[later], at[later], n[later])
         group = np.cumsum(new_anchor) - 1
         different = np.bincount(group[first], minlength=group[-1] + 1)[group]
         crowded = first & ((different > IN_GROUP) | np.isin(anchor, marked))

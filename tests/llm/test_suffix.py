@@ -106,6 +106,25 @@ def test_on_spark(spark):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeated_rows_are_one_document(spark, parts):
+    rows = _rows()
+    repeated = spark.createDataFrame(rows * 3, "doc_id long, text string").repartition(parts)
+    got = sorted(map(tuple, suffix.remove_repeats(repeated).collect()), key=str)
+    assert got == sorted(brute(rows) * 3, key=str)
+
+
+def test_repeated_rows_in_a_crowd_and_in_one_sort():
+    first = np.array([True, False, False, True, False])
+    assert suffix._later(first, np.array([1, 1, 2, 3, 3]), np.array([5, 5, 5, 0, 9])).tolist() == [False, False, True, False, True]
+    same = np.array([[1, 1, 1], [7, 7, 7], [4, 4, 5], [0, 0, 0]])
+    earliest, later = suffix._earliest(same)
+    assert earliest[2].tolist() == [4] and later[2].tolist() == [5]
+    text = bytes(range(1, 121))
+    own, off = suffix.repeated([text, text, text], np.array([4, 4, 5]), np.array([0, 0, 0]))
+    assert len(own) == 21 and set(own.tolist()) == {2}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="tables are not here")
 def test_query(spark):
     from haplolake.llm.queries import QUERIES
