@@ -93,3 +93,16 @@ def test_mix_of_overlapping_sources(spark):
     total = {r.k: r.t for r in mixed.groupBy(F.to_json(F.array_sort(F.coalesce("names", F.array()))).alias("k")).agg(F.sum("taken").alias("t")).collect()}
     assert sum(total.values()) == pytest.approx(6020, abs=20)
     assert all(abs(total[p] - sum(f.values())) <= 10 for p, f in flow.items() if p in total and "null" not in p)
+
+
+def test_toxicity_fits_long_texts(spark):
+    """Texts over the bound train the network too, by windows from all over them."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(120)) + (" vile" * 40 if i % 2 else " mild" * 40)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, most_chars=240)
+    scores = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.toxicity_score(docs.text, model).alias("s")).collect()}
+    assert all((scores[i] >= toxicity.CUT) == (i % 2 == 1) for i in scores)
+    text = "a" * 100 + "b" * 100 + "c" * 100
+    got = spark.createDataFrame([(text,), ("short",)], "text string").select(toxicity.bounded("text", 80).alias("t")).collect()
+    assert got[0].t.startswith("a" * 10) and got[0].t.endswith("c" * 10) and "b" in got[0].t and len(got[0].t) == 87 and got[1].t == "short"
