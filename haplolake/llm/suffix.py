@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.llm.common import partitions_for
@@ -169,7 +169,16 @@ def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tag(raw: bytes) -> int:
     """Leading bits of a position, which tell different texts under one doc_id apart."""
-    return (xxhash.xxh3_64_intdigest(raw) & 0xFFFFFF) << _OFFSET_BITS
+    return (xxhash.xxh64_intdigest(raw, 42) & 0xFFFFFF) << _OFFSET_BITS
+
+
+def _with_tag(docs: DataFrame) -> DataFrame:
+    """Add ``tag``, the bits of ``_tag``: Spark's xxhash64 is that hash."""
+    return docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF))
+
+
+def _tag_of(at: str) -> Column:
+    return F.shiftrightunsigned(at, _OFFSET_BITS)
 
 
 def _digests(raw: bytes, first: np.ndarray, n: np.ndarray) -> list[int]:
@@ -380,8 +389,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     dealt = found.repartition(n, meets).sortWithinPartitions("anchor", "content", "doc", "at")
     settled = stage(dealt.mapInArrow(_settle, _ROW_DDL))
     open_ = settled.where(F.col("kind").isin(CONTEXT, CROWDED))
-    wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("wanted"))
-    cut = stage(d.join(wanted, "doc").mapInArrow(_cut, _BYTES_DDL))
+    # by text, not by doc_id alone, so that a list is bounded by one text
+    wanted = open_.groupBy("doc", _tag_of("at").alias("tag")).agg(F.collect_list(F.struct("kind", "anchor", "at", "n")).alias("wanted"))
+    cut = stage(_with_tag(d).join(wanted, ["doc", "tag"]).select("doc", "text", "wanted").mapInArrow(_cut, _BYTES_DDL))
     tasks = partitions_for(spark, open_.count(), 20_000)
     shared = cut.where("bytes IS NOT NULL").repartition(tasks, "anchor").sortWithinPartitions("anchor")
     sorted_runs = shared.mapInArrow(_sort, _RUN_DDL)
@@ -405,6 +415,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text are one document and get equal results. An empty table gives an empty
     result. Other columns are not kept.
     """
-    runs = repeated_runs(docs).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    runs = repeated_runs(docs).groupBy("doc", _tag_of("at").alias("tag")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID)))
-    return d.join(runs, "doc", "left").select("doc_id", "text", "runs").mapInArrow(_remove, _RESULT_DDL)
+    return _with_tag(d).join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, _RESULT_DDL)

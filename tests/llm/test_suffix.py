@@ -114,6 +114,26 @@ def test_repeated_rows_are_one_document(spark, parts):
     assert got == sorted(brute(rows) * 3, key=str)
 
 
+def test_lists_are_bounded_by_one_text(spark, monkeypatch):
+    texts = [t for _, t in _rows()]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    tags = {t: r.tag for t, r in zip(texts, suffix._with_tag(df.coalesce(1)).select("tag").collect(), strict=True)}
+    assert all(suffix._tag((t or "").encode()) >> suffix._OFFSET_BITS == tag for t, tag in tags.items())
+    most, remove = spark.sparkContext.accumulator(0), suffix._remove
+
+    def watched(batches):
+        for batch in batches:
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                most.add(sum(r["at"] - suffix._tag((text or "").encode()) not in range(len((text or "").encode())) for r in runs or []))
+            yield from remove(iter([batch]))
+
+    monkeypatch.setattr(suffix, "_remove", watched)
+    ordered = sorted(set(texts), key=lambda t: tags[t])
+    got = {tuple(r)[1:] for r in suffix.remove_repeats(df).collect()}
+    assert most.value == 0  # no row is given runs of another text
+    assert got == {r[1:] for r in brute([(0, t) for t in ordered])}
+
+
 def test_repeated_rows_in_a_crowd_and_in_one_sort():
     first = np.array([True, False, False, True, False])
     assert suffix._later(first, np.array([1, 1, 2, 3, 3]), np.array([5, 5, 5, 0, 9])).tolist() == [False, False, True, False, True]
