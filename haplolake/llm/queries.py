@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplolake.llm import bpe, decontam, fingerprints, mixing, neardup, pii, quality, sharding, suffix, topk, toxicity
+from haplolake.llm import bpe, decontam, fingerprints, manifest, mixing, neardup, negatives, pii, quality, sharding, suffix, topk, toxicity
 from haplolake.llm.common import documents, labels, remainder_of
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,17 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.decontaminate(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").where(topk.usable(F.col("embedding")) & F.col("label").isNotNull())
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = e.select("vec_id", label.alias("label"), topk.scaled(F.col("embedding")).alias("ints"))
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest.verified_manifest(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_quality": op2_quality,
@@ -86,8 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
     "op11_decontamination": op11_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_manifest": op13_manifest,
 }
 
+
+def _leaf_sql(text: str) -> str:
+    fields = (f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields)
+
+
 ORACLE: dict[str, str] = {
     "op6_exact_topk": """
 WITH v AS (
@@ -118,4 +137,53 @@ ids AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FR
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.ints, c.ints), lambda x: coalesce(x[1], 0) * coalesce(x[2], 0))) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.other_id AS positive_id, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY s.score DESC, s.other_id) AS k
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10""",
+    "op13_manifest": f"""
+WITH RECURSIVE crc AS (
+  SELECT *, row_number() OVER () AS r, coalesce('s' || source, '') AS k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 2 = 0 AS even
+  FROM documents
+), d AS (
+  SELECT r, k, doc_id, sha256({_leaf_sql("text")}) AS leaf,
+    sha256({_leaf_sql("(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END)")}) AS copy FROM crc
+), leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+nodes AS (
+  SELECT k, 0 AS l, idx, leaf AS d FROM leaves
+  UNION ALL SELECT k, l + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM nodes) WHERE c > 1 GROUP BY k, l, idx // 3
+), heights AS (SELECT k, max(l) AS h FROM nodes GROUP BY k),
+subroots AS (SELECT k, d, row_number() OVER (ORDER BY k) - 1 AS idx FROM nodes JOIN heights USING (k) WHERE l = h),
+tops AS (
+  SELECT 0 AS l, idx, d FROM subroots
+  UNION ALL SELECT l + 1, idx // 3, sha256(string_agg(d, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS c FROM tops) WHERE c > 1 GROUP BY l, idx // 3
+), top AS (SELECT max(l) AS h FROM tops), root AS (SELECT d AS root FROM tops, top WHERE l = h),
+fold AS (
+  SELECT r, k, idx, 0 AS l, copy AS cur, '' AS proof FROM leaves
+  UNION ALL SELECT f.r, f.k, f.idx // 3, f.l + 1, sha256(string_agg(CASE WHEN n.idx = f.idx THEN f.cur ELSE n.d END, '' ORDER BY n.idx)),
+    f.proof || string_agg(CASE WHEN n.idx = f.idx THEN '' ELSE n.d END, '' ORDER BY n.idx)
+  FROM fold f JOIN heights h ON h.k = f.k AND f.l < h.h JOIN nodes n ON n.k = f.k AND n.l = f.l AND n.idx // 3 = f.idx // 3 GROUP BY f.r, f.k, f.idx, f.l, f.cur, f.proof
+), sub AS (SELECT f.* FROM fold f JOIN heights h ON h.k = f.k AND f.l = h.h),
+above AS (
+  SELECT s.r, t.idx, 0 AS l, s.cur, s.proof FROM sub s JOIN subroots t USING (k)
+  UNION ALL SELECT f.r, f.idx // 3, f.l + 1, sha256(string_agg(CASE WHEN n.idx = f.idx THEN f.cur ELSE n.d END, '' ORDER BY n.idx)),
+    f.proof || string_agg(CASE WHEN n.idx = f.idx THEN '' ELSE n.d END, '' ORDER BY n.idx)
+  FROM above f JOIN top ON f.l < top.h JOIN tops n ON n.l = f.l AND n.idx // 3 = f.idx // 3 GROUP BY f.r, f.idx, f.l, f.cur, f.proof
+)
+SELECT doc_id, leaf, s.d AS subroot, root, sha256(a.proof) AS proof_sha256, a.cur AS folded_root, a.cur = root AS verified
+FROM leaves JOIN subroots s USING (k) JOIN above a USING (r) JOIN top ON a.l = top.h, root""",
 }
