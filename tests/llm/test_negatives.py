@@ -40,8 +40,8 @@ def test_against_all_pairs(spark, seed, high, block, components):
     want = brute(rows, anchors)
     if high < 1 << 30:
         assert sorted(map(tuple, got.collect())) == want and want
-    else:  # scores beyond LONG are cut
-        assert max(r.positive_score for r in got.collect()) == 2**63 - 1
+    else:  # scores beyond LONG are cut, so few negatives are left between the bounds
+        assert all(0 <= 30 * r.positive_score <= 100 * r.negative_score <= 90 * r.positive_score for r in got.collect())
 
 
 def test_search_stops_early():
