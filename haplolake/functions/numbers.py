@@ -52,8 +52,12 @@ def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) ->
 
 
 def human_size(size: Column) -> Column:
-    """Bytes as text in base-1024 units; whole bytes, otherwise one decimal."""
-    text = F.format_string("%.1f PB", size / 1024.0**5)
+    """Bytes as text in base-1024 units; whole bytes, otherwise one decimal, of which ties round to even."""
+
+    def scaled(power: int, unit: str) -> Column:
+        return F.format_string(f"%.1f {unit}", F.bround(size / 1024.0**power, 1))
+
+    text = scaled(5, "PB")
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
-        text = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", size / 1024.0**power)).otherwise(text)
+        text = F.when(size < 1024.0 ** (power + 1), scaled(power, unit)).otherwise(text)
     return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(text)

@@ -152,13 +152,13 @@ def feature_cnv(
     keep: tuple[str, ...] = ("feature_id",),
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Copy number of each feature; ``baseline`` is a number, a column, or a table (keys, baseline)."""
+    """Copy number of each feature; ``baseline`` is a number, a column, or a table (keys, baseline). One of 0 or less is an error."""
     found = feature_depth(features, segments, keep, keys)
     if isinstance(baseline, DataFrame):
         found = found.join(baseline.select(*keys, F.col("baseline").alias("_base")), list(keys))
         return found.withColumn("copy_number", half_up(F.col("read_depth") / _above_zero(F.col("_base")))).drop("_base")
     base = F.lit(float(baseline)) if not isinstance(baseline, Column) else baseline
-    return found.withColumn("copy_number", half_up(F.col("read_depth") / base))
+    return found.withColumn("copy_number", half_up(F.col("read_depth") / _above_zero(base)))
 
 
 def baseline_from_region(

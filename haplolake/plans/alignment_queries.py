@@ -225,19 +225,39 @@ def feature_cnv(spark, d):
     return out.withColumnsRenamed({"start": "start_", "end": "end_"})
 
 
+# the first covered feature of all, and of the longest contig
+_PICKED = _FEATURE + """, picked AS (SELECT min(feature_id) FILTER (WHERE read_depth > 0) AS any_,
+      min(feature_id) FILTER (WHERE read_depth > 0 AND contig = (SELECT contig FROM v_contigs ORDER BY length DESC, ord LIMIT 1)) AS long_ FROM medians)"""
+
+
 @query(
     "baselines",
-    """SELECT 'feature' AS kind, read_depth AS baseline FROM medians WHERE feature_id = 'f100'
-       UNION ALL SELECT 'region', (min(depth) FILTER (WHERE hi >= 1001 // 2) + min(depth) FILTER (WHERE hi >= 1000 // 2 + 1)) / 2.0e0 FROM (
-         SELECT depth, sum(sum(least(2000, end_) - greatest(1000, start_))) OVER (ORDER BY depth) AS hi FROM segments WHERE end_ IS NOT NULL AND contig = 'chr0' AND start_ < 2000 AND end_ > 1000 GROUP BY depth)""",
+    """SELECT 'feature' AS kind, read_depth AS baseline FROM medians WHERE feature_id = (SELECT any_ FROM picked)
+       UNION ALL SELECT 'region', read_depth FROM medians WHERE feature_id = (SELECT long_ FROM picked)""",
     ("v_alignments", "v_contigs", "v_features"),
-    _FEATURE,
+    _PICKED,
 )
 def baselines(spark, d):
+    segments, features = D.depth_segments(alignments(spark, d), contigs(spark, d)), _features(spark, d)
+    longest = contigs(spark, d).orderBy(F.desc("length"), "ord").first().contig
+    covered = D.feature_depth(features, segments).where("read_depth > 0")
+    own = F.when(F.col("contig") == longest, F.struct("feature_id", "start", "end"))
+    picked = covered.agg(F.min("feature_id").alias("any"), F.min(own).alias("long")).first()
+    a = D.baseline_from_feature(segments, features, picked.any).select(F.lit("feature").alias("kind"), "baseline")
+    region = (None, picked.long.start + 1, picked.long.end)
+    return a.union(D.baseline_from_region(segments, contigs(spark, d), region).select(F.lit("region").alias("kind"), "baseline"))
+
+
+@query(
+    "uncovered_features",
+    "SELECT contig, feature_id, s AS start_, e AS end_ FROM medians WHERE read_depth = 0",
+    ("v_alignments", "v_contigs", "v_features"),
+    _FEATURE,
+)
+def uncovered_features(spark, d):
     segments = D.depth_segments(alignments(spark, d), contigs(spark, d))
-    a = D.baseline_from_feature(segments, _features(spark, d), "f100").select(F.lit("feature").alias("kind"), "baseline")
-    b = D.baseline_from_region(segments, contigs(spark, d), (None, 1001, 2000)).select(F.lit("region").alias("kind"), "baseline")
-    return a.union(b)
+    bare = D.feature_depth(_features(spark, d), segments).where("read_depth = 0")
+    return bare.select("contig", "feature_id", F.col("start").alias("start_"), F.col("end").alias("end_"))
 
 
 # bases of a read at each aligned reference position, straight from the five CIGAR shapes

@@ -65,16 +65,47 @@ def snp_distances(spark, d):
     return K.snp_distances(_msa(spark, d), tile=128)
 
 
+# five samples, each with the complement of every fifth contig
+_FIVE = "five AS (SELECT contig, ord, n, CAST(k AS STRING) AS sample, k, CASE WHEN ord % 5 = k THEN translate(seq, 'ACGT', 'TGCA') ELSE seq END AS seq FROM (SELECT contig, ord, n, seq, unnest(range(5)) AS k FROM v_sequences))"
+
+
+def _five(spark, d):
+    s = view(spark, d, "v_sequences").select("contig", "ord", "seq", F.explode(F.array(*map(F.lit, range(5)))).alias("k"))
+    own = F.when(F.col("ord") % 5 == F.col("k"), F.translate("seq", "ACGT", "TGCA")).otherwise(F.col("seq"))
+    return s.select(F.col("k").cast("string").alias("sample"), "contig", "ord", "k", own.alias("seq"))
+
+
 @query(
     "build_msa",
-    """SELECT 1 AS ord, source AS sample, string_agg(lang || ':' || CAST(n AS STRING), '' ORDER BY lang) AS seq FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 2
-       UNION ALL SELECT 0, 'reference', string_agg(lang || ':' || CAST(n AS STRING), '' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)""",
+    """SELECT 1 AS ord, sample, string_agg(seq, '' ORDER BY f.ord) AS seq FROM five f GROUP BY sample
+       UNION ALL SELECT 0, 'reference', string_agg(seq, '' ORDER BY ord) FROM v_sequences""",
+    ("v_sequences",),
+    _FIVE,
 )
 def build_msa(spark, d):
-    docs = table(spark, d, "documents")
-    seqs = docs.groupBy(F.col("source").alias("sample"), F.col("lang").alias("contig")).agg(F.concat("lang", F.lit(":"), F.count("*").cast("string")).alias("seq"))
-    ref = docs.groupBy(F.col("lang").alias("contig")).agg(F.concat("lang", F.lit(":"), F.count("*").cast("string")).alias("seq"))
-    return K.build_msa(seqs, ref.withColumn("ord", F.ascii("contig") * 256 + F.ascii(F.substring("contig", 2, 1))))
+    ref = view(spark, d, "v_sequences").select("contig", F.col("ord").cast("int").alias("ord"), "seq")
+    return K.build_msa(_five(spark, d).select("sample", "contig", "seq"), ref)
+
+
+@query(
+    "check_msa",
+    """SELECT 'contigs' AS check_, sample, contig AS key, 'missing' AS detail FROM five WHERE (ord + k) % 11 = 0
+       UNION ALL SELECT 'contigs', sample, contig, 'duplicate' FROM five WHERE (ord + k) % 11 = 1
+       UNION ALL SELECT 'contigs', sample, 'x' || contig, 'extra' FROM five WHERE (ord + k) % 11 = 2
+       UNION ALL SELECT 'contigs', sample, contig, 'missing' FROM five WHERE (ord + k) % 11 = 2
+       UNION ALL SELECT 'contig_length', sample, contig, (n + 2) || ' bases for ' || n FROM five WHERE (ord + k) % 11 = 3""",
+    ("v_sequences",),
+    _FIVE,
+)
+def check_msa(spark, d):
+    case = (F.col("ord") + F.col("k")) % 11
+    bad = _five(spark, d).withColumn("case", case).where("case <> 0")
+    times = F.when(F.col("case") == 1, 2).otherwise(1)
+    bad = bad.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    name = F.when(F.col("case") == 2, F.concat(F.lit("x"), "contig")).otherwise(F.col("contig"))
+    seq = F.when(F.col("case") == 3, F.concat("seq", F.lit("NN"))).otherwise(F.col("seq"))
+    found = K.check_msa(bad.select("sample", name.alias("contig"), seq.alias("seq")), view(spark, d, "v_sequences").select("contig", "ord", "seq"))
+    return found.withColumnRenamed("check", "check_")
 
 
 @query(
