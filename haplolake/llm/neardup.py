@@ -7,7 +7,9 @@ Nodes of up to ``SMALL`` documents are compared exhaustively and end there;
 larger ones branch on by the next token, and every member is also compared with
 one of them. Two sets of similarity s share a token with chance s, so ``TREES``
 independent trees find a pair of similarity 0.8 that parts at the first token
-with chance 1 - 0.2**TREES.
+with chance 1 - 0.2**TREES. The first tree joins most groups; the others leave
+out nodes of one component and compare across components alone, so a large group
+of near copies gives few pairs.
 
 Pairs that part inside a node of more than ``SMALL`` documents may be missed by
 that. So the members of each tree's first nodes that are large and still hold
@@ -39,6 +41,8 @@ from haplolake.llm.shingles import mix, shingle_set
 from haplolake.session import stage
 
 TREES, LEVELS, TOKENS = 8, 6, 64
+# Trees that run together; components are known between them.
+ROUNDS = (range(0, 1), range(1, TREES))
 SMALL = 24
 # Candidates whose tokens agree less than this are not confirmed: at 19 or fewer of 64, a pair of similarity 0.8 does so with chance 4.9e-18.
 LEAST_AGREEMENT = 0.3
@@ -49,11 +53,16 @@ _seeds = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D19
 
 
 def minwise(shingles: np.ndarray) -> bytes:
-    """The set's minwise tokens: 32 bits of its smallest image under each hash."""
-    out = np.empty(TOKENS, np.uint32)
+    """The set's minwise tokens: 32 bits of its smallest image under each hash, and 32 more of the first one of each tree.
+
+    A smallest image is near zero, so its bits are spread before they are cut.
+    """
+    least = np.empty(TOKENS, np.uint64)
     for i, seed in enumerate(_seeds):
-        out[i] = ((shingles ^ seed) * np.uint64(0x9E3779B97F4A7C15)).min() >> np.uint64(32)
-    return out.tobytes()
+        least[i] = ((shingles ^ seed) * np.uint64(0x9E3779B97F4A7C15)).min()
+    spread = mix(least + np.uint64(0x9E3779B97F4A7C15))
+    first = spread[: TREES * LEVELS : LEVELS] >> np.uint64(32)
+    return spread.astype(np.uint32).tobytes() + first.astype(np.uint32).tobytes()
 
 
 def _described(size: int):
@@ -85,19 +94,24 @@ def _token(column: str, i: int) -> Column:
     return F.substring(column, 4 * i + 1, 4)
 
 
-def candidates(classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """Pairs (a, b) of classes, a < b, that meet in a small node or with a node's chosen member."""
-    paths = [F.struct(F.lit(t).alias("tree"), F.substring("tokens", 4 * LEVELS * t + 1, 4 * LEVELS).alias("path")) for t in range(TREES)]
-    rows = classes.select("cls", F.explode(F.array(*paths)).alias("p")).select("cls", "p.tree", "p.path")
-    rows = rows.withColumn("node", F.xxhash64("tree", _token("path", 0)))
+def _first(t: int) -> Column:
+    """The first node of a class in tree ``t``, by 64 bits of its token."""
+    return F.xxhash64(F.lit(t), _token("tokens", LEVELS * t), _token("tokens", TOKENS + t))
+
+
+def candidates(classes: DataFrame, trees: range = range(TREES), small: int = SMALL) -> DataFrame:
+    """Pairs (a, b) of classes of different components (comp_a, comp_b) that meet in a small node or with a node's chosen member."""
+    paths = [F.struct(F.lit(t).alias("tree"), F.substring("tokens", 4 * LEVELS * t + 1, 4 * LEVELS).alias("path"), _first(t).alias("node")) for t in trees]
+    rows = classes.select("cls", "comp", F.explode(F.array(*paths)).alias("p")).select("cls", "comp", "p.*")
     pairs = []
     for level in range(1, LEVELS + 1):
-        drawn = F.struct(F.xxhash64("cls", F.lit(level)).alias("h"), F.col("cls").alias("c"))
-        nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min(drawn).alias("one")).where("n > 1")
-        rows = stage(rows.join(nodes.select("tree", "node", "n", F.col("one.c").alias("one")), ["tree", "node"]))
+        drawn = F.struct(F.xxhash64("cls", F.lit(level)).alias("h"), F.col("cls").alias("c"), F.col("comp").alias("comp"))
+        nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min(drawn).alias("one"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        nodes = nodes.where("n > 1 AND lo <> hi").select("tree", "node", "n", "one")
+        rows = stage(rows.join(nodes, ["tree", "node"]))
         large = rows.where(F.col("n") > small)
         pairs.append(_within(rows.where(F.col("n") <= small)))
-        pairs.append(large.select(F.col("cls").alias("x"), F.col("one").alias("y")))
+        pairs.append(large.where("comp <> one.comp").select(F.struct("cls", "comp").alias("x"), F.struct(F.col("one.c").alias("cls"), F.col("one.comp").alias("comp")).alias("y")))
         if large.isEmpty():
             break
         if level == LEVELS:
@@ -105,17 +119,18 @@ def candidates(classes: DataFrame, small: int = SMALL) -> DataFrame:
             part = F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col("n") * 2 / small).cast("long"))
             pairs.append(_within(large.withColumn("node", F.xxhash64("node", part))))
         else:
-            rows = large.select("cls", "tree", "path", F.xxhash64("node", _token("path", level)).alias("node"))
+            rows = large.select("cls", "comp", "tree", "path", F.xxhash64("node", _token("path", level)).alias("node"))
     found = pairs[0]
     for p in pairs[1:]:
-        found = found.unionByName(p)
-    return found.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        found = found.union(p)
+    found = found.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    return found.select(F.col("p.cls").alias("a"), F.col("q.cls").alias("b"), F.col("p.comp").alias("comp_a"), F.col("q.comp").alias("comp_b"))
 
 
 def _tiles(classes: DataFrame, small: int, percent: int) -> DataFrame:
     """``cls``, ``comp`` and ``tile`` of the members of large first nodes, once for each tile; tiles of one component are left out."""
     width = 1.001 * max(math.log(100 / max(percent, 1)), 1e-9)
-    firsts = [F.xxhash64(F.lit(t), _token("tokens", LEVELS * t)).alias(f"t{t}") for t in range(TREES)]
+    firsts = [_first(t) for t in range(TREES)]
     rows = classes.select("cls", "comp", "n", F.explode(F.array(*firsts)).alias("node")).withColumn("c", F.floor(F.log("n") / width))
     spread = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
     sizes = rows.groupBy("node", "c").agg(F.count("*").alias("k"), F.sum("n").alias("all"), *spread)
@@ -191,26 +206,26 @@ def _joins(percent: int):
     return run
 
 
-def crowd_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, size: int, percent: int, small: int = SMALL) -> DataFrame:
+def crowd_links(docs: DataFrame, known: DataFrame, size: int, percent: int, small: int = SMALL) -> DataFrame:
     """Links that join components inside large nodes, every two members of different components compared."""
-    known = classes.join(roots.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     tiles = stage(_tiles(known, small, percent))
     members = tiles.select("cls").distinct()
-    sets = stage(_sets(docs, classes.select("cls", "rep").join(members, "cls"), size))
+    sets = stage(_sets(docs, known.select("cls", "rep").join(members, "cls"), size))
     return tiles.join(sets, "cls").groupBy("tile").applyInArrow(_joins(percent), "a binary, b binary").distinct()
 
 
 def _within(rows: DataFrame) -> DataFrame:
-    """All pairs of each node; the nodes are small."""
-    met = rows.groupBy("tree", "node").agg(F.sort_array(F.collect_list("cls")).alias("all"))
-    pairs = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: y > x), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    """All pairs (x, y) of each node that lie in different components; the nodes are small."""
+    met = rows.groupBy("tree", "node").agg(F.collect_list(F.struct("cls", "comp")).alias("all"))
+    other = lambda x: F.filter("all", lambda y: (y["cls"] > x["cls"]) & (y["comp"] != x["comp"]))
+    pairs = F.transform("all", lambda x: F.transform(other(x), lambda y: F.struct(x.alias("x"), y.alias("y"))))
     return met.select(F.explode(F.flatten(pairs)).alias("p")).select("p.x", "p.y")
 
 
 @F.pandas_udf(DoubleType())
 def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    left = np.frombuffer(b"".join(a), np.uint32).reshape(-1, TOKENS)
-    return pd.Series((left == np.frombuffer(b"".join(b), np.uint32).reshape(-1, TOKENS)).mean(1))
+    left, right = (np.frombuffer(b"".join(x), np.uint32).reshape(-1, TOKENS + TREES)[:, :TOKENS] for x in (a, b))
+    return pd.Series((left == right).mean(1))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -256,43 +271,53 @@ def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.where(blank))
 
 
+def _links(docs: DataFrame, known: DataFrame, trees: range, size: int, percent: int, small: int) -> DataFrame:
+    """Links between components that these trees find, confirmed on full sets."""
+    pairs = candidates(known, trees, small)
+    for side in ("a", "b"):
+        own = known.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}"))
+        pairs = pairs.join(own, side)
+    like = pairs.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).where(_agreement("t_a", "t_b") >= LEAST_AGREEMENT)
+    like = stage(like.select("a", "b", "comp_a", "comp_b"))
+    met = like.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = stage(_sets(docs, known.select("cls", "rep").join(met, "cls"), size))
+    full = like.join(sets.withColumnsRenamed({"cls": "a", "set": "s_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "s_b"}), "b")
+    return full.where(_confirmed(percent)("s_a", "s_b")).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with the components that links between components make."""
+    roots = components(links).withColumnsRenamed({"node": "comp", "root": "_root"})
+    return known.join(roots, "comp", "left").withColumn("comp", F.coalesce("_root", "comp")).drop("_root")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: int = SMALL, with_hash: bool = False) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` and ``n_links`` of every document.
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every document.
 
     Documents are linked if their ``size``-word shingle sets have
     ``100 * intersection >= percent * union``; ``component_id`` is the smallest
-    doc_id reachable by links. ``n_links`` counts the confirmed links of the
-    document's class to other classes; in crowds not all links are looked for,
-    but all that join components. Texts without words are linked with
-    nothing. Documents of fewer words have one shingle. A NULL doc_id has no
-    component and is kept. Rows that repeat a doc_id are separate documents of
-    that id. An empty table gives an empty result. Other columns are not kept.
+    doc_id reachable by links. Texts without words are linked with nothing.
+    Documents of fewer words have one shingle. A NULL doc_id has no component and
+    is kept. Rows that repeat a doc_id are separate documents of that id. An empty
+    table gives an empty result. Other columns are not kept.
     """
     described = stage(describe(docs, size))
     classes = described.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
     classes = stage(classes.where("rep IS NOT NULL"))
-    pairs = candidates(classes, small)
-    for side in ("a", "b"):
-        own = classes.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}"))
-        pairs = pairs.join(own, side)
-    like = pairs.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).where(_agreement("t_a", "t_b") >= LEAST_AGREEMENT)
-    like = stage(like.select("a", "b"))
-    met = like.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = stage(_sets(docs, classes.select("cls", "rep").join(met, "cls"), size))
-    full = like.join(sets.withColumnsRenamed({"cls": "a", "set": "s_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "s_b"}), "b")
-    links = stage(full.where(_confirmed(percent)("s_a", "s_b")).select("a", "b"))
-    roots = components(links)
-    more = stage(crowd_links(docs, classes, roots, size, percent, small))
+    comps = classes.select("cls", F.col("cls").alias("comp"))
+    for trees in ROUNDS:
+        known = classes.join(comps, "cls")
+        comps = stage(_joined(comps, _links(docs, known, trees, size, percent, small)))
+    more = stage(crowd_links(docs, classes.join(comps, "cls"), size, percent, small))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        roots = components(links)
-    lowest = roots.join(classes.select(F.col("cls").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
-    number = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_class = classes.select("cls", "rep").join(roots.join(lowest, "root").join(number, "node").withColumnRenamed("node", "cls"), "cls", "left")
-    of_class = of_class.select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = described.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class, "cls", "left")
+        for side in ("a", "b"):
+            more = more.join(comps.select(F.col("cls").alias(side), F.col("comp").alias(f"c_{side}")), side)
+        comps = _joined(comps, more.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+    of_class = classes.select("cls", "rep").join(comps, "cls")
+    lowest = of_class.groupBy("comp").agg(F.min("rep").alias("component"))
+    out = described.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class.join(lowest, "comp").select("cls", "component"), "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *(["text_hash"] if with_hash else []),
+        *(["text_hash"] if with_hash else []),
     )

@@ -127,3 +127,30 @@ def test_query_finds_every_link(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op3_neardup"](spark, "/root/testdata/sf0.01").select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert sorted(map(tuple, got)) == brute(rows, 4, 80)
+
+
+def test_unlike_long_texts_share_no_first_node():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    sets = [rng.integers(0, 2**63, 5000, dtype=np.uint64) for _ in range(1500)]
+    tokens = [neardup.minwise(s) for s in sets]
+    firsts = [{t[24 * k : 24 * k + 4] + t[256 + 4 * k : 260 + 4 * k] for t in tokens} for k in range(neardup.TREES)]
+    assert all(len(f) == len(sets) for f in firsts)
+    # 32 bits alone are spread as well: 1500 of them agree with a chance of 1 in 3800
+    assert all(len({t[4 * i : 4 * i + 4] for t in tokens}) >= len(sets) - 1 for i in range(neardup.TOKENS))
+
+
+def test_pairs_of_a_large_group_are_few(spark):
+    rng = random.Random(6)
+    hub = [f"w{i}" for i in range(300)]
+    rows = []
+    for d in range(1500):
+        copy = list(hub)
+        copy[rng.randrange(300)] = f"x{d}"
+        rows.append((d, " ".join(copy)))
+    described = neardup.describe(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    classes = described.select("cls", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "tokens")
+    joined = neardup.candidates(classes.withColumn("comp", F.when(F.col("rep") < 1400, F.lit("all")).otherwise(F.col("rep").cast("string")).cast("binary")), neardup.ROUNDS[1])
+    assert 0 < joined.count() < 100 * 7 * 60
+    assert neardup.candidates(classes.withColumn("comp", F.lit("all").cast("binary")), neardup.ROUNDS[1]).count() == 0
