@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,13 +47,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder()
 
 
-def stage(df: DataFrame) -> DataFrame:
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def stage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder and continue from it.
 
     Used where a result feeds several branches: they then share one columnar,
     statistics-bearing table instead of repeating the work above it, and a lost
-    executor costs a re-read only.
+    executor costs a re-read only. Inside ``scratch`` the table goes with the
+    scope; with ``keep`` it outlives the innermost one.
     """
     path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end; what is needed later is staged with ``keep`` or collected."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
