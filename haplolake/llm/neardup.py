@@ -38,7 +38,7 @@ from pyspark.sql.types import DoubleType
 from haplolake.llm.common import WORD_PATTERN
 from haplolake.llm.components import components
 from haplolake.llm.shingles import mix, shingle_set
-from haplolake.session import stage
+from haplolake.session import scratch, stage
 
 TREES, LEVELS, TOKENS = 8, 6, 64
 # Trees that run together; components are known between them.
@@ -48,6 +48,8 @@ SMALL = 24
 LEAST_AGREEMENT = 0.3
 # Bytes of sets and number of sets in a block; a tile has two blocks. Shingles of more sets are counted by matrix products.
 BLOCK_BYTES, BLOCK_SETS, RARE = 4_000_000, 1024, 64
+# Classes whose ids are broadcast to the texts, at about 80 bytes each; for more of them the texts are shuffled.
+MOST_IDS = 500_000
 
 _seeds = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
@@ -128,7 +130,7 @@ def candidates(classes: DataFrame, trees: range = range(TREES), small: int = SMA
 
 
 def _tiles(classes: DataFrame, small: int, percent: int) -> DataFrame:
-    """``cls``, ``comp`` and ``tile`` of the members of large first nodes, once for each tile; tiles of one component are left out."""
+    """``cls`` and ``tile`` of the members of large first nodes that hold several components, once for each tile."""
     width = 1.001 * max(math.log(100 / max(percent, 1)), 1e-9)
     firsts = [_first(t) for t in range(TREES)]
     rows = classes.select("cls", "comp", "n", F.explode(F.array(*firsts)).alias("node")).withColumn("c", F.floor(F.log("n") / width))
@@ -148,9 +150,14 @@ def _tiles(classes: DataFrame, small: int, percent: int) -> DataFrame:
         facing(c + 1, lambda x: F.xxhash64("node", c, "own", c + 1, x)),
         facing(c - 1, lambda x: F.xxhash64("node", c - 1, x, c, "own")),
     )
-    rows = stage(rows.withColumn("own", own).select("cls", "comp", F.explode(met).alias("tile")))
-    mixed = rows.groupBy("tile").agg(*spread).where("lo <> hi").select("tile")
-    return rows.join(mixed, "tile")
+    return rows.withColumn("own", own).select("cls", F.explode(met).alias("tile"))
+
+
+def _mixed(tiles: DataFrame, comps: DataFrame) -> DataFrame:
+    """``cls``, ``comp`` and ``tile`` of the tiles that still hold several components."""
+    rows = stage(tiles.join(comps, "cls"))
+    open_ = rows.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tile")
+    return rows.join(open_, "tile")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -206,12 +213,9 @@ def _joins(percent: int):
     return run
 
 
-def crowd_links(docs: DataFrame, known: DataFrame, size: int, percent: int, small: int = SMALL) -> DataFrame:
+def crowd_links(tiles: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links that join components inside large nodes, every two members of different components compared."""
-    tiles = stage(_tiles(known, small, percent))
-    members = tiles.select("cls").distinct()
-    sets = stage(_sets(docs, known.select("cls", "rep").join(members, "cls"), size))
-    return tiles.join(sets, "cls").groupBy("tile").applyInArrow(_joins(percent), "a binary, b binary").distinct()
+    return _mixed(tiles, comps).join(sets, "cls").groupBy("tile").applyInArrow(_joins(percent), "a binary, b binary").distinct()
 
 
 def _within(rows: DataFrame) -> DataFrame:
@@ -238,7 +242,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             keep = [i for i, (a, b) in enumerate(zip(cls, batch.column("cls").to_pylist(), strict=True)) if a == b]
             yield pa.RecordBatch.from_arrays([pa.array([cls[i] for i in keep], pa.binary()), pa.array([sets[i] for i in keep], pa.binary())], names=["cls", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
+    small = F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(small, "rep")
     found = texts.select("cls", "text").mapInArrow(run, "cls binary, set binary")
     return found.groupBy("cls").agg(F.first("set").alias("set"))
 
@@ -271,16 +276,18 @@ def survivors(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.where(blank))
 
 
-def _links(docs: DataFrame, known: DataFrame, trees: range, size: int, percent: int, small: int) -> DataFrame:
-    """Links between components that these trees find, confirmed on full sets."""
+def _alike(known: DataFrame, trees: range, percent: int, small: int) -> DataFrame:
+    """Candidates of these trees that their sizes and tokens do not rule out."""
     pairs = candidates(known, trees, small)
     for side in ("a", "b"):
         own = known.select(F.col("cls").alias(side), F.col("n").alias(f"n_{side}"), F.col("tokens").alias(f"t_{side}"))
         pairs = pairs.join(own, side)
     like = pairs.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent).where(_agreement("t_a", "t_b") >= LEAST_AGREEMENT)
-    like = stage(like.select("a", "b", "comp_a", "comp_b"))
-    met = like.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = stage(_sets(docs, known.select("cls", "rep").join(met, "cls"), size))
+    return like.select("a", "b", "comp_a", "comp_b")
+
+
+def _links(like: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, confirmed on full sets."""
     full = like.join(sets.withColumnsRenamed({"cls": "a", "set": "s_a"}), "a").join(sets.withColumnsRenamed({"cls": "b", "set": "s_b"}), "b")
     return full.where(_confirmed(percent)("s_a", "s_b")).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
 
@@ -306,13 +313,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: in
     classes = stage(classes.where("rep IS NOT NULL"))
     comps = classes.select("cls", F.col("cls").alias("comp"))
     for trees in ROUNDS:
-        known = classes.join(comps, "cls")
-        comps = stage(_joined(comps, _links(docs, known, trees, size, percent, small)))
-    more = stage(crowd_links(docs, classes.join(comps, "cls"), size, percent, small))
-    if not more.isEmpty():
-        for side in ("a", "b"):
-            more = more.join(comps.select(F.col("cls").alias(side), F.col("comp").alias(f"c_{side}")), side)
-        comps = _joined(comps, more.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        with scratch(docs.sparkSession):
+            known = classes.join(comps, "cls")
+            like = stage(_alike(known, trees, percent, small))
+            met = like.select(F.explode(F.array("a", "b")).alias("cls"))
+            if trees is ROUNDS[-1]:  # the sets for the crowds come with the others
+                tiles = stage(_tiles(known, small, percent))
+                met = met.union(tiles.select("cls"))
+            sets = stage(_sets(docs, stage(classes.select("cls", "rep").join(met.distinct(), "cls")), size))
+            comps = stage(_joined(comps, _links(like, sets, percent)), keep=True)
+            if trees is ROUNDS[-1]:
+                more = stage(crowd_links(tiles, comps, sets, percent))
+                for side in ("a", "b"):
+                    more = more.join(comps.select(F.col("cls").alias(side), F.col("comp").alias(f"c_{side}")), side)
+                comps = stage(_joined(comps, more.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), keep=True)
     of_class = classes.select("cls", "rep").join(comps, "cls")
     lowest = of_class.groupBy("comp").agg(F.min("rep").alias("component"))
     out = described.select("doc_id", "text_hash", "n_shingles", "cls").join(of_class.join(lowest, "comp").select("cls", "component"), "cls", "left")
