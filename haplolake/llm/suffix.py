@@ -41,8 +41,8 @@ LENGTH, ANCHOR = 100, 24
 SPAN = LENGTH - ANCHOR + 1  # anchor positions in a window
 IN_BATCH, IN_GROUP = 64, 1024  # contexts of one anchor beyond which its windows are dealt out one by one
 SORTED_BYTES = 1_000_000  # bytes that are suffix-sorted at once, and up to a batch more
-_OFFSET_BITS = 38  # of a position; the bits above tell texts of one doc_id apart
-_NO_ID = (1 << 63) - 1  # stands for a NULL doc_id, behind all others
+_OFFSET_BITS = 31  # of a position, as a text has fewer bytes than that; the 32 bits above tell texts of one doc_id apart
+_TAG = 0xFFFFFFFF
 COPY, CONTEXT, HOT, WINDOW, CROWDED = range(5)
 
 _ROW = pa.schema([(n, pa.int64()) for n in ("kind", "anchor", "content", "doc", "at", "n")])
@@ -169,12 +169,22 @@ def contexts(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _tag(raw: bytes) -> int:
     """Leading bits of a position, which tell different texts under one doc_id apart."""
-    return (xxhash.xxh64_intdigest(raw, 42) & 0xFFFFFF) << _OFFSET_BITS
+    return (xxhash.xxh64_intdigest(raw, 42) & _TAG) << _OFFSET_BITS
 
 
 def _with_tag(docs: DataFrame) -> DataFrame:
     """Add ``tag``, the bits of ``_tag``: Spark's xxhash64 is that hash."""
-    return docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0xFFFFFF))
+    return docs.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(_TAG)))
+
+
+def _with_doc(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` with ``doc``, which stands for the id.
+
+    Rows without an id get one of the last 2**32 numbers by the bits of the
+    text's hash that are not in its tag, so all 64 tell them apart.
+    """
+    own = F.lit((1 << 63) - (1 << 32)) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 32)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", own))
 
 
 def _tag_of(at: str) -> Column:
@@ -381,7 +391,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """Runs (doc, at, n) of windows that repeat an earlier one; ``at`` carries the text's tag and byte offset."""
     spark = docs.sparkSession
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text")
+    d = _with_doc(docs).select("doc", "text")
     found = d.mapInArrow(_find, _ROW_DDL)
     # copies and windows need no company; they are spread by their place
     meets = F.when(F.col("kind").isin(CONTEXT, HOT), F.col("anchor")).otherwise(F.xxhash64("doc", "at"))
@@ -410,11 +420,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 100-byte string that covers it also starts earlier: in a
     smaller doc_id, or earlier in the same document. Texts count as UTF-8 bytes,
-    NULL as empty; strings are judged on the input. NULL ids come last. Rows that
-    repeat a doc_id are ordered by a hash of their text; rows that repeat id and
-    text are one document and get equal results. An empty table gives an empty
+    NULL as empty; strings are judged on the input. NULL ids come last, among ids
+    of 2**63 - 2**32 and more. Rows without an id, and those that repeat one, are
+    ordered by a hash of their text and told apart by it: by 64 bits without an id,
+    by 32 under a repeated one. Rows that repeat id and text are one document and
+    get equal results. An empty table gives an empty
     result. Other columns are not kept.
     """
     runs = repeated_runs(docs).groupBy("doc", _tag_of("at").alias("tag")).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("doc", F.coalesce("doc_id", F.lit(_NO_ID)))
-    return _with_tag(d).join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, _RESULT_DDL)
+    return _with_tag(_with_doc(docs)).join(runs, ["doc", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_remove, _RESULT_DDL)
