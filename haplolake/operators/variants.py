@@ -402,28 +402,36 @@ def callset_ops(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     raise ValueError(f"unknown set operation {op!r}")
 
 
+# Sets in one LONG of a membership bitmap.
+WORD = 62
+
+
 def upset(v: DataFrame, names: list[str], by: str = "source", max_intersections: int | None = 40) -> DataFrame:
     """How many variants each combination of call sets shares (1/0 vector in ``names`` order)."""
-    held = variant_keys(v, by).groupBy("chrom", "pos", "ref", "alt").agg(
-        *[F.max(F.when(F.col(by) == n, 1).otherwise(0)).alias(f"_m{i}") for i, n in enumerate(names)]
-    )
-    return _intersections(held, len(names), max_intersections)
+    rows = v.select(F.col(by).alias("_name"), "chrom", "pos", "ref", F.explode("alts").alias("alt")).filter(~F.col("alt").isin(".", "*"))
+    return _intersections(rows, names, ["chrom", "pos", "ref", "alt"], max_intersections)
 
 
 def upset_from_genotypes(v: DataFrame, names: list[str], max_intersections: int | None = 40) -> DataFrame:
     """The same from a merged call set with one row per (record, sample), by genotype."""
-    seen = F.col("_alt").cast("int")
-    held = (
-        v.withColumn("_alt", X.has_alt(_fmt("GT")))
-        .groupBy("rec_no")
-        .agg(*[F.max(F.when(F.col("sample") == n, seen).otherwise(0)).alias(f"_m{i}") for i, n in enumerate(names)])
-    )
-    return _intersections(held, len(names), max_intersections)
+    name = F.when(X.has_alt(_fmt("GT")), F.col("sample"))
+    return _intersections(v.select("rec_no", name.alias("_name")), names, ["rec_no"], max_intersections)
+
 
+def _intersections(rows: DataFrame, names: list[str], key: list[str], top: int | None) -> DataFrame:
+    """Counts of memberships of the keys in the sets ``_name``.
 
-def _intersections(held: DataFrame, width: int, top: int | None) -> DataFrame:
-    vector = F.concat(*[F.col(f"_m{i}").cast("string") for i in range(width)])
-    counts = held.groupBy(vector.alias("membership")).agg(F.count("*").alias("n"))
+    A key's membership is a bitmap of one LONG per ``WORD`` sets, so repeated
+    rows need not be removed first; it is written out for the combinations alone.
+    """
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(names)), "_i int, _name string")
+    placed = rows.join(numbers, "_name", "left").withColumn("_bit", F.expr(f"shiftleft(1L, _i % {WORD})"))
+    width = max(1, -(-len(names) // WORD))
+    words = [f"_w{w}" for w in range(width)]
+    one = lambda w: F.bit_or(F.when(F.expr(f"_i div {WORD} = {w}"), F.col("_bit")))
+    held = placed.groupBy(*key).agg(*[F.coalesce(one(w), F.lit(0).cast("long")).alias(n) for w, n in enumerate(words)])
+    shown = F.concat(*[F.reverse(F.lpad(F.bin(n), WORD, "0")) for n in words])
+    counts = held.groupBy(*words).agg(F.count("*").alias("n")).select(F.substring(shown, 1, len(names)).alias("membership"), "n")
     return counts if top is None else counts.orderBy(F.desc("n"), "membership").limit(top)
 
 
@@ -446,6 +454,17 @@ def merge_callsets(v: DataFrame, names: list[str], by: str = "source", missing:
     )
 
 
+def merged_genotypes(v: DataFrame, by: str = "source") -> DataFrame:
+    """The same merge in long form: ``genotypes``, an array of (name, gt) by name of the call sets that have the variant.
+
+    Its width doesn't depend on the number of call sets. The smallest genotype
+    stands for a call set that lists a variant more than once.
+    """
+    rows = v.select(F.col(by).alias("name"), "chrom", "pos", "ref", F.explode("alts").alias("alt"), _fmt("GT").alias("gt"))
+    one = rows.groupBy("chrom", "pos", "ref", "alt", "name").agg(F.min("gt").alias("gt"))
+    return one.groupBy("chrom", "pos", "ref", "alt").agg(F.sort_array(F.collect_list(F.struct("name", "gt"))).alias("genotypes"))
+
+
 def compare_truth(called: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataFrame:
     """Counts of found, missed and extra alleles per sample, after trimming shared bases."""
 

@@ -306,6 +306,17 @@ def merge_callsets(spark, d):
     return V.merge_callsets(variants(spark, d), _SAMPLES, "sample")
 
 
+@query(
+    "merged_genotypes",
+    """SELECT chrom, pos, ref, alt, string_agg(sample || ':' || gt, ',' ORDER BY sample) AS genotypes
+       FROM (SELECT chrom, pos, ref, alt, sample, min(gt) AS gt FROM v_variants GROUP BY ALL) GROUP BY 1, 2, 3, 4""",
+    ("v_variants",),
+)
+def merged_genotypes(spark, d):
+    shown = F.transform("genotypes", lambda g: F.concat(g["name"], F.lit(":"), g["gt"]))
+    return V.merged_genotypes(variants(spark, d), "sample").withColumn("genotypes", F.array_join(shown, ","))
+
+
 @query(
     "compare_truth",
     """SELECT chrom, count(*) FILTER (WHERE c AND t) AS found, count(*) FILTER (WHERE t AND NOT c) AS missed, count(*) FILTER (WHERE c AND NOT t) AS extra

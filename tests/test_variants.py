@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from haplolake.functions import alleles as A
@@ -130,3 +133,18 @@ def test_soft_filter_order(variants):
     got = {r["pos"]: r["filters"] for r in V.short_read_filters(v).collect()}
     assert got == {1: ["LowQual", "LowDepth", "MixedSite"], 2: ["LowQual", "LowDepth"]}
     assert {r["pos"]: r["filters"] for r in V.assembly_filters(v).collect()} == {1: ["MixedSite"], 2: ["PASS"]}
+
+
+def test_memberships_of_many_call_sets(spark):
+    n, rng = 2000, random.Random(2)
+    names = [f"set{i}" for i in range(n)]
+    member = {k: sorted(rng.sample(range(n), rng.choice([1, 2, 62, 500]))) for k in range(60)}
+    member[60] = member[0]
+    rows = [(names[i], "c", k, "A", [".", "G"] if k % 2 else ["G", "*"], {"GT": "1/1"}, k) for k, m in member.items() for i in [*m, m[0]]] + [("unknown", "c", 99, "A", ["T"], {"GT": "0/1"}, 99)]
+    df = spark.createDataFrame(rows, "source string, chrom string, pos long, ref string, alts array<string>, fmt map<string,string>, rec_no long")
+    vector = lambda m: "".join("1" if i in m else "0" for i in range(n))
+    want = Counter(vector(set(m)) for m in [*member.values(), []])
+    assert {r.membership: r.n for r in V.upset(df, names, max_intersections=None).collect()} == want
+    assert {r.membership: r.n for r in V.upset_from_genotypes(df.withColumnRenamed("source", "sample"), names, None).collect()} == want
+    long = {r.pos: [tuple(g) for g in r.genotypes] for r in V.merged_genotypes(df).where("alt = 'G'").collect()}
+    assert long == {k: sorted((names[i], "1/1") for i in m) for k, m in member.items()}
