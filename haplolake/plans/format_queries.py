@@ -180,44 +180,64 @@ def parse_coverage(spark, d):
 
 @query(
     "parse_flagstat",
-    """SELECT 'n' || n_nationkey AS file, n_nationkey + 100 AS total, n_nationkey + 50 AS "primary", CAST(7 AS BIGINT) AS duplicates, n_nationkey + 40 AS mapped, 12.5e0 AS mapped_percent FROM nation""",
+    """SELECT 'o' || o_orderkey AS file, o_orderkey + 100 AS total, o_custkey + 50 AS "primary", o_orderkey % 7 AS duplicates, o_custkey AS mapped, (o_orderkey % 10000) / 100.0e0 AS mapped_percent FROM orders""",
 )
 def parse_flagstat(spark, d):
-    n = table(spark, d, "nation")
+    """One report for each order."""
+    o = table(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
 
-    def line(count: Column | int, text: str) -> Column:
-        return F.concat((F.lit(count) if isinstance(count, int) else count).cast("string"), F.lit(f" + 0 {text}"))
+    def line(count: Column, text: str, share: Column | None = None) -> Column:
+        tail = [] if share is None else [F.lit(" ("), F.format_string("%.2f", share), F.lit("% : N/A)")]
+        return F.concat(count.cast("string"), F.lit(f" + 0 {text}"), *tail)
 
-    k = F.col("n_nationkey")
-    texts = F.array(line(k + 100, "in total (QC-passed reads + QC-failed reads)"), line(k + 50, "primary"), line(7, "duplicates"), line(k + 40, "mapped (12.50% : N/A)"), line(3, "primary mapped (1.00% : N/A)"))
-    lines = n.select("n_nationkey", F.explode(texts).alias("v"))
-    return R.parse_flagstat(_lines(lines, F.col("v"), _text("n_nationkey", "n"))).select("file", "total", "primary", "duplicates", "mapped", "mapped_percent")
+    share = k % 10000 / F.lit(100.0)
+    texts = F.array(
+        line(k + 100, "in total (QC-passed reads + QC-failed reads)"), line(c + 50, "primary"), line(k % 7, "duplicates"), line(c, "mapped", share), line(k + 3, "primary mapped", share / 2)
+    )
+    lines = o.select("o_orderkey", F.explode(texts).alias("v"))
+    return R.parse_flagstat(_lines(lines, F.col("v"), _text("o_orderkey", "o"))).select("file", "total", "primary", "duplicates", "mapped", "mapped_percent")
 
 
 @query(
     "parse_samstats",
-    "SELECT 'n' || n_nationkey AS file, CAST(n_nationkey AS DOUBLE) AS reads_mapped, 0.25e0 AS error_rate, CAST(NULL AS DOUBLE) AS average_quality FROM nation",
+    """SELECT 'o' || o_orderkey AS file, CAST(o_custkey AS DOUBLE) AS reads_mapped, CAST(o_orderkey % 97 AS DOUBLE) / 64 AS error_rate,
+       CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 40 AS DOUBLE) END AS average_quality FROM orders""",
 )
 def parse_samstats(spark, d):
-    n = table(spark, d, "nation")
-    texts = F.array(_tabs(F.lit("SN"), F.lit("reads mapped:"), "n_nationkey", F.lit("# note")), F.lit("SN\terror rate:\t2.5e-01"), F.lit("FFQ\t1"))
-    lines = n.select("n_nationkey", F.explode(texts).alias("v"))
-    return R.parse_samstats(_lines(lines, F.col("v"), _text("n_nationkey", "n"))).select("file", "reads_mapped", "error_rate", "average_quality")
+    """One report for each order; some lack the average quality."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    texts = F.array(
+        _tabs(F.lit("SN"), F.lit("reads mapped:"), "o_custkey", F.lit("# note")), _tabs(F.lit("SN"), F.lit("error rate:"), k % 97 / F.lit(64.0)),
+        F.when(k % 3 == 0, _tabs(F.lit("SN"), F.lit("average quality:"), k % 40)), F.lit("FFQ\t1"),
+    )
+    lines = o.select("o_orderkey", F.explode(texts).alias("v")).where("v IS NOT NULL")
+    return R.parse_samstats(_lines(lines, F.col("v"), _text("o_orderkey", "o"))).select("file", "reads_mapped", "error_rate", "average_quality")
+
+
+_SAMPLES = ["AF", "AO", "NF", "NO", "RF", "RO"]
+_TAB = " || chr(9) || "
+_HEAD = ["##fileformat=VCFv4.2", *W.DEFINITIONS.values()]
 
 
 @query(
     "vcf_text",
-    """SELECT chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || CAST(qual AS BIGINT) || chr(9) || 'PASS' || chr(9) || 'DP=' || dp || chr(9) || 'GT' || chr(9) || gt AS value
-       FROM v_variants WHERE sample = 'AF'""",
-    ("v_variants",),
+    f"""SELECT chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alt || chr(9) || CAST(qual AS BIGINT) || chr(9) || 'PASS' || chr(9) || 'DP=' || dp || chr(9) || 'GT' || chr(9) ||
+       {_TAB.join(f"coalesce(max(gt) FILTER (WHERE sample = '{n}'), '.')" for n in _SAMPLES)} AS value
+       FROM v_variants GROUP BY chrom, pos, ref, alt, qual, dp
+       UNION ALL SELECT '##contig=<ID=' || contig || ',length=' || length || '>' FROM v_contigs
+       UNION ALL SELECT unnest([{", ".join("'" + h.replace("'", "''") + "'" for h in _HEAD)}])
+       UNION ALL SELECT concat_ws(chr(9), '#CHROM', 'POS', 'ID', 'REF', 'ALT', 'QUAL', 'FILTER', 'INFO', 'FORMAT', {", ".join(f"'{n}'" for n in _SAMPLES)})""",
+    ("v_variants", "v_contigs"),
 )
 def vcf_text(spark, d):
-    v = view(spark, d, "v_variants").filter("sample = 'AF'")
-    rows = v.select(
+    """All samples' records and the header."""
+    rows = view(spark, d, "v_variants").select(
         "sample", "chrom", "pos", F.lit(".").alias("id"), "ref", F.array("alt").alias("alts"), "qual", F.array(F.lit("PASS")).alias("filters"),
         F.create_map(F.lit("DP"), F.col("dp").cast("string")).alias("info"), F.create_map(F.lit("GT"), F.col("gt")).alias("fmt"), F.lit(0).cast("long").alias("rec_no"),
     )
-    return W.vcf_lines(rows, view(spark, d, "v_contigs"), ["AF"]).filter(~F.col("value").startswith("#")).select("value")
+    return W.vcf_lines(rows, view(spark, d, "v_contigs"), list(_SAMPLES)).select("value")
 
 
 # --- column helpers ------------------------------------------------------------------------
