@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from haplolake.functions import alleles as A
 from haplolake.functions import fields as X
-from haplolake.operators.intervals import merge_intervals, overlap_join
+from haplolake.operators.intervals import overlaps_any, merge_intervals, overlap_join
 from haplolake.operators.scan import BIN, Run, running
 from haplolake.session import stage
 
@@ -465,8 +465,13 @@ def merged_genotypes(v: DataFrame, by: str = "source") -> DataFrame:
     return one.groupBy("chrom", "pos", "ref", "alt").agg(F.sort_array(F.collect_list(F.struct("name", "gt"))).alias("genotypes"))
 
 
-def compare_truth(called: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataFrame:
-    """Counts of found, missed and extra alleles per sample, after trimming shared bases."""
+def compare_truth(called: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("sample",), regions: DataFrame | None = None) -> DataFrame:
+    """Counts of found, missed and extra alleles per sample, after trimming shared bases.
+
+    With ``regions`` (contig, start, end; 0-based) these are the alleles whose
+    trimmed position lies in one of them, and ``found_outside``,
+    ``missed_outside`` and ``extra_outside`` count the others.
+    """
 
     def trimmed(v: DataFrame, mark: str) -> DataFrame:
         t = v.select(*keys, "chrom", "pos", "ref", F.explode("alts").alias("alt"))
@@ -479,8 +484,10 @@ def compare_truth(called: DataFrame, truth: DataFrame, keys: tuple[str, ...] = (
     cells = both.groupBy(*keys, "chrom", "pos", "ref", "alt").agg(
         F.max(F.coalesce("called", F.lit(0))).alias("called"), F.max(F.coalesce("truth", F.lit(0))).alias("truth")
     )
-    return cells.groupBy(*keys).agg(
-        F.sum(F.col("called") * F.col("truth")).alias("found"),
-        F.sum(F.col("truth") * (1 - F.col("called"))).alias("missed"),
-        F.sum(F.col("called") * (1 - F.col("truth"))).alias("extra"),
-    )
+    hit, called_, truth_ = F.lit(True), F.col("called"), F.col("truth")
+    if regions is not None:
+        placed = cells.withColumnRenamed("chrom", "contig").withColumns({"start": F.col("pos").cast("long") - 1, "end": F.col("pos").cast("long")})
+        cells, hit = overlaps_any(placed, regions), F.col("_hit")
+    kinds = {"found": called_ * truth_, "missed": truth_ * (1 - called_), "extra": called_ * (1 - truth_)}
+    sides = {"": hit, **({"_outside": ~hit} if regions is not None else {})}
+    return cells.groupBy(*keys).agg(*[F.sum(F.when(on, n).otherwise(0)).alias(kind + side) for side, on in sides.items() for kind, n in kinds.items()])

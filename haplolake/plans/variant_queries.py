@@ -333,6 +333,25 @@ def compare_truth(spark, d):
     return V.compare_truth(called, truth, ("c",)).withColumnRenamed("c", "chrom")
 
 
+@query(
+    "compare_truth_in_regions",
+    """SELECT chrom, count(*) FILTER (WHERE c AND t AND i) AS found, count(*) FILTER (WHERE t AND NOT c AND i) AS missed, count(*) FILTER (WHERE c AND NOT t AND i) AS extra,
+         count(*) FILTER (WHERE c AND t AND NOT i) AS found_outside, count(*) FILTER (WHERE t AND NOT c AND NOT i) AS missed_outside, count(*) FILTER (WHERE c AND NOT t AND NOT i) AS extra_outside
+       FROM (SELECT m.*, h.p IS NOT NULL AS i FROM alleles m LEFT JOIN (SELECT DISTINCT m.chrom, m.p FROM alleles m JOIN v_intervals r ON r.contig = m.chrom AND m.p > r.start_ AND m.p <= r.end_) h
+             ON h.chrom = m.chrom AND h.p = m.p) GROUP BY 1""",
+    ("v_variants", "v_intervals"),
+    """alleles AS (SELECT chrom, pos + skip AS p, substr(ref, skip + 1, length(ref) - skip - tail) AS r, substr(alt, skip + 1, length(alt) - skip - tail) AS a,
+         bool_or(sample < 'N') AS c, bool_or(sample > 'B') AS t
+       FROM (SELECT *, CASE WHEN length(ref) > 1 AND length(alt) > 1 AND tail = 0 AND substr(ref, 1, 1) = substr(alt, 1, 1) THEN 1 ELSE 0 END AS skip
+             FROM (SELECT *, CASE WHEN length(ref) > 1 AND length(alt) > 1 AND right(ref, 1) = right(alt, 1) THEN 1 ELSE 0 END AS tail FROM v_variants))
+       GROUP BY 1, 2, 3, 4)""",
+)
+def compare_truth_in_regions(spark, d):
+    v = variants(spark, d).withColumn("c", F.col("chrom"))
+    called, truth = v.filter(F.col("sample") < "N"), v.filter(F.col("sample") > "B")
+    return V.compare_truth(called, truth, ("c",), intervals(spark, d)).withColumnRenamed("c", "chrom")
+
+
 @query(
     "add_deletions",
     """SELECT g.sample, g.contig AS chrom, CASE WHEN g.s = 0 THEN 1 ELSE g.s END AS pos,

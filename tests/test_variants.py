@@ -148,3 +148,13 @@ def test_memberships_of_many_call_sets(spark):
     assert {r.membership: r.n for r in V.upset_from_genotypes(df.withColumnRenamed("source", "sample"), names, None).collect()} == want
     long = {r.pos: [tuple(g) for g in r.genotypes] for r in V.merged_genotypes(df).where("alt = 'G'").collect()}
     assert long == {k: sorted((names[i], "1/1") for i in m) for k, m in member.items()}
+
+
+def test_truth_inside_regions(spark, variants):
+    called = variants([(5, "A", "G"), (10, "CA", "CT"), (20, "G", "T")])
+    truth = variants([(5, "A", "G"), (11, "A", "T"), (30, "C", "A"), (31, "C", "A")])
+    regions = spark.createDataFrame([("chr1", 9, 11), ("chr1", 10, 12), ("chr1", 29, 30), ("chr2", 0, 99)], "contig string, start long, end long")
+    (r,) = V.compare_truth(called, truth, regions=regions).collect()
+    assert r.asDict() == {"sample": "s", "found": 1, "missed": 1, "extra": 0, "found_outside": 1, "missed_outside": 1, "extra_outside": 1}
+    (r,) = V.compare_truth(called, truth).collect()
+    assert r.asDict() == {"sample": "s", "found": 2, "missed": 2, "extra": 1}
