@@ -183,3 +183,13 @@ def test_checks(spark):
     assert sorted(r["key"] for r in H.check_aligned_percent(q, msa.union(spark.createDataFrame([("zz", "A")]))).collect()) == ["a", "b", "zz"]
     cons = spark.createDataFrame([("a", "ACGT"), ("b", "AC"), ("b", "GT")], "sample string, seq string")
     assert [r["sample"] for r in H.check_consensus(cons, 4, 1).collect()] == ["b"]
+
+
+def test_mutual_information_of_large_margins(spark):
+    from pyspark.sql import functions as F
+
+    n = 10**7
+    rows = spark.range(n).select((F.col("id") % 2).alias("x"), F.expr("id div 2 % 2").alias("y"), (F.col("id") % 2 + 5).alias("z"))
+    apart = K.adjusted_mutual_information(rows, "x", "y").first()
+    assert apart.n == n and abs(apart.ami) < 1e-6
+    assert abs(K.adjusted_mutual_information(rows, "x", "z").first().ami - 1) < 1e-9
