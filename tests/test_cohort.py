@@ -105,10 +105,52 @@ def test_deep_tree(spark):
     text = "t0:1"
     for i in range(1, 40):
         text = f"({text},t{i}:1):1"
-    far = {(r["a"], r["b"]): r["distance"] for r in T.tree_distances(edges(spark, text + ";"), tile=7).collect()}
+    e = edges(spark, text + ";")
+    assert T.heavy_ways(e).agg(F.count("*"), F.max(F.size("way"))).first()[:] == (40, 2)
+    far = {(r["a"], r["b"]): r["distance"] for r in T.tree_distances(e, tile=7).collect()}
     assert len(far) == 780 and far["t39", "t0"] == 40.0 and far["t1", "t0"] == 2.0
 
 
+def test_random_trees_against_root_paths(spark):
+    rng, rows = random.Random(7), []
+    for tree in (1, 2):
+        for node in range(1, 60):
+            # one tree is bushy, the other has long chains; lengths may be negative or absent
+            parent = rng.randrange(node) if tree == 1 else max(0, node - rng.choice((1, 1, 1, 2, 5)))
+            rows.append((tree, node, parent, rng.choice((None, -1.0, 0.5, 2.0, 3.25))))
+    far = {(r.tree_id, int(r.a), int(r.b)): r.distance for r in T.tree_distances(spark.createDataFrame(rows, "tree_id int, node int, parent int, len double"), tile=9).collect()}
+    up = {(t, n): (p, size or 0.0) for t, n, p, size in rows}
+
+    def path(t, n):
+        return [] if n == 0 else [n, *path(t, up[t, n][0])]
+
+    for tree in (1, 2):
+        tips = sorted({n for t, n, _, _ in rows if t == tree} - {p for t, _, p, _ in rows if t == tree}, key=str)
+        for x, a in enumerate(tips):
+            for b in tips[:x]:
+                apart = set(path(tree, a)) ^ set(path(tree, b))
+                assert far.pop((tree, a, b)) == sum(up[tree, n][1] for n in apart)
+    assert not far
+
+
+def test_comb_of_5000_tips(spark):
+    n = spark.range(1, 5000).select(F.col("id").cast("string").alias("k"), "id")
+    inner = n.select(F.concat(F.lit("i"), "k").alias("node"), F.when(F.col("id") > 1, F.concat(F.lit("i"), (F.col("id") - 1).cast("string"))).alias("parent"), F.lit(1.0).alias("len"))
+    tips = n.select("k", F.concat(F.lit("i"), "k"), F.lit(1.0)).union(spark.sql("SELECT '5000', 'i4999', 0.0D"))
+    comb = inner.union(tips)
+    # the last tip has no length of its own: as far from tip k as an inner node is
+    x, y = F.col("a").cast("long"), F.col("b").cast("long")
+    want = F.when((x == 5000) | (y == 5000), 5000 - F.least(x, y)).otherwise(F.abs(x - y) + 2)
+    far = T.tree_distances(comb, tile=1024).select(F.sum(F.when(F.col("distance") != want, 1).otherwise(0)), F.count("*")).first()
+    assert tuple(far) == (0, 5000 * 4999 // 2)
+
+
+def test_cycles_are_refused(spark):
+    loop = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "node string, parent string, len double")
+    with pytest.raises(ValueError, match="cycle"):
+        T.measured_nodes(loop)
+
+
 def test_sampling_keeps_pairs_and_reaches_target(spark):
     reads = spark.range(4000).select(F.expr("cast(id div 2 as string)").alias("read_id"), (F.col("id") % 2 + 1).alias("mate"), F.repeat(F.lit("A"), (F.col("id") % 2 * 50 + 50).cast("int")).alias("seq"))
     kept = R.sample_to_coverage(reads, 3.0, 10000)
