@@ -299,32 +299,32 @@ def add_deletions(
     ``zero`` holds (sample, contig, start, end); say ``merged`` if it already is. Merged intervals never touch each
     other, so one anti join against the records decides them all; it also covers
     records that spell the same deletion, because those start at its anchor.
+    Reference text is fetched last, in blocks, and only for what is left and starts its contig;
+    a missing sequence is an error there.
     """
+    from haplolake.operators.sequences import fetch
+
     gaps = (zero if merged else merge_intervals(zero, ["sample", "contig"])).join(contigs.select("contig", "length", "ord"), "contig", "left")
-    inner = gaps.filter(F.col("start") > 0).select(
-        "*", F.col("start").cast("long").alias("pos"), F.lit("N").alias("ref"), F.lit("<DEL>").alias("alt"), F.col("end").alias("_end")
-    )
-    whole = F.col("end") >= F.col("length")
-    lead = (
-        gaps.filter(F.col("start") == 0)
-        .join(seqs.select("contig", F.col("seq").alias("_seq")), "contig", "left")
-        .withColumn(
-            "seq",
-            F.coalesce("_seq", F.raise_error(F.concat(F.lit("no reference sequence for contig "), F.col("contig"))).cast("string")),
-        )
-        .select(
-            *gaps.columns,
-            F.lit(1).cast("long").alias("pos"),
-            F.upper(F.when(whole, F.col("seq")).otherwise(F.substr("seq", F.lit(1), (F.col("end") + 1).cast("int")))).alias("ref"),
-            F.lit("-").alias("alt"),
-            F.least("end", "length").alias("_end"),
-        )
+    leads = F.col("start") == 0
+    spans = gaps.select(
+        "sample",
+        F.col("contig").alias("chrom"),
+        "length",
+        "ord",
+        F.col("start").alias("_start"),
+        F.when(leads, F.lit(1)).otherwise(F.col("start")).cast("long").alias("pos"),
+        F.when(leads, F.least("end", "length")).otherwise(F.col("end")).alias("_end"),
+        F.when(F.col("end") >= F.col("length"), F.col("length")).otherwise(F.col("end") + 1).alias("_need"),
     )
-    spans = stage(inner.unionByName(lead)).withColumnsRenamed({"contig": "chrom", "start": "_start", "end": "_stop"})
-    spans = spans.withColumn("start", F.col("pos")).withColumn("end", F.col("_end"))
+    spans = stage(spans).withColumn("start", F.col("pos")).withColumn("end", F.col("_end"))
     free = overlap_join(spans, occupied(v), ["sample", "chrom"], "left_anti", closed=True)
     ranked = free.withColumn("_at", F.shiftleft(F.coalesce("ord", F.lit((1 << 26) - 1)).cast("long"), 36) + F.col("pos"))
     numbered = running(ranked, ["sample"], "_at", [Run("_no", "sum", F.lit(1).cast("long"))])
+    numbered = stage(numbered.select("sample", "chrom", "pos", "_start", "_end", "_need", "_no"))
+    texts = seqs.filter(F.col("seq").isNotNull()).select(F.col("contig").alias("chrom"), "seq")
+    lead = fetch(numbered.filter(F.col("_start") == 0), texts, ["chrom"], F.lit(0), F.col("_need"), "ref")
+    inner = numbered.filter(F.col("_start") > 0)
+    numbered = inner.withColumns({"ref": F.lit("N"), "alt": F.lit("<DEL>")}).unionByName(lead.withColumns({"ref": F.upper("ref"), "alt": F.lit("-")}))
     info = F.create_map(
         *[
             x

@@ -9,7 +9,7 @@ from haplolake.functions import fields as X
 from haplolake.operators import stats as S
 from haplolake.operators import variants as V
 from haplolake.operators.intervals import complement, nearest_distance, variant_windows
-from haplolake.plans.registry import contigs, intervals, keys_of, query, variants
+from haplolake.plans.registry import contigs, intervals, keys_of, query, strings, variants
 from haplolake.plans.views import table, view
 
 _LABELS = """soft AS (SELECT *, concat_ws(';', CASE WHEN qual < 100 THEN 'LowQual' END, CASE WHEN dp < 10 THEN 'LowDepth' END,
@@ -380,6 +380,43 @@ def add_deletions(spark, d):
     )
 
 
+@query(
+    "add_deletions_to_texts",
+    """SELECT sample, chrom, pos, id, ref, alt, end_, svlen FROM (
+         SELECT g.sample, g.contig AS chrom, greatest(g.s, 1) AS pos, 'DEL_' || CAST(row_number() OVER (PARTITION BY g.sample ORDER BY g.ord, g.s) AS STRING) AS id,
+           CASE WHEN g.s > 0 THEN 'N' WHEN g.e >= g.n THEN g.seq ELSE substr(g.seq, 1, g.e + 1) END AS ref,
+           CASE WHEN g.s > 0 THEN '<DEL>' ELSE '-' END AS alt, g.e AS end_, CASE WHEN g.s > 0 THEN g.s - g.e ELSE -g.e END AS svlen
+         FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM v_alleles v WHERE v.sample = g.sample AND v.contig = g.contig
+           AND v.pos <= g.e AND v.pos + length(v.ref) - 1 >= greatest(g.s, 1)))
+       UNION ALL SELECT sample, contig, pos, '.', ref, alt, NULL, NULL FROM v_alleles""",
+    ("v_alleles",),
+    """names AS (SELECT DISTINCT sample FROM v_alleles UNION ALL SELECT 'Z'),
+      holes AS (SELECT contig, ord, n, upper(seq) AS seq, CAST(0 AS BIGINT) AS s, least(n, 5 + ord % 300) AS e FROM v_sequences WHERE n > 0 AND ord % 3 = 0
+        UNION ALL SELECT contig, ord, n, '', n // 2 + 200, n // 2 + 220 FROM v_sequences WHERE n > 700 AND ord % 3 < 2
+        UNION ALL SELECT contig, ord, n, upper(seq), 0, n FROM v_sequences WHERE n > 0 AND ord % 3 = 2),
+      gaps AS (SELECT names.sample, holes.* FROM holes, names)""",
+)
+def add_deletions_to_texts(spark, d):
+    """Leading, inner and whole gaps of every text, for all samples with records and one without."""
+    v = view(spark, d, "v_alleles").select(
+        "sample", F.col("contig").alias("chrom"), "pos", F.lit(".").alias("id"), "ref", F.array("alt").alias("alts"), F.lit(None).cast("double").alias("qual"),
+        strings().alias("filters"), X.empty_map().alias("info"), F.create_map(F.lit("GT"), F.col("gt")).alias("fmt"), F.col("rec_no").cast("long").alias("rec_no"),
+    )
+    seqs = view(spark, d, "v_sequences").filter("n > 0")
+    third, middle = F.col("ord") % 3, F.expr("cast(n div 2 + 200 as bigint)")
+    lead = F.when(third == 0, F.least("n", 5 + F.col("ord") % 300)).when(third == 2, F.col("n"))
+    spots = F.array(F.struct(F.lit(0).cast("long").alias("start"), lead.cast("long").alias("end")), F.struct(middle.alias("start"), (middle + 20).alias("end")))
+    kept = F.filter(spots, lambda g: F.when(g["start"] == 0, third != 1).otherwise((third < 2) & (F.col("n") > 700)))
+    names = F.concat(v.agg(F.sort_array(F.collect_set("sample"))).scalar(), F.array(F.lit("Z")))
+    holes = seqs.select("contig", F.explode(kept).alias("g"), names.alias("names")).select(F.explode("names").alias("sample"), "contig", "g.*")
+    frame = seqs.select("contig", F.col("n").cast("long").alias("length"), "ord")
+    out = V.add_deletions(v, holes, seqs.select("contig", "seq"), frame, merged=True)
+    return out.select(
+        "sample", "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alt"),
+        F.try_element_at("info", F.lit("END")).cast("long").alias("end_"), F.try_element_at("info", F.lit("SVLEN")).cast("long").alias("svlen"),
+    )
+
+
 @query(
     "deletion_keys",
     "SELECT DISTINCT sample, chrom, pos, pos + length(ref) - length(alt) AS end_ FROM v_variants WHERE length(ref) > length(alt) AND starts_with(ref, alt)",

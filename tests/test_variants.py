@@ -106,6 +106,16 @@ def test_contig_start_and_whole_contig(spark, variants):
     assert (w["ref"], w["info"]["END"]) == ("ACGT" * 25, "100")
 
 
+def test_leading_gap_over_blocks(spark, variants):
+    text = "".join(random.Random(3).choices("acgt", k=70000))
+    (d,) = deletions(spark, variants([(69990, "A", "T")]), [(0, 66000)], length=70000, seq=text)
+    assert d["ref"] == text[:66001].upper() and d["info"]["SVLEN"] == "-66000"
+    # what meets a record needs no text
+    seqs, zero = spark.createDataFrame([], "contig string, seq string"), spark.createDataFrame([("s", "chr1", 0, 50)], "sample string, contig string, start bigint, end bigint")
+    v = variants([(5, "A", "T")])
+    assert V.add_deletions(v, zero, seqs, spark.createDataFrame([("chr1", 100, 0)], "contig string, length bigint, ord int")).count() == 1
+
+
 def test_deletion_meets_existing_record(spark, variants):
     assert deletions(spark, variants([(103379, "GA", "G")]), [(103379, 103380)]) == []
     assert deletions(spark, variants([(565, "A", "G")]), [(560, 570)]) == []
