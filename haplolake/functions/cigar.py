@@ -73,6 +73,13 @@ def placed(cigar: Column, start: Column) -> Column:
     return F.when(cigar.rlike(r"^\d+M$"), F.array(whole).cast(_PLACED)).otherwise(general)
 
 
+def aligned_text(cigar: Column, text: Column) -> Column:
+    """Query text (bases or qualities) under aligned operations, in one piece; NULL for a missing text (``*``)."""
+    runs = F.filter(placed(cigar, F.lit(0)), lambda p: p["op"].isin(*ALIGNED_OPS))
+    cut = F.array_join(F.transform(runs, lambda p: F.substr(text, p["query"] + 1, p["len"])), "")
+    return F.when(text != "*", F.when(cigar.rlike(r"^\d+M$"), text).otherwise(cut))
+
+
 def text(parts: Column) -> Column:
     """CIGAR text; non-positive lengths are dropped and equal neighbours fused."""
     kind = "array<struct<len:int,op:string>>"

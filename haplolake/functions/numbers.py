@@ -61,3 +61,9 @@ def human_size(size: Column) -> Column:
     for power, unit in ((4, "TB"), (3, "GB"), (2, "MB"), (1, "KB")):
         text = F.when(size < 1024.0 ** (power + 1), scaled(power, unit)).otherwise(text)
     return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).otherwise(text)
+
+
+def quality_sum(text: Column) -> Column:
+    """Sum of the phred scores of a quality text; NULL for a missing one (``*``)."""
+    total = F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda acc, c: acc + F.when(c != "", F.ascii(c) - 33).otherwise(0))
+    return F.when(text != "*", total)

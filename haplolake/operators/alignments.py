@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions import cigar as C
+from haplolake.functions.numbers import quality_sum
 from haplolake.operators.intervals import merge_intervals, overlap_join
 
 # FLAG bits.
@@ -273,11 +274,7 @@ def alignment_stats(a: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     mapped = ~has(UNMAPPED)
     aligned = C.consumed(C.ops(F.col("cigar")), C.ALIGNED_OPS + ("I",))
     edits = F.try_element_at(F.col("tags"), F.lit("NM")).try_cast("long") if "tags" in a.columns else F.lit(None).cast("long")
-    base_sum = (
-        F.aggregate(F.split("qual", ""), F.lit(0).cast("long"), lambda acc, c: acc + F.ascii(c) - 33)
-        if "qual" in a.columns
-        else F.lit(None).cast("long")
-    )
+    qual = F.col("qual") if "qual" in a.columns else F.lit(None).cast("string")
     insert = F.abs("tlen") if "tlen" in a.columns else F.lit(None).cast("int")
     length = F.length("seq").cast("long")
     return (
@@ -289,7 +286,7 @@ def alignment_stats(a: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
             F.sum(F.when(mapped, aligned.cast("long"))).alias("bases_mapped"),
             (F.sum(F.when(mapped, edits)) / F.nullif(F.sum(F.when(mapped, aligned.cast("long"))), F.lit(0))).alias("error_rate"),
             (F.sum(length) / F.nullif(F.count("*"), F.lit(0))).alias("average_length"),
-            (F.sum(base_sum) / F.nullif(F.sum(length), F.lit(0))).alias("average_quality"),
+            (F.sum(quality_sum(qual)) / F.nullif(F.sum(F.when(qual != "*", F.length(qual).cast("long"))), F.lit(0))).alias("average_quality"),
             F.avg(F.when(has(PROPER) & (insert > 0), insert)).alias("insert_size_average"),
         )
     )

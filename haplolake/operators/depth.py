@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from haplolake.functions import alleles as A
 from haplolake.functions import cigar as C
 from haplolake.functions import fields as X
-from haplolake.functions.numbers import fisher_two_sided, half_up, phred
+from haplolake.functions.numbers import fisher_two_sided, half_up, phred, quality_sum
 from haplolake.operators.alignments import EXCLUDE_DEFAULT, REVERSE, as_intervals, filter_alignments, has
 from haplolake.operators.intervals import merge_intervals, overlap_join, sweep
 
@@ -57,7 +57,10 @@ def depth_blocks(segments: DataFrame, min_depth: int, by: tuple[str, ...] = ("co
 def contig_coverage(
     a: DataFrame, contigs: DataFrame, exclude_flags: int = EXCLUDE_DEFAULT, min_mapq: int = 0, keys: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Reads, covered bases, breadth, mean depth and mean mapping quality per contig."""
+    """Reads, covered bases, breadth, mean depth, mean base quality and mean mapping quality per contig.
+
+    ``meanbaseq`` is over aligned bases of reads with qualities, summed per read; 0 without any.
+    """
     by = [*keys, "contig"]
     size = F.col("end") - F.col("start")
     bases = (
@@ -68,10 +71,16 @@ def contig_coverage(
             F.sum(size * F.col("depth")).alias("_bases"),
         )
     )
+    qual = C.aligned_text(F.col("cigar"), F.col("qual")) if "qual" in a.columns else F.lit(None).cast("string")
     reads = (
         as_intervals(filter_alignments(a, min_mapq, exclude_flags))
+        .withColumn("_qual", qual)
         .groupBy(*by)
-        .agg(F.count("*").alias("numreads"), F.avg("mapq").alias("meanmapq"))
+        .agg(
+            F.count("*").alias("numreads"),
+            F.avg("mapq").alias("meanmapq"),
+            (F.sum(quality_sum(F.col("_qual"))) / F.nullif(F.sum(F.length("_qual").cast("long")), F.lit(0))).alias("meanbaseq"),
+        )
     )
     return (
         contigs.select(*by, "length")
@@ -84,6 +93,7 @@ def contig_coverage(
             F.coalesce("covbases", F.lit(0)).alias("covbases"),
             (F.coalesce("covbases", F.lit(0)) * 100.0 / F.col("length")).alias("coverage"),
             (F.coalesce("_bases", F.lit(0)) / F.col("length")).alias("meandepth"),
+            F.coalesce("meanbaseq", F.lit(0.0)).alias("meanbaseq"),
             F.coalesce("meanmapq", F.lit(0.0)).alias("meanmapq"),
         )
     )

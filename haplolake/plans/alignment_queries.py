@@ -105,6 +105,9 @@ def fixmate(spark, d):
     return _short(L.fixmate(alignments(spark, d)), "rnext", "pnext", "tlen")
 
 
+_PHRED = "20 * (length(q) - length(replace(q, '5', ''))) + 30 * (length(q) - length(replace(q, '?', ''))) + 40 * (length(q) - length(replace(q, 'I', ''))) + 37 * (length(q) - length(replace(q, 'F', '')))"
+
+
 @query(
     "flagstat",
     """SELECT count(*) AS total, count(*) FILTER (WHERE (flag & 2304) = 0) AS "primary", count(*) FILTER (WHERE (flag & 256) <> 0) AS secondary,
@@ -120,16 +123,18 @@ def flagstat(spark, d):
 
 @query(
     "alignment_stats",
-    """SELECT rname, count(*) FILTER (WHERE (flag & 4) = 0) AS reads_mapped, count(*) FILTER (WHERE (flag & 4) <> 0) AS reads_unmapped,
+    f"""SELECT rname, count(*) FILTER (WHERE (flag & 4) = 0) AS reads_mapped, count(*) FILTER (WHERE (flag & 4) <> 0) AS reads_unmapped,
        sum(CASE WHEN (flag & 4) = 0 THEN a END) AS bases_mapped, CAST(sum(CASE WHEN (flag & 4) = 0 THEN mapq % 5 END) AS DOUBLE) / sum(CASE WHEN (flag & 4) = 0 THEN a END) AS error_rate,
-       CAST(sum(seq_len) AS DOUBLE) / count(*) AS average_length
-       FROM (SELECT *, CASE cigar WHEN '100M' THEN 100 WHEN '40M2D60M' THEN 100 WHEN '50M3I47M' THEN 100 WHEN '5H80M15S' THEN 80 ELSE n END AS a FROM reflen)
+       CAST(sum(seq_len) AS DOUBLE) / count(*) AS average_length, CAST(sum({_PHRED}) AS DOUBLE) / sum(length(q)) AS average_quality,
+       avg(abs(tlen)) FILTER (WHERE (flag & 2) <> 0 AND tlen <> 0) AS insert_size_average
+       FROM (SELECT *, substr(repeat('5?IF', 26), shift + 1, seq_len) AS q, CASE WHEN mapq % 9 = 0 THEN 0 ELSE pos % 700 - 300 END AS tlen, CASE cigar WHEN '100M' THEN 100 WHEN '40M2D60M' THEN 100 WHEN '50M3I47M' THEN 100 WHEN '5H80M15S' THEN 80 ELSE n END AS a FROM reflen)
        WHERE (flag & 2304) = 0 GROUP BY rname""",
     _V,
     _PLACED,
 )
 def alignment_stats(spark, d):
-    return L.alignment_stats(alignments(spark, d), ("rname",)).drop("average_quality", "insert_size_average")
+    tlen = F.when(F.col("mapq") % 9 == 0, 0).otherwise(F.col("pos") % 700 - 300)
+    return L.alignment_stats(alignments(spark, d).withColumn("tlen", tlen), ("rname",))
 
 
 _COVER = _PLACED + """, blocks AS (SELECT rname AS contig, pos - 1 AS s, CASE WHEN cigar = '40M2D60M' THEN pos - 1 + 40 ELSE pos - 1 + n END AS e FROM reflen WHERE (flag & 1796) = 0
@@ -170,7 +175,17 @@ _COVERAGE = _COVER + """, coverage AS (SELECT c.contig, c.length, c.ord, coalesc
       LEFT JOIN (SELECT rname AS contig, count(*) AS numreads, avg(mapq) AS meanmapq FROM reflen WHERE (flag & 1796) = 0 GROUP BY 1) r ON r.contig = c.contig)"""
 
 
-@query("contig_coverage", "SELECT contig, length, numreads, covbases, coverage, meandepth, meanmapq FROM coverage", _VC, _COVERAGE)
+@query(
+    "contig_coverage",
+    """SELECT c.contig, length, numreads, covbases, coverage, meandepth, coalesce(meanbaseq, 0.0e0) AS meanbaseq, meanmapq
+       FROM coverage c LEFT JOIN quals ON quals.contig = c.contig""",
+    _VC,
+    _COVERAGE
+    + f""", texts AS (SELECT rname, cigar, n, substr(repeat('5?IF', 26), shift + 1, seq_len) AS t FROM reflen WHERE (flag & 1796) = 0),
+      cuts AS (SELECT rname, CASE WHEN cigar = '50M3I47M' THEN substr(t, 1, 50) || substr(t, 54) WHEN cigar = '5H80M15S' THEN substr(t, 1, 80)
+        WHEN cigar IN ('100M', '40M2D60M') THEN t ELSE right(t, n) END AS q FROM texts),
+      quals AS (SELECT rname AS contig, CAST(sum({_PHRED}) AS DOUBLE) / sum(length(q)) AS meanbaseq FROM cuts GROUP BY 1)""",
+)
 def contig_coverage(spark, d):
     return D.contig_coverage(alignments(spark, d), contigs(spark, d))
 

@@ -121,3 +121,14 @@ def test_call_snps(spark, reads):
     ref = spark.createDataFrame([("chr1", p, "A") for p in range(1, 11)], "contig string, pos bigint, ref string")
     (r,) = D.call_snps(D.pileup(a, ref), ref).collect()
     assert (r["pos"], r["alt"], r["ao"], r["dp"], r["gt"]) == (5, "G", 9, 10, "1/1")
+
+
+def test_base_quality_along_cigars(spark):
+    # phred 0 is !, 40 is I: clipped and inserted bases do not count, nor reads without qualities
+    rows = [("a", "2S3M1I2M1D1M", "!!III!II5"), ("b", "4M", "IIII"), ("c", "3M", "*"), ("d", "2H2M", "5I")]
+    a = spark.createDataFrame([(n, 0, "c", 5, 60, g, "A" * (3 if q == "*" else len(q)), q) for n, g, q in rows], "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string")
+    contigs = spark.createDataFrame([("c", 50, 0), ("empty", 9, 1)], "contig string, length bigint, ord int")
+    got = {r.contig: (r.numreads, r.meanbaseq) for r in D.contig_coverage(a, contigs).collect()}
+    assert got == {"c": (4, (5 * 40 + 20 + 4 * 40 + 20 + 40) / 12), "empty": (0, 0.0)}
+    assert {r.meanbaseq for r in D.contig_coverage(a.drop("qual"), contigs).collect()} == {0.0}
+    assert L.alignment_stats(a).first()["average_quality"] == (5 * 40 + 20 + 4 * 40 + 20 + 40) / 15
