@@ -161,6 +161,24 @@ def scale_tree(spark, d):
     return T.scale_tree(view(spark, d, "v_tree_edges"), 10, "1,2,3,1")
 
 
+@query(
+    "newick_forest",
+    """SELECT l_orderkey AS tree_id, 'L' || l_linenumber AS name, l_returnflag AS parent, CAST(l_quantity AS DOUBLE) AS len FROM lineitem
+       UNION ALL SELECT l_orderkey, l_returnflag, 'O ' || l_orderkey, CAST(count(*) AS DOUBLE) FROM lineitem GROUP BY l_orderkey, l_returnflag
+       UNION ALL SELECT DISTINCT l_orderkey, 'O ' || l_orderkey, NULL, NULL::DOUBLE FROM lineitem""",
+)
+def newick_forest(spark, d):
+    """One Newick text per order, with a quoted name, read back into edges."""
+    lines = table(spark, d, "lineitem")
+    leaf = F.concat(F.lit("L"), F.col("l_linenumber").cast("string"), F.lit(":"), F.col("l_quantity").cast("double").cast("string"))
+    inner = lines.groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(leaf)).alias("below"), F.count("*").alias("n"))
+    part = F.concat(F.lit("("), F.array_join("below", ", "), F.lit(")"), "l_returnflag", F.lit(":"), F.col("n").cast("string"))
+    tree = F.concat(F.lit("("), F.array_join(F.array_sort(F.collect_list(part)), ","), F.lit(")'O "), F.col("l_orderkey").cast("string"), F.lit("';"))
+    edges = T.newick_edges(inner.groupBy("l_orderkey").agg(tree.alias("newick")).withColumnRenamed("l_orderkey", "tree_id"))
+    above = edges.select("tree_id", F.col("node").alias("parent"), F.col("name").alias("above"))
+    return edges.join(above, ["tree_id", "parent"], "left").select("tree_id", "name", F.col("above").alias("parent"), "len")
+
+
 @query(
     "tree_distances",
     """SELECT x.node AS a, y.node AS b, x.depth + y.depth - 2 * CASE WHEN x.n = y.n THEN x.dn WHEN x.r = y.r THEN x.dr ELSE 0 END AS distance

@@ -15,11 +15,12 @@ from haplolake.operators import cohort as K
 from haplolake.operators import depth as D
 from haplolake.operators import intervals as I
 from haplolake.operators import ordering as O
+from haplolake.operators import samples as P
 from haplolake.operators import tree as T
 from haplolake.plans import alignment_queries as AQ
 from haplolake.plans import interval_queries as IQ
 from haplolake.plans.registry import alignments, contigs, keys_of, query, variants
-from haplolake.plans.views import VIEWS, view
+from haplolake.plans.views import VIEWS, table, view
 
 SAMPLES = ("AF", "NO", "RF")
 KEYS = ("sample",)
@@ -382,3 +383,17 @@ def consequences_of_indels(spark, d):
     v = _edits(spark, d).filter(F.length("ref") != F.length(F.get("alts", F.lit(0))))
     out = annotate_consequences(v, cds, view(spark, d, "v_sequences"))
     return keys_of(out, F.coalesce(F.try_element_at("info", F.lit("BCSQ")), F.lit("")).alias("csq"))
+
+
+@query(
+    "sample_defaults",
+    """SELECT o_orderkey, coalesce(CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 50 END, 10) AS min_depth,
+         CASE WHEN o_custkey % 4 = 1 THEN 'short' WHEN o_custkey % 4 = 2 THEN '' ELSE 'long' END AS type, 0.5e0 AS min_frac FROM orders""",
+)
+def sample_defaults(spark, d):
+    """Options that are NULL or absent are filled, empty text is kept."""
+    c = F.col("o_custkey")
+    given = table(spark, d, "orders").select(
+        "o_orderkey", F.when(c % 3 != 0, c % 50).alias("min_depth"), F.when(c % 4 == 1, "short").when(c % 4 == 2, "").alias("type")
+    )
+    return P.apply_defaults(given, {"min_depth": 10, "type": "long", "min_frac": 0.5})
