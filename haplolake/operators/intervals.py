@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from haplolake.operators.scan import BIN, Run, running
 from haplolake.session import stage
 
-OVERLAP_BIN = 16384
+# The widest cells of the overlap join hold 4^9 = 262144 positions.
+TOP_LEVEL = 9
 
 # Cells of one level of the stabbing tree are 2^4 times as wide as those below; 8 levels span 2^32 positions.
 TREE_SHIFT = 4
@@ -92,32 +93,74 @@ def sort_by_genome(df: DataFrame, contigs: DataFrame, start: str = "start", by:
     )
 
 
-def _spread(df: DataFrame, start: Column, end: Column, bin_size: int) -> DataFrame:
-    first = F.floor(start / F.lit(bin_size)).cast("long")
-    final = F.floor((end - 1) / F.lit(bin_size)).cast("long")
-    return df.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, F.greatest(first, final))))
-
-
 def _renamed(df: DataFrame, taken: set[str], suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c + suffix if c in taken else c) for c in df.columns])
 
 
+def _cells(start: Column, end: Column, bits: Column) -> Column:
+    """Cells of 2^bits positions that [start, end) touches; an empty interval touches that of its start."""
+    first = F.call_function("shiftright", start.cast("long"), bits)
+    final = F.call_function("shiftright", end.cast("long") - 1, bits)
+    return F.sequence(first, F.greatest(first, final))
+
+
+def _meetings(a: DataFrame, b: DataFrame, keys: list[str], s: str, e: str, extra: int, bin_size: int | None) -> DataFrame:
+    """Pairs of rows that share a cell, each pair once; ``b`` has its interval in (s, e).
+
+    An interval lies in the cells of its own level, the power of 4 next below
+    its width, and is met by the starts of the other side, which ask one cell on
+    every level found there. Of an overlapping pair one start lies in the other
+    interval: ``_side`` 0 are starts of ``a``, 1 those starts of ``b`` that lie
+    further right.
+    """
+    ends = {"a": (F.col("start"), F.col("end") + extra), "b": (F.col(s), F.col(e) + extra)}
+
+    def level(side: str) -> Column:
+        if bin_size:
+            return F.lit(0)
+        low, high = ends[side]
+        return F.least(F.floor(F.log2(F.greatest(high - low, F.lit(1))) / 2), F.lit(TOP_LEVEL)).cast("int")
+
+    def keyed(df: DataFrame, side: str, other: DataFrame, asks: int) -> DataFrame:
+        """Each row under its own cells (``1 - asks``) and under those that its start asks (``asks``)."""
+        low, high = ends[side]
+        own = F.array(F.struct(F.lit(1 - asks).alias("side"), level(side).alias("level")))
+        asked = F.struct(F.lit(asks).alias("side"), level("b" if side == "a" else "a").alias("level"))
+        # at most TOP_LEVEL + 1 levels
+        found = F.array(asked) if bin_size else other.agg(F.collect_set(asked)).scalar()
+        roles = df.withColumn("_role", F.explode(F.concat(own, found)))
+        asking = F.col("_role.side") == asks
+        if bin_size:
+            first, final = F.floor(low / F.lit(bin_size)).cast("long"), F.floor((high - 1) / F.lit(bin_size)).cast("long")
+            cells = F.sequence(first, F.when(asking, first).otherwise(F.greatest(first, final)))
+        else:
+            cells = _cells(low, F.when(asking, low + 1).otherwise(high), F.col("_role.level") * 2)
+        return roles.select(*df.columns, F.col("_role.side").alias("_side"), F.col("_role.level").alias("_level"), F.explode(cells).alias("_cell"))
+
+    left, right = keyed(a, "a", b, 0), keyed(b, "b", a, 1)
+    return left.join(right, [*keys, "_side", "_level", "_cell"])
+
+
 def overlap_join(
     a: DataFrame,
     b: DataFrame,
     by: str | list[str] = "contig",
     how: str = "inner",
     closed: bool = False,
-    bin_size: int = OVERLAP_BIN,
+    bin_size: int | None = None,
     suffix: str = "_b",
 ) -> DataFrame:
     """Rows of ``a`` and ``b`` whose intervals overlap.
 
-    inner / left: pairs, found through an equi-join on (contig, bin). A pair that
-    shares several bins is kept in the first one only; a hot bin is an ordinary
-    skewed equi-join key, which adaptive execution splits.
+    inner / left: pairs, found through one equi-join on (contig, level, cell),
+    see :func:`_meetings`; widths may differ by any factor and no pair is formed
+    twice. Cells end at 4^``TOP_LEVEL`` positions, so a long interval is spread
+    over many and no cell is as wide as a contig. A deep cell is an ordinary
+    skewed equi-join key, which adaptive execution splits. ``bin_size`` replaces
+    the levels by bins of one width: for intervals whose widths are known to be
+    alike this spares the pass that looks for levels.
     left_semi / left_anti: no pairs are formed at all, see :func:`overlaps_any`.
-    Columns of ``b`` that clash with ``a`` get ``suffix``.
+    Columns of ``b`` that clash with ``a`` get ``suffix``. Rows without a start or an end overlap nothing.
     """
     keys = _keys(by)
     if how in ("left_semi", "left_anti"):
@@ -129,17 +172,12 @@ def overlap_join(
         rest = overlap_join(a, b, by, "left_anti", closed)
         return pairs.unionByName(rest, allowMissingColumns=True)
     extra = 1 if closed else 0
-    left = _spread(a, F.col("start"), F.col("end") + extra, bin_size)
     other = _renamed(b, set(a.columns) - set(keys), suffix)
     s = "start" + suffix if "start" in a.columns else "start"
     e = "end" + suffix if "end" in a.columns else "end"
-    right = _spread(other, F.col(s), F.col(e) + extra, bin_size).withColumnRenamed("_first", "_first_b")
     overlap = (F.col("start") < F.col(e) + extra) & (F.col(s) < F.col("end") + extra)
-    return (
-        left.join(right, [*keys, "_bin"])
-        .filter(overlap & (F.col("_bin") == F.greatest("_first", "_first_b")))
-        .drop("_bin", "_first", "_first_b")
-    )
+    ordered = F.when(F.col("_side") == 0, F.col(s) <= F.col("start")).otherwise(F.col(s) > F.col("start"))
+    return _meetings(a, other, keys, s, e, extra, bin_size).filter(overlap & ordered).drop("_side", "_level", "_cell")
 
 
 def overlaps_any(a: DataFrame, b: DataFrame, by: str | list[str] = "contig", closed: bool = False) -> DataFrame:

@@ -53,24 +53,46 @@ def test_merge_and_complement(spark, seed, bins):
 
 
 @pytest.mark.parametrize("closed", [False, True])
-def test_overlap_joins(spark, closed):
+@pytest.mark.parametrize("bin_size", [None, 32])
+def test_overlap_joins(spark, closed, bin_size):
     a = [(c, s, max(e, s + 1), i) for i, (c, s, e) in enumerate(sample(5, 150))]
     b = [(c, s, max(e, s + 1), i) for i, (c, s, e) in enumerate(sample(6, 150, longest=15))]
     left = spark.createDataFrame(a, SCHEMA + ", i int")
     right = spark.createDataFrame(b, SCHEMA + ", j int")
     x = 1 if closed else 0
     pairs = sorted((i, j) for c, s, e, i in a for d, t, f, j in b if c == d and s < f + x and t < e + x)
-    got = I.overlap_join(left, right, closed=closed, bin_size=32).select("i", "j").collect()
+    got = I.overlap_join(left, right, closed=closed, bin_size=bin_size).select("i", "j").collect()
     assert sorted(map(tuple, got)) == pairs
     hit = sorted({i for i, _ in pairs})
     semi = I.overlap_join(left, right, how="left_semi", closed=closed).select("i").collect()
     assert sorted(r["i"] for r in semi) == hit
     anti = I.overlap_join(left, right, how="left_anti", closed=closed).select("i").collect()
     assert sorted(r["i"] for r in anti) == sorted(set(range(150)) - set(hit))
-    outer = I.overlap_join(left, right, how="left", closed=closed, bin_size=32)
+    outer = I.overlap_join(left, right, how="left", closed=closed, bin_size=bin_size)
     assert outer.count() == len(pairs) + 150 - len(hit)
 
 
+def test_overlap_join_of_unlike_widths(spark):
+    """Reads of 100 bases and intervals as long as the chromosome: few rows meet in vain, and none twice."""
+    length = 3_000_000
+    rng = random.Random(9)
+
+    def mixed(n, whole):
+        spots = [(s, s + rng.choice([1, 100, 100, 100, 5000])) for s in (rng.randrange(length) for _ in range(n))]
+        return [("a", s, e, i) for i, (s, e) in enumerate([*spots, *[(k, length - k) for k in range(whole)], (5, 5), (9, 7)])]
+
+    a, b = mixed(1500, 3), mixed(1200, 2)
+    left, right = spark.createDataFrame(a, SCHEMA + ", i int"), spark.createDataFrame(b, SCHEMA + ", j int")
+    want = sorted((i, j) for _, s, e, i in a for _, t, f, j in b if s < f and t < e)
+    got = I.overlap_join(left, right)
+    assert sorted(map(tuple, got.select("i", "j").collect())) == want
+    met = I._meetings(left, right.withColumnsRenamed({"start": "t", "end": "f"}), ["contig"], "t", "f", 0, None)
+    assert met.count() < 5 * len(want)
+    nothing = spark.createDataFrame([("a", None, 7, 1), ("a", 3, None, 2)], SCHEMA + ", j int")
+    assert I.overlap_join(left, nothing).count() == 0
+    assert I.overlap_join(nothing.limit(0), left).count() == 0
+
+
 def test_sweep_counts_depth(spark):
     rows = sample(7)
     df = spark.createDataFrame(rows, SCHEMA)
