@@ -1,6 +1,6 @@
 """Sample discovery: from file names and first lines to a sample sheet.
 
-Files: path, first_line, and for alignments header (text) and median_length.
+Files: path, first_line, and for alignments header (text) and median_length, as ``scan_files`` finds them.
 """
 
 from __future__ import annotations

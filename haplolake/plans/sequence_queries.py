@@ -13,6 +13,7 @@ from haplolake.operators import sequences as Q
 from haplolake.operators import stats as S
 from haplolake.plans.registry import query, strings
 from haplolake.plans.views import table, view
+from haplolake.sources.readers import peek_contents
 
 _S = ("v_sequences",)
 
@@ -337,6 +338,39 @@ _KIND = """kinds AS (SELECT path, CASE WHEN path LIKE '%.fasta' THEN 'ASM' WHEN
     paired AS (SELECT *, sample AS id FROM kinds)"""
 
 
+_HEADS = """heads AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN '@RG' || chr(9) || 'ID:a' || chr(9) || 'PL:illumina' WHEN 1 THEN '@PG' || chr(9) || 'ID:m' || chr(9) || 'CL:mm2 -ax map-ont'
+        WHEN 2 THEN '@RG' || chr(9) || 'ID:a' || chr(9) || 'PL:PACBIO' ELSE '@HD' || chr(9) || 'VN:1.6' END AS head FROM orders),
+    seqs AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN 4 WHEN l_linenumber = 2 THEN 256 WHEN l_orderkey % 11 = 3 THEN 2048 ELSE 16 END AS flag,
+        CAST(l_quantity * 40 AS INT) AS bases FROM lineitem)"""
+
+
+@query(
+    "discover_alignments",
+    """SELECT '/d/s' || o_orderkey || '.sam' AS path, median_length,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'ILL' WHEN o_orderkey % 7 IN (1, 2) THEN 'ONT' WHEN median_length >= 1000 THEN 'ONT' WHEN median_length IS NOT NULL THEN 'ILL' END AS kind
+       FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 OR first_line > 1 THEN lengths[len(lengths) // 2 + 1] END AS median_length
+             FROM heads LEFT JOIN (SELECT l_orderkey, min(l_linenumber) AS first_line, list_sort(list(bases) FILTER (WHERE flag = 16)) AS lengths FROM seqs GROUP BY 1) ON l_orderkey = o_orderkey)""",
+    (),
+    _HEADS,
+)
+def discover_alignments(spark, d):
+    """One SAM file per order, classified by platform, preset or the median of its reads."""
+    tab = F.lit("\t")
+    text = lambda *cells: F.concat_ws("\t", *cells)
+    k = F.col("o_orderkey") % 7
+    head = F.when(k == 0, "@RG\tID:a\tPL:illumina").when(k == 1, "@PG\tID:m\tCL:mm2 -ax map-ont").when(k == 2, "@RG\tID:a\tPL:PACBIO").otherwise("@HD\tVN:1.6")
+    line, key = F.col("l_linenumber"), F.col("l_orderkey")
+    flag = F.when((line == 1) & (key % 5 == 0), 4).when(line == 2, 256).when(key % 11 == 3, 2048).otherwise(16)
+    seq = F.repeat(F.lit("A"), (F.col("l_quantity") * 40).cast("int"))
+    record = F.concat(F.lit("r"), tab, flag.cast("string"), tab, text(F.lit("c"), F.lit("1"), F.lit("60"), F.lit("9M"), F.lit("*"), F.lit("0"), F.lit("0"), seq, F.lit("*")))
+    records = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", record.alias("value")))).alias("r"))
+    lines = F.concat_ws("\n", F.array(head), F.transform("r", lambda x: x["value"]))
+    files = table(spark, d, "orders").join(records, F.col("l_orderkey") == F.col("o_orderkey"), "left").select(
+        F.concat(F.lit("/d/s"), F.col("o_orderkey").cast("string"), F.lit(".sam")).alias("path"), F.encode(lines, "UTF-8").alias("content")
+    )
+    return P.classify_files(peek_contents(files)).select("path", "median_length", "kind")
+
+
 @query("classify_files", "SELECT path, kind, sample FROM kinds", ("v_files",), _KIND)
 def classify_files(spark, d):
     return P.with_sample_ids(P.classify_files(view(spark, d, "v_files"))).select("path", "kind", "sample")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gzip
+import io
+import itertools
+import re
+import struct
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +17,7 @@ from haplolake.functions import fields as X
 from haplolake.functions import names as N
 
 __all__ = [
-    "numbered_lines", "parse_bed", "parse_coords", "parse_coverage", "parse_delta", "parse_fai", "parse_fasta", "parse_fastq", "parse_flagstat",
+    "numbered_lines", "peek_contents", "parse_bed", "parse_coords", "parse_coverage", "parse_delta", "parse_fai", "parse_fasta", "parse_fastq", "parse_flagstat",
     "parse_gff", "parse_mpileup", "parse_paf", "parse_sam", "parse_sam_header", "parse_samstats", "parse_vcf", "parse_vcf_header", "read_bed", "read_coords", "read_coverage", "read_delta", "read_depth", "read_fai", "read_fasta", "read_fastq",
     "read_file_list", "read_flagstat", "read_gff", "read_metadata", "read_mpileup", "read_paf", "read_sam", "read_sam_header",
     "read_samples", "read_samstats", "read_vcf", "read_vcf_header", "scan_files",
@@ -429,39 +434,167 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return out.select(*[F.nullif(F.trim(F.col(c)), F.lit("")).alias(c) for c in out.columns])
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# --- file discovery ------------------------------------------------------------------------------
+
+# Flags of unmapped, and of unmapped, secondary or supplementary records.
+_UNMAPPED, _NOT_PRIMARY = 0x4, 0x904
+
+_PEEK = "path string, length bigint, first_line string, header string, median_length int, error string"
+
+
+def _stream_lines(handle) -> Iterator[bytes]:
+    """Lines of a byte stream, read on demand in pieces of 64 KB."""
+    parts: list[bytes] = []
+    while data := handle.read(1 << 16):
+        *ended, rest = data.split(b"\n")
+        for line in ended:
+            yield b"".join([*parts, line])
+            parts = []
+        parts.append(rest)
+    if any(parts):
+        yield b"".join(parts)
+
+
+def _sam_records(lines: Iterable[bytes]) -> Iterator[tuple[int, bool, int]]:
+    """(flag, mapped, bases) of SAM text; a line that is no record counts as unmapped."""
+    for line in lines:
+        cells = line.rstrip(b"\r").split(b"\t")
+        if line.startswith(b"@"):
+            continue
+        if len(cells) < 6 or not cells[1].isdigit():
+            yield _UNMAPPED, False, 0
+        else:
+            bases = len(cells[9]) if len(cells) >= 11 and cells[9] != b"*" else 0
+            yield int(cells[1]), not int(cells[1]) & _UNMAPPED and cells[5] != b"*", bases
+
+
+def _bam_records(handle) -> Iterator[tuple[int, bool, int]]:
+    """(flag, mapped, bases) of BAM records, from where the reference list ends."""
+    while len(head := handle.read(24)) == 24:
+        size, _, _, _, _, _, operations, flag, bases = struct.unpack("<iiiBBHHHi", head)
+        handle.read(size - 20)
+        yield flag, not flag & _UNMAPPED and operations > 0, bases
+
+
+def _bam_header(handle) -> str:
+    """Header text of BAM after its magic number; the list of references is skipped."""
+    (size,) = struct.unpack("<i", handle.read(4))
+    text = handle.read(size).rstrip(b"\0").decode("utf-8", "replace")
+    (references,) = struct.unpack("<i", handle.read(4))
+    for _ in range(references):
+        (size,) = struct.unpack("<i", handle.read(4))
+        handle.read(size + 4)
+    return text
+
+
+def _median_of_lead(records: Iterator[tuple[int, bool, int]], n: int) -> int | None:
+    """Upper median of bases of the first ``n`` usable records; NULL if the first record of all is unmapped."""
+    first = next(records, None)
+    if first is None or not first[1]:
+        return None
+    usable = (bases for flag, _, bases in itertools.chain([first], records) if bases and not flag & _NOT_PRIMARY)
+    lengths = sorted(itertools.islice(usable, n))
+    return lengths[len(lengths) // 2] if lengths else None
+
+
+def _peek(handle, aligned: bool, n: int) -> tuple[str | None, str | None, int | None]:
+    """(first line, header, median length) from the beginning of an unpacked stream."""
+    magic = handle.read(4) if aligned else b""
+    if magic == b"BAM\1":
+        return None, _bam_header(handle), _median_of_lead(_bam_records(handle), n)
+    if magic == b"CRAM":
+        raise ValueError("CRAM is not read")
+    lines = _stream_lines(_Resumed(magic, handle) if magic else handle)
+    first = next(lines, b"")
+    text = first.decode("utf-8", "replace").rstrip("\r")
+    if not aligned:
+        return text, None, None
+    header = []
+    for line in itertools.chain([first], lines):
+        if not line.startswith(b"@"):
+            lines = itertools.chain([line], lines)
+            break
+        header.append(line.decode("utf-8", "replace").rstrip("\r"))
+    return text, "\n".join(header), _median_of_lead(_sam_records(lines), n)
+
+
+class _Resumed:
+    """A stream whose first bytes were read already."""
+
+    def __init__(self, seen: bytes, handle) -> None:
+        self._seen, self._handle = seen, handle
+
+    def read(self, size: int) -> bytes:
+        seen, self._seen = self._seen, b""
+        return seen or self._handle.read(size)
+
+
+class _Whole:
+    """Reads until ``size`` bytes are there or the stream ends."""
+
+    def __init__(self, handle) -> None:
+        self._handle = handle
+
+    def read(self, size: int) -> bytes:
+        parts = []
+        while size > 0 and (data := self._handle.read(min(size, 1 << 20))):
+            parts.append(data)
+            size -= len(data)
+        return b"".join(parts)
+
+
+def _peeks(open_row, n: int):
+    """Function for ``mapInPandas``: ``open_row`` gives an unpacked stream for a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        suffix = re.compile(N.ALIGNMENT_SUFFIX)
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                aligned = bool(suffix.search(re.sub(r"(?i)\.gz$", "", row.path)))
+                try:
+                    with open_row(row) as handle:
+                        found.append((row.path, row.length, *_peek(_Whole(handle), aligned, n), None))
+                except (OSError, EOFError, ValueError, struct.error) as error:
+                    found.append((row.path, row.length, None, None, None, str(error)))
+            out = pd.DataFrame(found, columns=["path", "length", "first_line", "header", "median_length", "error"])
+            yield out.astype({"median_length": "Int32"})
+
+    return run
+
+
+def _open_file(row):
     from pyarrow import fs
 
-    def head(uri: str) -> tuple[str | None, str | None]:
-        """The whole first line, or why it can't be read."""
-        try:
-            system, path = fs.FileSystem.from_uri(uri)
-            with system.open_input_stream(path, compression=None) as handle:
-                zipped = handle.read(2) == b"\x1f\x8b"
-            with system.open_input_stream(path, compression="gzip" if zipped else None) as handle:
-                parts = []
-                while data := handle.read(1 << 16):
-                    line, newline, _ = data.partition(b"\n")
-                    parts.append(line)
-                    if newline:
-                        break
-            return b"".join(parts).decode("utf-8", "replace").rstrip("\r"), None
-        except (OSError, EOFError, ValueError) as error:
-            return None, str(error)
-
-    for batch in batches:
-        found = [head(p) for p in batch["path"]]
-        yield batch.assign(first_line=[f[0] for f in found], error=[f[1] for f in found])
-
-
-def scan_files(spark: SparkSession, root: str, max_depth: int = 4, exclude: str | None = None, exclude_files: list[str] | None = None) -> DataFrame:
-    """Files below ``root`` (path, length, first_line, error) up to ``max_depth`` folders deep.
+    system, path = fs.FileSystem.from_uri(row.path)
+    with system.open_input_stream(path, compression=None) as handle:
+        zipped = handle.read(2) == b"\x1f\x8b"
+    return system.open_input_stream(path, compression="gzip" if zipped else None)
+
+
+def _open_content(row):
+    content = row.content or b""
+    return gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+
+def peek_contents(files: DataFrame, n: int = 1000) -> DataFrame:
+    """What :func:`scan_files` finds, for files held in a table (path, content)."""
+    rows = files.select("path", F.length("content").cast("long").alias("length"), "content")
+    return rows.mapInPandas(_peeks(_open_content, n), _PEEK)
+
+
+def scan_files(
+    spark: SparkSession, root: str, max_depth: int = 4, exclude: str | None = None, exclude_files: list[str] | None = None, records: int = 1000
+) -> DataFrame:
+    """Files below ``root`` (path, length, first_line, header, median_length, error) up to ``max_depth`` folders deep.
 
     ``exclude`` is a regular expression or a glob on the file name. Contents are
-    read up to the first line's end; a file that can't be read has an ``error``.
+    read up to the first line's end. Of alignments (SAM, plain or gzip, and BAM)
+    the header is read and the first records, until ``records`` primary ones with
+    bases are found: ``median_length`` is their upper median, NULL if the very
+    first record is unmapped. A file that can't be read has an ``error``.
     """
     import fnmatch
-    import re
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length").filter("length > 0")
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
@@ -477,4 +610,4 @@ def scan_files(spark: SparkSession, root: str, max_depth: int = 4, exclude: str
         files = files.filter(~N.base_name(F.col("path")).rlike(pattern))
     if exclude_files:
         files = files.filter(~inside.isin(*exclude_files))
-    return files.mapInPandas(_first_lines, "path string, length bigint, first_line string, error string")
+    return files.mapInPandas(_peeks(_open_file, records), _PEEK)
