@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.functions import fields as X
 from haplolake.functions.numbers import human_size
-from haplolake.operators.cohort import phylip
 from haplolake.operators.intervals import merge_intervals
 
-__all__ = ["file_manifest", "report_json", "vcf_lines", "write_bed", "write_fasta", "write_phylip", "write_tsv", "write_vcf"]
+__all__ = [
+    "bed_lines", "fasta_lines", "file_manifest", "phylip_lines", "report_json", "report_lines", "tsv_cells", "vcf_lines", "write_bed", "write_fasta", "write_phylip",
+    "write_tsv", "write_vcf",
+]
 
 # Definitions written when the header lacks them.
 DEFINITIONS = {
@@ -112,51 +118,134 @@ def write_vcf(v: DataFrame, path: str, contigs: DataFrame, samples: list[str], d
     lines.orderBy("ord", "chrom", "pos", "rec_no", "value").select("value").write.mode(mode).text(path)
 
 
-def write_bed(df: DataFrame, path: str, merge: bool = True, mode: str = "errorifexists") -> None:
+def bed_lines(df: DataFrame, merge: bool = True) -> DataFrame:
+    """(contig, start, value) of BED text, merged first unless told otherwise."""
     rows = merge_intervals(df) if merge else df
-    rows.orderBy("contig", "start").select("contig", "start", "end").write.mode(mode).csv(path, sep="\t")
+    return rows.select("contig", "start", F.concat_ws("\t", "contig", F.col("start").cast("string"), F.col("end").cast("string")).alias("value"))
+
+
+def write_bed(df: DataFrame, path: str, merge: bool = True, mode: str = "errorifexists") -> None:
+    bed_lines(df, merge).orderBy("contig", "start", "value").select("value").write.mode(mode).text(path)
+
+
+def fasta_lines(seqs: DataFrame, name: str = "sample") -> DataFrame:
+    """``seqs`` with ``value``: the two lines of each record; a NULL sequence is an empty one."""
+    return seqs.withColumn("value", F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.coalesce("seq", F.lit(""))))
 
 
 def write_fasta(seqs: DataFrame, path: str, name: str = "sample", order: str | None = None, mode: str = "errorifexists") -> None:
     """Two lines per record."""
-    rows = seqs.orderBy(order) if order else seqs
-    rows.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), "seq").alias("value")).write.mode(mode).text(path)
+    rows = fasta_lines(seqs, name)
+    (rows.orderBy(order) if order else rows).select("value").write.mode(mode).text(path)
 
 
-# Number formats of the reports.
+# Number formats of the reports, and the decimals of those that have some.
 FORMATS = {"two": "%.2f", "four": "%.4f", "six": "%.6f", "general": "%g"}
+_DECIMALS = {"two": 2, "four": 4, "six": 6}
+
+
+def tsv_cells(df: DataFrame, formats: dict[str, str] | None = None) -> DataFrame:
+    """Every column as the text of its cell; ``formats`` names a number format per column, ties round to even, NULL stays."""
+
+    def cell(name: str) -> Column:
+        kind = (formats or {}).get(name)
+        if not kind:
+            return F.col(name).cast("string")
+        value = F.bround(F.col(name), _DECIMALS[kind]) if kind in _DECIMALS else F.col(name)
+        return F.when(F.col(name).isNotNull(), F.format_string(FORMATS[kind], value))
+
+    return df.select(*[cell(c).alias(c) for c in df.columns])
 
 
 def write_tsv(df: DataFrame, path: str, formats: dict[str, str] | None = None, mode: str = "errorifexists") -> None:
     """Tab-separated table with a header; NULL is blank, ``formats`` names a number format per column."""
-    shaped = [F.format_string(FORMATS[formats[c]], F.col(c)).alias(c) if formats and c in formats else F.col(c) for c in df.columns]
-    blank = [F.when(F.col(c).isNull(), F.lit(None)).otherwise(s).alias(c) for c, s in zip(df.columns, shaped, strict=True)]
-    df.select(*blank).write.mode(mode).csv(path, sep="\t", header=True, nullValue="", emptyValue="")
+    tsv_cells(df, formats).write.mode(mode).csv(path, sep="\t", header=True, nullValue="", emptyValue="")
+
+
+def phylip_lines(distances: DataFrame, names: list[str]) -> DataFrame:
+    """(at, value) of a square matrix: the count at -1, then one line per name; a pair without a distance has 0.
+
+    A line is filled from the cells that are there, ordered by place, so the plan
+    does not grow with the names; the line itself does.
+    """
+    spark = distances.sparkSession
+    places = spark.createDataFrame(list(enumerate(names)), "at bigint, name string")
+    pairs = distances.select("a", "b", "distance").union(distances.select("b", "a", "distance"))
+    b_places = places.select(F.col("name").alias("b"), F.col("at").alias("to"))
+    cells = pairs.join(b_places, "b").groupBy("a", "to").agg(F.max("distance").cast("string").alias("text"))
+    lists = cells.groupBy(F.col("a").alias("name")).agg(F.sort_array(F.collect_list(F.struct("to", "text"))).alias("_cells"))
+    rows = places.join(lists, "name", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<to:bigint,text:string>>")))
+    # the zeros before each cell, up to the one before it
+    before = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("_cells", lambda c: c["to"]))
+    filled = F.transform(
+        "_cells",
+        lambda c, i: F.concat(F.array_repeat(F.lit("0"), (c["to"] - F.get("_before", i) - 1).cast("int")), F.array(c["text"])),
+    )
+    tail = F.array_repeat(F.lit("0"), (F.lit(len(names)) - F.element_at("_before", -1) - 1).cast("int"))
+    body = rows.withColumn("_before", before).select("at", F.concat_ws("\t", F.col("name"), F.concat(F.flatten(filled), tail)).alias("value"))
+    count = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit(str(len(names))).alias("value"))
+    return count.unionByName(body)
 
 
 def write_phylip(distances: DataFrame, names: list[str], path: str, mode: str = "errorifexists") -> None:
-    """Square matrix of a small cohort: the count, then one line per name."""
-    wide = phylip(distances, names)
-    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name"))
-    body = wide.select(place.alias("at"), F.concat_ws("\t", "name", *[F.col(n).cast("string") for n in names]).alias("value"))
-    count = wide.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("at"), F.lit(str(len(names))).alias("value"))
-    count.unionByName(body.withColumn("at", F.col("at").cast("bigint"))).orderBy("at").select("value").write.mode(mode).text(path)
-
-
-def report_json(table: DataFrame, sample_fields: list[str], info_fields: list[str], path: str, mode: str = "errorifexists") -> None:
-    """JSON lines: one object per variant, and the field lists in a ``fields`` object beside it."""
-    table.write.mode(mode).json(f"{path}/variants")
-    spark = table.sparkSession
-    fields = F.struct(
-        F.array(*[F.lit(f) for f in sample_fields]).cast("array<string>").alias("sampleFields"), F.array(*[F.lit(f) for f in info_fields]).cast("array<string>").alias("infoFields")
+    """Square matrix: the count, then one line per name."""
+    phylip_lines(distances, names).orderBy("at").select("value").write.mode(mode).text(path)
+
+
+def report_lines(table: DataFrame, sample_fields: list[str], info_fields: list[str], order: list[str]) -> DataFrame:
+    """Lines of one JSON document ``{variants, sampleFields, infoFields}``: part, the order, text, copy, value.
+
+    Sorted by part, the order, text and copy the lines are the document. Each variant but the first
+    begins with its comma. Equal rows are counted and written out again, so that
+    exactly one row is first.
+    """
+    text = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
+    rows = table.select(*order, text.alias("value")).groupBy(*order, "value").agg(F.count("*").alias("_n"))
+    sort_key = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order], F.col("value"))
+    first = rows.agg(F.min(sort_key)).scalar()
+    each = rows.withColumn("_first", sort_key == first).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    comma = F.when(F.col("_first") & (F.col("_i") == 1), "").otherwise(",")
+    body = each.select(F.lit(1).alias("part"), *order, F.col("value").alias("text"), F.col("_i").alias("copy"), F.concat(comma, "value").alias("value"))
+    names = [F.to_json(F.array(*[F.lit(f) for f in fields]).cast("array<string>")) for fields in (sample_fields, info_fields)]
+    ends = F.array(
+        F.struct(F.lit(0).alias("part"), F.lit('{"variants": [').alias("value")),
+        F.struct(F.lit(2).alias("part"), F.concat(F.lit('], "sampleFields": '), names[0], F.lit(', "infoFields": '), names[1], F.lit("}")).alias("value")),
     )
-    spark.range(1).select(fields.alias("f")).select("f.*").write.mode(mode).json(f"{path}/fields")
+    frame = table.sparkSession.range(1).select(F.explode(ends).alias("e")).select("e.*")
+    return body.unionByName(frame, allowMissingColumns=True)
+
+
+def report_json(table: DataFrame, sample_fields: list[str], info_fields: list[str], path: str, order: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """One JSON document; its part files, read in the order of their names, are that document."""
+    keys = order or [c for c in ("chrom", "pos") if c in table.columns] or table.columns[:1]
+    lines = report_lines(table, sample_fields, info_fields, keys)
+    lines.orderBy("part", *keys, "text", "copy").select("value").write.mode(mode).text(path)
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """MD5 of each file, read in pieces of 1 MB; NULL where it can't be read."""
+    from pyarrow import fs
+
+    def digest(uri: str) -> str | None:
+        md5 = hashlib.md5(usedforsecurity=False)
+        try:
+            system, path = fs.FileSystem.from_uri(uri)
+            with system.open_input_stream(path, compression=None) as handle:
+                while data := handle.read(1 << 20):
+                    md5.update(data)
+        except (OSError, ValueError):
+            return None
+        return md5.hexdigest()
+
+    for batch in batches:
+        yield batch.assign(md5=[digest(p) for p in batch["path"]])
 
 
 def file_manifest(spark, paths: str | list[str], descriptions: dict[str, str] | None = None) -> DataFrame:
-    """(path, size, bytes, md5, description) of output files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    """(path, size, bytes, md5, description) of output files of any size; contents are streamed, never held."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", F.col("length").alias("bytes"))
     label = F.lit("")
     for part, text in (descriptions or {}).items():
         label = F.when(F.contains("path", F.lit(part)), text).otherwise(label)
-    return files.select("path", human_size(F.col("length")).alias("size"), F.col("length").alias("bytes"), F.md5("content").alias("md5"), label.alias("description"))
+    hashed = files.mapInPandas(_digests, "path string, bytes bigint, md5 string")
+    return hashed.select("path", human_size(F.col("bytes")).alias("size"), "bytes", "md5", label.alias("description"))

@@ -1,4 +1,6 @@
 import gzip
+import hashlib
+import json
 import random
 
 import pytest
@@ -182,8 +184,36 @@ def test_writers(spark, tmp_path):
     d = spark.createDataFrame([("a", "b", 3), ("a", "c", 0), ("b", "c", 4)], "a string, b string, distance bigint")
     IO.write_phylip(d, ["a", "b", "c"], str(tmp_path / "phy"))
     assert lines(tmp_path / "phy") == ["3", "a\t0\t3\t0", "b\t3\t0\t4", "c\t0\t4\t0"]
-    IO.report_json(t, ["GT"], ["DP"], str(tmp_path / "rep"))
-    assert spark.read.json(str(tmp_path / "rep" / "fields")).first()["infoFields"] == ["DP"]
+    IO.write_phylip(d.filter("b <> 'c'"), ["c", "b", "x", "a"], str(tmp_path / "gaps"))
+    assert lines(tmp_path / "gaps") == ["4", "c\t0\t0\t0\t0", "b\t0\t0\t0\t3", "x\t0\t0\t0\t0", "a\t0\t3\t0\t0"]
+    half = spark.createDataFrame([(0.125, 2.5), (0.375, None), (-1.5, 1e-9)], "a double, b double")
+    IO.write_tsv(half.coalesce(1), str(tmp_path / "half"), {"a": "two", "b": "six"})
+    assert lines(tmp_path / "half") == ["a\tb", "0.12\t2.500000", "0.38\t", "-1.50\t0.000000"]
+
+
+@pytest.mark.parametrize("rows", [[], [("c", 1, "x")], [("c", 2, 'say "x",'), (None, 5, None), ("c", 1, "x"), ("c", 1, "x"), ("b", None, ""), ("c", 2, ",y")] * 3])
+def test_report_is_one_document(spark, tmp_path, rows):
+    table = spark.createDataFrame(rows, "chrom string, pos bigint, note string").repartition(3)
+    IO.report_json(table, ["GT"], ["DP", "AO"], str(tmp_path / "rep"))
+    text = "\n".join(lines(tmp_path / "rep"))
+    got = json.loads(text)
+    assert (got["sampleFields"], got["infoFields"]) == (["GT"], ["DP", "AO"])
+    key = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0)
+    found = [tuple(v.values()) for v in got["variants"]]
+    assert [key(r) for r in found] == sorted(key(r) for r in rows)
+    assert sorted(found, key=str) == sorted(rows, key=str)
+
+
+def test_manifest_of_a_file_over_two_gigabytes(spark, tmp_path):
+    size = (1 << 31) + 5
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)  # sparse: no disk is used
+    digest = hashlib.md5()
+    for _ in range(size >> 20):
+        digest.update(bytes(1 << 20))
+    digest.update(bytes(size & ((1 << 20) - 1)))
+    row = IO.file_manifest(spark, str(tmp_path)).first()
+    assert (row["bytes"], row["size"], row["md5"]) == (size, "2.0 GB", digest.hexdigest())
 
 
 def test_following_a_folder(spark, tmp_path, reads):
