@@ -9,8 +9,10 @@ from haplolake.functions import alleles as A
 from haplolake.functions import fields as X
 from haplolake.functions import names as N
 from haplolake.functions.numbers import human_size, phred
+from haplolake.operators import cohort as K
 from haplolake.operators import depth as D
-from haplolake.plans.registry import query
+from haplolake.plans.interval_queries import _SPANS
+from haplolake.plans.registry import intervals, query
 from haplolake.plans.views import table, view
 from haplolake.sources import readers as R
 from haplolake.sources import writers as W
@@ -240,6 +242,58 @@ def vcf_text(spark, d):
     return W.vcf_lines(rows, view(spark, d, "v_contigs"), list(_SAMPLES)).select("value")
 
 
+@query("bed_text", "SELECT g || chr(9) || s || chr(9) || e AS value FROM merged", ("v_intervals",), _SPANS)
+def bed_text(spark, d):
+    return W.bed_lines(intervals(spark, d)).select("value")
+
+
+@query("fasta_text", "SELECT '>' || contig || chr(10) || seq AS value FROM v_sequences", ("v_sequences",))
+def fasta_text(spark, d):
+    return W.fasta_lines(view(spark, d, "v_sequences"), "contig").select("value")
+
+
+@query(
+    "tsv_cells",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, printf('%.2f', l_quantity / 8.0e0) AS two, printf('%.4f', l_partkey / 32.0e0) AS four,
+       CASE WHEN l_partkey % 7 <> 0 THEN printf('%.6f', l_suppkey / 128.0e0) END AS six, l_returnflag FROM lineitem""",
+)
+def tsv_cells(spark, d):
+    """Many of the values lie halfway between two numbers of the format."""
+    t = table(spark, d, "lineitem")
+    six = F.when(F.col("l_partkey") % 7 != 0, F.col("l_suppkey") / 128.0)
+    rows = t.select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") / 8.0).alias("two"), (F.col("l_partkey") / 32.0).alias("four"), six.alias("six"), "l_returnflag"
+    )
+    return W.tsv_cells(rows, {"two": "two", "four": "four", "six": "six"})
+
+
+@query(
+    "phylip_text",
+    """SELECT CAST((SELECT count(*) FROM names) AS VARCHAR) AS value UNION ALL
+       SELECT x.sample || chr(9) || string_agg(CAST(coalesce(d.n, 0) AS VARCHAR), chr(9) ORDER BY y.sample) FROM names x CROSS JOIN names y LEFT JOIN differ d ON d.a = x.sample AND d.b = y.sample GROUP BY x.sample""",
+    ("v_msa_sites",),
+    """names AS (SELECT DISTINCT sample FROM v_msa_sites), known AS (SELECT * FROM v_msa_sites WHERE base IN ('A', 'C', 'G', 'T')),
+    differ AS (SELECT x.sample AS a, y.sample AS b, count(*) AS n FROM known x JOIN known y ON x.site = y.site AND x.base <> y.base GROUP BY 1, 2)""",
+)
+def phylip_text(spark, d):
+    """Only pairs that differ are given: the writer fills in the zeros."""
+    sites = view(spark, d, "v_msa_sites")
+    names = sorted(r["sample"] for r in sites.select("sample").distinct().collect())
+    return W.phylip_lines(K.snp_distances(sites, tile=128).filter("distance > 0"), names).select("value")
+
+
+@query(
+    "report_document",
+    """SELECT part, value FROM (SELECT 1 AS part, CASE WHEN row_number() OVER (ORDER BY chrom, pos, text) = 1 THEN '' ELSE ',' END || text AS value
+         FROM (SELECT chrom, pos, CAST(to_json(struct_pack(sample := sample, chrom := chrom, pos := pos, ref := ref, alt := alt, dp := dp, gt := CASE WHEN dp % 5 > 0 THEN gt END)) AS VARCHAR) AS text FROM v_variants))
+       UNION ALL SELECT 0, '{"variants": [' UNION ALL SELECT 2, '], "sampleFields": ["GT","DP"], "infoFields": ["BCSQ"]}'""",
+    ("v_variants",),
+)
+def report_document(spark, d):
+    v = view(spark, d, "v_variants").select("sample", "chrom", "pos", "ref", "alt", "dp", F.when(F.col("dp") % 5 > 0, F.col("gt")).alias("gt"))
+    return W.report_lines(v, ["GT", "DP"], ["BCSQ"], ["chrom", "pos"]).select("part", "value")
+
+
 # --- column helpers ------------------------------------------------------------------------
 
 

@@ -123,6 +123,36 @@ def context_filter(spark, d):
     return keys_of(out, X.format_filters(F.col("filters")).alias("filter"), reasons.alias("reasons"))
 
 
+# The keys of edge distances in lookup order, as the query spreads them over the records.
+_EDGES = """edges AS (SELECT *, CASE pos % 6 WHEN 0 THEN (dp % 40) || '.9' WHEN 1 THEN CAST(dp % 40 AS VARCHAR) WHEN 2 THEN 'x' WHEN 3 THEN CAST(dp % 40 AS VARCHAR) WHEN 4 THEN CAST(dp % 40 AS VARCHAR) END AS edge FROM v_variants)"""
+
+
+@query(
+    "edge_filter",
+    """SELECT sample, chrom, pos, ref, alt, TRY_CAST(trunc(TRY_CAST(edge AS DOUBLE)) AS INT) AS distance, CASE WHEN near THEN 'LowQual' ELSE '.' END AS filter, CASE WHEN near THEN 'NEAR_ALIGNMENT_EDGE' ELSE '' END AS reasons
+       FROM (SELECT *, coalesce(length(ref) = 1 AND length(alt) = 1 AND trunc(TRY_CAST(edge AS DOUBLE)) < 20, false) AS near FROM edges)""",
+    ("v_variants",),
+    _EDGES,
+)
+def edge_filter(spark, d):
+    """Each key in turn; where two are there the first one counts, even if it is no number."""
+    near, kind = (F.col("fmt")["DP"].cast("int") % 40).cast("string"), F.col("pos") % 6
+    decoy = F.map_from_arrays(F.array(F.lit("EDGE_DIST"), F.lit("ASM_EDGE_DIST")), F.array(F.lit("x"), F.lit("3")))
+    info = (
+        F.when(kind == 0, F.create_map(F.lit("MUMMER_EDGE_DIST"), F.concat(near, F.lit(".9")))).when(kind == 1, F.create_map(F.lit("ASM_EDGE_DIST"), near, F.lit("MUMMER_EDGE_DIST"), F.lit("1")))
+        .when(kind == 2, decoy).when(kind == 3, F.create_map(F.lit("CONTEXT_EDGE_DIST"), near, F.lit("EDGE_DIST"), F.lit("x"))).when(kind == 4, F.create_map(F.lit("EDGE_DIST"), near))
+        .otherwise(X.empty_map())
+    )
+    out = V.context_filter(variants(spark, d).withColumn("info", info), min_snp_distance_to_breakpoint=20)
+    reasons = F.coalesce(F.try_element_at("info", F.lit("CONTEXT_LOWQUAL_REASON")), F.lit(""))
+    return keys_of(out, X.edge_distance(F.col("info")).alias("distance"), X.format_filters(F.col("filters")).alias("filter"), reasons.alias("reasons"))
+
+
+@query("rename_sample", "SELECT 'new' AS sample, chrom, pos, ref, alt, gt FROM v_variants", ("v_variants",))
+def rename_sample(spark, d):
+    return keys_of(V.with_sample(variants(spark, d), "new"), F.element_at("fmt", "GT").alias("gt"))
+
+
 @query(
     "collapse_gt",
     """SELECT sample, chrom, pos, ref, alt, CASE WHEN gt IN ('0/0', '0|0') THEN '0' WHEN gt IN ('1/1', '1|1') THEN '1'
