@@ -294,15 +294,22 @@ def best_block(
 ) -> DataFrame:
     """Left join of each point to the covering block [start, end) of highest ``rank``.
 
-    Blocks are cut into aligned power-of-16 cells and each cell keeps its best
-    block; a point asks the one cell per level that contains it. The fan-out is
-    fixed, so neither deep coverage nor a hot position multiplies rows. ``rank``
-    is a struct whose last fields make ties explicit.
+    The blocks are sorted once and numbered, so that only one LONG each goes on:
+    they are cut into aligned power-of-16 cells and each cell keeps its highest
+    number; a point asks the one cell per level that contains it, up to the level
+    of the longest block, and looks its winner up. The fan-out is fixed, so
+    neither deep coverage nor a hot position multiplies rows. ``rank`` is a
+    struct whose last fields make ties explicit. Blocks that hold no position win nothing.
     """
     keys = _keys(by)
-    best = F.struct(rank.alias("rank"), F.struct(*[F.col(c) for c in keep]).alias("row"))
+    places = blocks.select(*keys, F.col("start").cast("long").alias("_from"), F.col("end").cast("long").alias("_to"), rank.alias("_rank"), F.struct(*keep).alias("_row"))
+    # numbers rise through the partitions of a sorted table; written, they stay what they are
+    numbered = stage(places.filter("_from < _to").orderBy("_rank").withColumn("_no", F.monotonically_increasing_id()).drop("_rank"))
+    longest = F.coalesce(numbered.agg(F.max(F.col("_to") - F.col("_from"))).scalar(), F.lit(1).cast("long"))
+    # a block of less than 16^n positions holds no aligned cell of that width
+    top = F.least(F.floor((F.length(F.bin(longest)) - 1) / TREE_SHIFT), F.lit(TREE_LEVELS - 1)).cast("int")
     cells = []
-    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    start, end = F.col("_from"), F.col("_to")
     for level in range(TREE_LEVELS):
         shift, up = TREE_SHIFT * level, TREE_SHIFT * (level + 1)
         low, high = F.shiftright(start + (2**shift - 1), shift), F.shiftright(end, shift)
@@ -317,26 +324,18 @@ def best_block(
         ids = F.when(covered, F.concat(between(low, up_low), between(up_high, high))).otherwise(between(low, high))
         cells.append(_tagged(ids, level))
     tree = (
-        blocks.withColumn("_best", best)
-        .select(*keys, "_best", F.explode(F.concat(*cells)).alias("_cell"))
-        .groupBy(*keys, "_cell.level", "_cell.cell")
-        .agg(F.max("_best").alias("_best"))
+        numbered.select(*keys, "_no", F.explode(F.concat(*cells)).alias("_cell"))
+        .groupBy(*keys, F.col("_cell.level").alias("_level"), F.col("_cell.cell").alias("_at"))
+        .agg(F.max("_no").alias("_no"))
     )
-    asks = points.select(*keys, at).distinct()
-    path = F.array(
-        *[
-            F.struct(F.lit(lv).alias("level"), F.shiftright(F.col(at).cast("long"), TREE_SHIFT * lv).alias("cell"))
-            for lv in range(TREE_LEVELS)
-        ]
-    )
-    found = (
-        asks.select(*keys, at, F.explode(path).alias("_cell"))
-        .select(*keys, at, "_cell.level", "_cell.cell")
-        .join(tree, [*keys, "level", "cell"])
+    asks = points.select(*keys, at).distinct().withColumn("_level", F.explode(F.sequence(F.lit(0), top)))
+    winners = (
+        asks.withColumn("_at", F.call_function("shiftright", F.col(at).cast("long"), F.col("_level") * TREE_SHIFT))
+        .join(tree, [*keys, "_level", "_at"])
         .groupBy(*keys, at)
-        .agg(F.max("_best").alias("_best"))
-        .select(*keys, at, "_best.row.*")
+        .agg(F.max("_no").alias("_no"))
     )
+    found = winners.join(numbered.select("_no", "_row"), "_no").select(*keys, at, "_row.*")
     return points.join(found, [*keys, at], "left")
 
 
