@@ -279,7 +279,7 @@ def phylip_text(spark, d):
     """Only pairs that differ are given: the writer fills in the zeros."""
     sites = view(spark, d, "v_msa_sites")
     names = sorted(r["sample"] for r in sites.select("sample").distinct().collect())
-    return W.phylip_lines(K.snp_distances(sites, tile=128).filter("distance > 0"), names).select("value")
+    return W.phylip_lines(K.snp_distances(sites, tile=128, least=1).filter("distance > 0"), names).select("value")
 
 
 @query(

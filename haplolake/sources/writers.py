@@ -177,12 +177,12 @@ def phylip_lines(distances: DataFrame, names: list[str]) -> DataFrame:
     rows = places.join(lists, "name", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<to:bigint,text:string>>")))
     # the zeros before each cell, up to the one before it
     before = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("_cells", lambda c: c["to"]))
+    zeros = "\t0"
     filled = F.transform(
-        "_cells",
-        lambda c, i: F.concat(F.array_repeat(F.lit("0"), (c["to"] - F.get("_before", i) - 1).cast("int")), F.array(c["text"])),
+        "_cells", lambda c, i: F.concat(F.repeat(F.lit(zeros), (c["to"] - F.get("_before", i) - 1).cast("int")), F.lit("\t"), c["text"])
     )
-    tail = F.array_repeat(F.lit("0"), (F.lit(len(names)) - F.element_at("_before", -1) - 1).cast("int"))
-    body = rows.withColumn("_before", before).select("at", F.concat_ws("\t", F.col("name"), F.concat(F.flatten(filled), tail)).alias("value"))
+    tail = F.repeat(F.lit(zeros), (F.lit(len(names)) - F.element_at("_before", -1) - 1).cast("int"))
+    body = rows.withColumn("_before", before).select("at", F.concat("name", F.array_join(filled, ""), tail).alias("value"))
     count = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit(str(len(names))).alias("value"))
     return count.unionByName(body)
 

@@ -43,6 +43,28 @@ def test_snp_distances(spark, tile):
     assert got == want
 
 
+def test_snp_distances_add_up_in_one_task(spark):
+    """Crowded and thin places, cells on both sides of 0, a cell twice, no sample; counts of pairs meet no shuffle."""
+    rng = random.Random(8)
+    cells = {(p, f"s{s}"): rng.choice("ACGTacgtN") for p in range(-60, 200) for s in range(90) if p % 10 == 0 or rng.random() < 0.03}
+    rows = [(p, s, b) for (p, s), b in cells.items()]
+    msa = spark.createDataFrame([*rows, *rows[:50], (3, None, "A"), (None, "s1", "C")], "site bigint, sample string, base string")
+    want = {}
+    for p in range(-60, 200):
+        here = sorted((s, b.upper()) for (at, s), b in cells.items() if at == p and b in "ACGTacgt")
+        for k, (a, x) in enumerate(here):
+            for b, y in here[k + 1 :]:
+                want[a, b] = want.get((a, b), 0) + (x != y)
+    names = sorted({s for _, s, _ in rows})
+    df = K.snp_distances(msa, tile=20, block=64)
+    assert {(r["a"], r["b"]): r["distance"] for r in df.collect()} == {(a, b): want.get((a, b), 0) for a in names for b in names if a < b}
+    some = {(r["a"], r["b"]): r["distance"] for r in K.snp_distances(msa, tile=20, block=64, least=5).collect()}
+    assert some == {k: n for k, n in want.items() if n >= 5}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+    assert K.snp_distances(msa.limit(0)).count() == 0
+
+
 def test_small_cohort_uses_mad(spark):
     values = dict(zip("abcdef", (99.0, 85.0, 83.0, 80.0, 10.0, 35.0)))
     df = spark.createDataFrame([("reference", 100.0), *((f"sample_{k}", v) for k, v in values.items())], "sequence string, aligned double")
