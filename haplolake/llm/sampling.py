@@ -1,4 +1,4 @@
-"""Bounded samples of labelled texts for fitting models."""
+"""Labelled texts for fitting models: all of them, or a bounded sample."""
 
 from __future__ import annotations
 
@@ -24,3 +24,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = ids if picked is None else picked.unionByName(ids)
     one = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
     return docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", "text", "y")
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0) -> DataFrame:
+    """``doc_id``, ``text`` and ``y`` of every labelled document outside the held-out fold; an id with both labels counts as 1."""
+    known = labels.where(F.col("doc_id").isNotNull() & (remainder_of(F.col("doc_id")) != held_out) & F.col(label).isin(0, 1))
+    return docs.select("doc_id", "text").join(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "doc_id")

@@ -1,4 +1,4 @@
-"""Convolutional text classifier for toxicity, trained in numpy.
+"""Convolutional text classifier for toxicity, trained by averaging over tasks.
 
 A word's embedding is the sum of those of its hashed pieces: the word, its
 beginnings and its end. Filters of one, two and three words run over the whole
@@ -8,23 +8,32 @@ by language, and the language is guessed from the text itself.
 
 from __future__ import annotations
 
+import copy
+import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplolake.llm.common import Remember
-from haplolake.llm.sampling import labelled_sample
+from haplolake.llm.sampling import labelled_texts
+from haplolake.session import scratch, stage
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 17, 8, 4, (1, 2, 3)
 PIECES, COLUMNS = 5, 24  # of a word; numbers kept for a word: FILTERS for each place under each filter
-PER_CLASS, MOST_CHARS, EPOCHS, BATCH = 1500, 20_000, 4, 32
-WINDOWS = 8  # of a long text in the fit
+EPOCHS, BATCH, BATCH_WORDS = 4, 32, 200_000
+ROUNDS, TASK_ROWS = 3, 6000  # passes over all labelled rows, and rows of a task between two averages
+WINDOWS = 8  # of a long text, where the fit is told to bound texts
+BINS = 1024  # of a logit, where thresholds are chosen
 MEMO = 150_000
 CUT = 0.5
 
@@ -81,81 +90,116 @@ class Network:
         return np.concatenate([self.embedding @ self.filters[w][j] for w in WIDTHS for j in range(w)], 1).astype(np.float32)
 
 
-def _padded(ids: np.ndarray) -> np.ndarray:
-    return np.concatenate([ids, np.full((max(1, max(WIDTHS) - len(ids)), ids.shape[1]), PAD)])
-
-
-def _log_odds(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Smoothed log ratio of the shares of toxic and clean documents that hold a bucket."""
-    counts = np.zeros((2, BUCKETS))
-    for ids, label in zip(docs, y, strict=True):
-        counts[label, np.unique(ids)] += 1
-    n = np.maximum(np.bincount(y, minlength=2), 1)
+def _log_odds(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log ratio of the shares of toxic and clean documents that hold a bucket; ``counts`` is (2, BUCKETS)."""
+    n = np.maximum(n, 1)
     ratio = np.log((counts[1] + 2) / (n[1] + 4)) - np.log((counts[0] + 2) / (n[0] + 4))
     ratio[counts.sum(0) == 0] = 0
     return ratio
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
-    """Stochastic gradient descent with adaptive steps.
+class Trainer:
+    """Parameters and their steps: stochastic gradient descent with adaptive steps.
 
-    The first coordinate of each embedding starts at the word's log odds between
+    The first coordinate of each embedding starts at the bucket's log odds between
     the classes, the others at random; all are trained. Only the words at a
     filter's maximum get a gradient.
     """
-    rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.05, (BUCKETS, DIM))
-    emb[:, 0] = _log_odds(docs, y)
-    emb[PAD] = 0
-    filters = {w: rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS}
-    for w in WIDTHS:
-        filters[w][:, 0, :] += 0.5 / w
-    k = FILTERS * len(WIDTHS)
-    bias, out, offset = np.zeros(k), np.full(k, 1.0 / k), 0.0
-    speed = {name: np.full_like(v, 1e-6) for name, v in (("emb", emb), ("bias", bias), ("out", out), *((w, f) for w, f in filters.items()))}
 
-    def moved(name, value, gradient, rate, rows=slice(None)):
-        speed[name][rows] += gradient**2
-        value[rows] -= rate * gradient / np.sqrt(speed[name][rows])
+    def __init__(self, odds: np.ndarray, rng: np.random.Generator):
+        emb = rng.normal(0, 0.05, (BUCKETS, DIM))
+        emb[:, 0] = odds
+        emb[PAD] = 0
+        filters = {w: rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS}
+        for w in WIDTHS:
+            filters[w][:, 0, :] += 0.5 / w
+        k = FILTERS * len(WIDTHS)
+        self.values = {"emb": emb, "bias": np.zeros(k), "out": np.full(k, 1.0 / k), "offset": np.zeros(1), **filters}
+        self.speed = {name: np.full_like(v, 1e-6) for name, v in self.values.items()}
+
+    def _moved(self, name, gradient, rate, rows=slice(None)) -> None:
+        self.speed[name][rows] += gradient**2
+        self.values[name][rows] -= rate * gradient / np.sqrt(self.speed[name][rows])
+
+    def step(self, vocabulary: np.ndarray, docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+        """One step on a batch: documents are rows of ``vocabulary``, (words, PIECES); gives the buckets that moved."""
+        v = self.values
+        x = np.concatenate([v["emb"][vocabulary].sum(1), np.zeros((1, DIM))])
+        pad = np.full(max(WIDTHS), len(vocabulary))
+        flat = np.concatenate([*(part for d in docs for part in (d, pad)), pad])
+        begins = np.cumsum([0] + [len(d) + len(pad) for d in docs[:-1]])
+        tops, pooled = [], []
+        for w in WIDTHS:
+            last = len(flat) - len(pad)
+            conv = sum((x @ v[w][j])[flat[j : j + last]] for j in range(w))
+            # a window may begin on the one place behind the text
+            top = np.stack([a + conv[a : a + len(d) + 1].argmax(0) for a, d in zip(begins, docs, strict=True)])
+            tops.append(top)
+            pooled.append(np.take_along_axis(conv, top, 0))
+        pre = np.concatenate(pooled, 1) + v["bias"]
+        hidden = np.maximum(pre, 0)
+        p = 1 / (1 + np.exp(-np.clip(hidden @ v["out"] + v["offset"], -30, 30)))
+        error = (p - y) / len(docs)
+        back = error[:, None] * v["out"] * (pre > 0)
+        self._moved("out", hidden.T @ error + 1e-4 * v["out"], 0.02)
+        self._moved("bias", back.sum(0), 0.02)
+        v["offset"] -= 0.1 * error.sum()
+        grad, rows = np.zeros_like(x), []
+        for i, w in enumerate(WIDTHS):
+            part = back[:, i * FILTERS : (i + 1) * FILTERS]
+            step = np.zeros_like(v[w])
+            for j in range(w):
+                at = flat[tops[i] + j]  # (documents, filters)
+                step[j] = np.einsum("dfc,df->cf", x[at], part)
+                np.add.at(grad, at, part[:, :, None] * v[w][j].T[None])
+                rows.append(at.ravel())
+            self._moved(w, step, 0.02)
+        used = np.unique(np.concatenate(rows))
+        used = used[used < len(vocabulary)]
+        buckets, where = np.unique(vocabulary[used].ravel(), return_inverse=True)
+        total = np.zeros((len(buckets), DIM))
+        np.add.at(total, where, np.repeat(grad[used], PIECES, axis=0))
+        total[buckets == PAD] = 0
+        self._moved("emb", total, 0.02, buckets)
+        return buckets
+
+    def network(self) -> Network:
+        v = self.values
+        return Network(v["emb"], {w: v[w] for w in WIDTHS}, v["bias"], v["out"], float(v["offset"][0]), np.zeros(len(_LANGUAGES) + 1))
+
+    def rows(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbered rows of 2 * DIM numbers: embeddings and their speeds by bucket, all other numbers from -1 down."""
+        rest = np.concatenate([a.ravel() for name in self.values if name != "emb" for a in (self.values[name], self.speed[name])])
+        rest = np.pad(rest, (0, -len(rest) % (2 * DIM))).reshape(-1, 2 * DIM)
+        own = np.concatenate([self.values["emb"][buckets], self.speed["emb"][buckets]], 1)
+        return np.concatenate([buckets, -1 - np.arange(len(rest))]), np.concatenate([own, rest])
+
+    def take(self, numbers: np.ndarray, rows: np.ndarray) -> None:
+        """Set the parameters of such rows."""
+        own = numbers >= 0
+        self.values["emb"][numbers[own]], self.speed["emb"][numbers[own]] = rows[own, :DIM], rows[own, DIM:]
+        rest, at = rows[~own][np.argsort(-numbers[~own])].ravel(), 0
+        for name in self.values:
+            for side in (self.values, self.speed):
+                if name != "emb":
+                    side[name] = rest[at : at + side[name].size].reshape(side[name].shape).copy()
+                    at += side[name].size
+
 
+def train(docs: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Network:
+    """Network of documents given as (words, PIECES), in one process."""
+    rng = np.random.default_rng(seed)
+    counts = np.zeros((2, BUCKETS))
+    for ids, label in zip(docs, y, strict=True):
+        counts[label, np.unique(ids)] += 1
+    trainer = Trainer(_log_odds(counts, np.bincount(y, minlength=2)), rng)
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for batch in (order[i : i + BATCH] for i in range(0, len(order), BATCH)):
-            ids = [_padded(docs[i]) for i in batch]
-            ends = np.cumsum([len(x) for x in ids])
-            flat = np.concatenate([*ids, np.full((max(WIDTHS), PIECES), PAD)])
-            x = emb[flat].sum(1)
-            tops, pooled = [], []
-            for w in WIDTHS:
-                conv = sum(x[j : j + ends[-1]] @ filters[w][j] for j in range(w))
-                top = np.stack([a + conv[a:b].argmax(0) for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-                tops.append(top)
-                pooled.append(np.take_along_axis(conv, top, 0))
-            pre = np.concatenate(pooled, 1) + bias
-            hidden = np.maximum(pre, 0)
-            p = 1 / (1 + np.exp(-np.clip(hidden @ out + offset, -30, 30)))
-            error = (p - y[batch]) / len(batch)
-            back = error[:, None] * out * (pre > 0)
-            moved("out", out, hidden.T @ error + 1e-4 * out, 0.02)
-            moved("bias", bias, back.sum(0), 0.02)
-            offset -= 0.1 * error.sum()
-            grad, rows = np.zeros_like(x), []
-            for i, w in enumerate(WIDTHS):
-                part = back[:, i * FILTERS : (i + 1) * FILTERS]
-                step = np.zeros_like(filters[w])
-                for j in range(w):
-                    at = tops[i] + j  # (documents, filters)
-                    step[j] = np.einsum("dfc,df->cf", x[at], part)
-                    np.add.at(grad, at, part[:, :, None] * filters[w][j].T[None])
-                    rows.append(at.ravel())
-                moved(w, filters[w], step, 0.02)
-            used = np.unique(np.concatenate(rows))
-            buckets, where = np.unique(flat[used].ravel(), return_inverse=True)
-            total = np.zeros((len(buckets), DIM))
-            np.add.at(total, where, np.repeat(grad[used], PIECES, axis=0))
-            total[buckets == PAD] = 0
-            moved("emb", emb, total, 0.02, buckets)
-    return Network(emb, filters, bias, out, offset, np.zeros(len(_LANGUAGES) + 1))
+            ends = np.cumsum([len(docs[i]) for i in batch])
+            rows = [np.arange(end - len(docs[i]), end) for i, end in zip(batch, ends, strict=True)]
+            trainer.step(np.concatenate([docs[i] for i in batch]), rows, y[batch])
+    return trainer.network()
 
 
 def logit(model: Network, shares: np.ndarray) -> float:
@@ -206,12 +250,12 @@ class Scorer:
         return logit(self.model, self.shares[rows]) - self.model.cuts[language_of(self.vote[rows])]
 
 
-def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """Logit that splits the classes with the fewest errors by class share; the middle one of equals."""
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
-    false = np.concatenate([[0], np.cumsum(1 - y)]) / max(1, (1 - y).sum())
+def _best_cut(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Logit that splits the classes with the fewest errors by class share, each row ``n`` times; the middle one of equals."""
+    z, at = np.unique(z, return_inverse=True)
+    bad, good = np.bincount(at, n * y), np.bincount(at, n * (1 - y))
+    missed = np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum())
+    false = np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum())
     cost = missed + 1 - false
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     at = int(best[len(best) // 2])
@@ -219,19 +263,23 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((low + high) / 2)
 
 
-def calibrate(model: Network, docs: list[np.ndarray], y: np.ndarray, language: np.ndarray, least: int = 25) -> Network:
-    """Thresholds by language; languages with fewer than ``least`` documents of a class share the common one."""
-    table = model.table()
-    z = np.array([logit(model, table[d].sum(1)) for d in docs])
+def _set_cuts(model: Network, z: np.ndarray, y: np.ndarray, n: np.ndarray, language: np.ndarray, least: int) -> Network:
     if len(set(y.tolist())) == 2:
-        model.cuts[:] = _best_cut(z, y)
+        model.cuts[:] = _best_cut(z, y, n)
         for i in range(len(model.cuts)):
             own = language == i
-            if np.bincount(y[own], minlength=2).min() >= least:
-                model.cuts[i] = _best_cut(z[own], y[own])
+            if np.bincount(y[own], n[own], minlength=2).min() >= least:
+                model.cuts[i] = _best_cut(z[own], y[own], n[own])
     return model
 
 
+def calibrate(model: Network, docs: list[np.ndarray], y: np.ndarray, language: np.ndarray, least: int = 25) -> Network:
+    """Thresholds by language; languages with fewer than ``least`` documents of a class share the common one."""
+    table = model.table()
+    z = np.array([logit(model, table[d].sum(1)) for d in docs])
+    return _set_cuts(model, z, y, np.ones(len(y)), language, least)
+
+
 def bounded(text: str, most: int) -> Column:
     """The whole text, or evenly spread windows of a text of more than ``most`` characters; the first and last are its ends."""
     width = max(1, most // WINDOWS)
@@ -240,25 +288,138 @@ def bounded(text: str, most: int) -> Column:
     return F.when(F.length(text) <= most, F.col(text)).otherwise(windows)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Network:
-    """Network from up to ``per_class`` labelled documents of each class outside the held-out fold.
+class _Words:
+    """Rows of the words' pieces, with a bounded memo."""
+
+    def __init__(self, most: int = MEMO):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.ids = np.zeros((1024, PIECES), np.int32)
 
-    Of documents of more than ``most_chars`` characters the fit reads ``WINDOWS``
-    windows from all over the text, ``most_chars`` characters together, so the
-    driver gets about 2 * per_class * most_chars characters at most.
-    Two thirds train the network, one third calibrates the thresholds. Without
-    both classes the scores stay below the threshold.
+    def full(self) -> bool:
+        return len(self.row) > self.most
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        row = self.row
+        for w in {w for w in words if w not in row}:
+            if len(row) == len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[len(row)] = pieces(w)
+            row[w] = len(row)
+        return np.array([row[w] for w in words], np.int64)
+
+
+def _by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[str, int]]]]:
+    """(text, y) of each run of rows of one task."""
+    rows = ((t, text, y) for b in batches for t, text, y in zip(*(b.column(c).to_pylist() for c in ("task", "text", "y")), strict=True))
+    for task, run in groupby(rows, key=lambda r: r[0]):
+        yield task, ((text, y) for _, text, y in run)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, y, n): documents that hold a bucket; bucket -1 counts the documents."""
+    counts, n, known = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64), _Words()
+    for _, run in _by_task(batches):
+        for text, y in run:
+            if known.full():
+                known.forget()
+            rows = known.rows(list(set(words_of(text))))
+            counts[y, np.unique(known.ids[rows])] += 1
+            n[y] += 1
+    for y in (0, 1):
+        at = np.flatnonzero(counts[y])
+        buckets, totals = np.append(at, -1), np.append(counts[y, at], n[y])
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(buckets, pa.int64()), "y": pa.array(np.full(len(at) + 1, y), pa.int64()), "n": pa.array(totals, pa.int64())})
+
+
+def _trained(trainer: Trainer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over each task's rows from the same start: its parameters that moved, with its number of rows."""
+    for _, run in _by_task(batches):
+        own, known, moved, n = copy.deepcopy(trainer), _Words(), [], 0
+        docs, ys, size = [], [], 0
+
+        def step():
+            words, flat = np.unique(np.concatenate(docs), return_inverse=True)
+            parts = np.split(flat, np.cumsum([len(d) for d in docs])[:-1])
+            moved.append(own.step(known.ids[words], parts, np.array(ys)))
+            docs.clear(), ys.clear()
+
+        for text, y in run:
+            docs.append(known.rows(words_of(text)))
+            ys.append(y)
+            n, size = n + 1, size + len(docs[-1])
+            # a batch ends early on long texts, so that it stays bounded
+            if len(docs) == BATCH or size > BATCH_WORDS:
+                step()
+                size = 0
+                if known.full():
+                    known.forget()
+        if docs:
+            step()
+        numbers, rows = own.rows(np.unique(np.concatenate(moved)))
+        columns = {f"v{k}": pa.array(rows[:, k].astype(np.float32), pa.float32()) for k in range(2 * DIM)}
+        yield pa.RecordBatch.from_pydict({"number": pa.array(numbers, pa.int64()), "n": pa.array(np.full(len(rows), float(n))), **columns})
+
+
+def _logit_counts(model: Network, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, y, bin, n) of the logits, in bins of 1 / BINS."""
+    scorer, found = Scorer(model), Counter()
+    for _, run in _by_task(batches):
+        for text, y in run:
+            rows = scorer._rows(words_of(text))
+            z = min(64.0, max(-64.0, logit(model, scorer.shares[rows])))
+            found[language_of(scorer.vote[rows]), y, math.floor(z * BINS)] += 1
+    keys = list(found)
+    columns = {c: pa.array([k[i] for k in keys], pa.int64()) for i, c in enumerate(("language", "y", "bin"))}
+    yield pa.RecordBatch.from_pydict({**columns, "n": pa.array(list(found.values()), pa.int64())})
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most_chars: int | None = None, rounds: int = ROUNDS, rows_a_task: int = TASK_ROWS) -> Network:
+    """Network from every labelled document outside the held-out fold, fitted where the documents are.
+
+    Two thirds (by a hash of doc_id) train the network, one third calibrates the
+    thresholds. Bucket counts are summed over all training rows. In each round
+    every task passes over its ``rows_a_task`` rows from the same parameters, and
+    what moved is averaged, weighted by rows; the driver sees parameters and
+    counts only. Thresholds come from the counts of all calibration logits in bins of
+    1 / BINS. With ``most_chars`` the fit reads ``WINDOWS`` windows of longer
+    texts. Without both classes the scores stay below the threshold.
     """
-    sample = labelled_sample(docs, labels, "toxic", per_class).where("text IS NOT NULL").withColumn("text", bounded("text", most_chars))
-    rows = sample.toPandas().sort_values("doc_id", kind="stable")
-    found = [tokens(t) for t in rows["text"]]
-    y, language = rows["y"].to_numpy(dtype=np.int64), np.array([f[1] for f in found], np.int64)
-    if len(set(y.tolist())) < 2:
-        k = FILTERS * len(WIDTHS)
-        return Network(np.zeros((BUCKETS, DIM)), {w: np.zeros((w, DIM, FILTERS)) for w in WIDTHS}, np.zeros(k), np.zeros(k), 0.0, np.ones(5))
-    aside = np.arange(len(found)) % 3 == 2
-    model = train([f[0] for f, a in zip(found, aside, strict=True) if not a], y[~aside])
-    return calibrate(model, [f[0] for f, a in zip(found, aside, strict=True) if a], y[aside], language[aside])
+    rows = labelled_texts(docs, labels, "toxic").where("text IS NOT NULL")
+    if most_chars is not None:
+        rows = rows.withColumn("text", bounded("text", most_chars))
+    key = F.xxhash64("doc_id", "text")
+    rows = rows.select((F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 2).alias("aside"), "text", "y", key.alias("_key"))
+    with scratch(docs.sparkSession):
+        sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+        if len(sizes) < 2:
+            k = FILTERS * len(WIDTHS)
+            return Network(np.zeros((BUCKETS, DIM)), {w: np.zeros((w, DIM, FILTERS)) for w in WIDTHS}, np.zeros(k), np.zeros(k), 0.0, np.ones(5))
+        tasks = -(-sum(sizes.values()) // rows_a_task)
+        dealt = rows.withColumn("task", F.pmod(F.col("_key"), F.lit(tasks)).cast("int")).repartition(tasks, "task")
+        dealt = stage(dealt.sortWithinPartitions("aside", "task", "_key").drop("_key"))
+        own, aside = (dealt.where(F.col("aside") == side).select("task", "text", "y") for side in (False, True))
+        found = own.mapInArrow(_bucket_counts, "bucket long, y long, n long").groupBy("bucket", "y").agg(F.sum("n").alias("n")).toPandas()
+        counts, n = np.zeros((2, BUCKETS)), np.zeros(2)
+        held = found[found["bucket"] >= 0]
+        counts[held["y"], held["bucket"]] = held["n"]
+        n[found.loc[found["bucket"] < 0, "y"]] = found.loc[found["bucket"] < 0, "n"]
+        trainer = Trainer(_log_odds(counts, n), np.random.default_rng(11))
+        names = [f"v{k}" for k in range(2 * DIM)]
+        schema = "number long, n double, " + ", ".join(f"{c} float" for c in names)
+        mean = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).cast("float").alias(c) for c in names]
+        for _ in range(rounds):
+            moved = own.mapInArrow(partial(_trained, trainer), schema).groupBy("number").agg(*mean).toPandas()
+            if len(moved):
+                trainer.take(moved["number"].to_numpy(), moved[names].to_numpy(dtype=float))
+        model = trainer.network()
+        z = aside.mapInArrow(partial(_logit_counts, model), "language long, y long, bin long, n long").groupBy("language", "y", "bin").agg(F.sum("n").alias("n")).toPandas()
+    z = z.sort_values(["language", "y", "bin"])
+    middle = (z["bin"].to_numpy(dtype=float) + 0.5) / BINS
+    return _set_cuts(model, middle, z["y"].to_numpy(dtype=np.int64), z["n"].to_numpy(dtype=float), z["language"].to_numpy(dtype=np.int64), 25)
 
 
 def toxicity_score(text: Column, model: Network) -> Column:
@@ -275,13 +436,13 @@ def toxicity_score(text: Column, model: Network) -> Column:
     return run(text)
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def classify_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Add ``score`` and ``predicted`` (1 from a score of 0.5 on) to every document.
 
     NULL and empty texts are scored as texts without words. Repeated rows score
     alike. An empty table stays empty. Columns of these names are replaced;
     labels, lang, source and doc_id are no inputs of a score.
     """
-    model = fit_toxicity(docs, labels, per_class)
+    model = fit_toxicity(docs, labels)
     scored = docs.withColumn("score", toxicity_score(F.col("text"), model))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -170,7 +170,8 @@ def phylip_lines(distances: DataFrame, names: list[str]) -> DataFrame:
     """
     spark = distances.sparkSession
     places = spark.createDataFrame(list(enumerate(names)), "at bigint, name string")
-    pairs = distances.select("a", "b", "distance").union(distances.select("b", "a", "distance"))
+    sides = [F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "distance") for x, y in (("a", "b"), ("b", "a"))]
+    pairs = distances.select(F.explode(F.array(*sides)).alias("p")).select("p.*")
     b_places = places.select(F.col("name").alias("b"), F.col("at").alias("to"))
     cells = pairs.join(b_places, "b").groupBy("a", "to").agg(F.max("distance").cast("string").alias("text"))
     lists = cells.groupBy(F.col("a").alias("name")).agg(F.sort_array(F.collect_list(F.struct("to", "text"))).alias("_cells"))
