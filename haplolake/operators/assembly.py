@@ -232,7 +232,7 @@ def delta_variants(
     base = base.withColumn("reverse", F.col("qry_start") > F.col("qry_end"))
     first_q = F.when(F.col("reverse"), F.col("_qlen") - F.col("qry_start")).otherwise(F.col("qry_start") - 1)
     base = base.withColumn("_r0", (F.col("ref_start") - 1).cast("int")).withColumn("_q0", first_q.cast("int"))
-    base = base.withColumn("_gaps", _fold_offsets())
+    base = stage(base.withColumn("_gaps", _fold_offsets()))
     tail = F.struct(F.lit(0).alias("sign"), F.lit(0).alias("ref"), F.lit(0).alias("qry"), F.lit(0).alias("size"))
     kept = ["sample", "block_id", "ref", "qry", "reverse", "ref_start", "ref_end", "errors", "block_len", "identity", "_r0", "_q0", "_qlen"]
     runs = base.select(*kept, "_gaps", F.posexplode(F.concat("_gaps", F.array(tail))).alias("_i", "_g"))
@@ -252,9 +252,12 @@ def delta_variants(
     hi = F.least(F.col("_r0") + F.col("_sr") + F.col("_n"), (F.col("rblock") + 1) * chunk).cast("int")
     shift = F.col("_q0") + F.col("_sq") - F.col("_r0") - F.col("_sr")
     pieces = pieces.select(*kept, "rblock", lo.alias("lo"), hi.alias("hi"), (lo + shift).cast("int").alias("qlo"))
-    ref_parts = sequence_blocks(ref.withColumn("seq", F.upper("seq")), chunk).select(F.col("contig").alias("ref"), F.col("block").alias("rblock"), F.col("seq").alias("rseq"))
-    both = qry.select("contig", F.upper("seq").alias("seq"), F.explode(F.array(F.lit(False), F.lit(True))).alias("reverse"))
-    both = both.withColumn("seq", F.when(F.col("reverse"), A.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    # both are read several times below; only contigs of reversed blocks are turned
+    ref = stage(ref.select("contig", F.upper("seq").alias("seq")))
+    turned = qry.join(base.filter("reverse").select(F.col("qry").alias("contig")).distinct(), "contig", "left_semi")
+    sides = [side.select("contig", F.upper("seq").alias("seq"), F.lit(back).alias("reverse")) for side, back in ((qry, False), (turned, True))]
+    both = stage(sides[0].unionByName(sides[1].withColumn("seq", A.reverse_complement(F.col("seq")))))
+    ref_parts = sequence_blocks(ref, chunk).select(F.col("contig").alias("ref"), F.col("block").alias("rblock"), F.col("seq").alias("rseq"))
     qry_parts = sequence_blocks(both, chunk, overlap=chunk).select(F.col("contig").alias("qry"), "reverse", F.col("block").alias("qblock"), F.col("seq").alias("qseq"))
     # each query chunk carries the next one as overlap, so a piece needs a single lookup
     pieces = pieces.withColumn("qblock", F.expr(f"qlo div {chunk}").cast("long")).withColumn("rblock", F.col("rblock").cast("long"))
@@ -262,14 +265,14 @@ def delta_variants(
     r = F.substr("rseq", (F.col("lo") - F.col("rblock") * chunk + 1).cast("int"), F.col("hi") - F.col("lo"))
     q = F.substr("qseq", (F.col("qlo") - F.col("qblock") * chunk + 1).cast("int"), F.col("hi") - F.col("lo"))
     met = met.withColumn("_r", r).withColumn("_q", q).filter(F.col("_r") != F.col("_q"))
-    index = F.explode(F.sequence(F.lit(1), F.length("_r"))).alias("_k")
+    # only positions that differ become rows, so a piece's text is not copied once a base
+    bases = F.arrays_zip(F.split("_r", "").alias("r"), F.split("_q", "").alias("a"))
+    told = F.transform(bases, lambda x, i: F.struct((i + 1).alias("k"), x["r"].alias("r"), x["a"].alias("a")))
+    index = F.explode(F.filter(told, lambda x: (x["r"] != x["a"]) & (x["r"] != "") & (x["a"] != ""))).alias("_d")
     common = ["sample", "block_id", "ref", "ref_start", "ref_end", "errors", "block_len", "identity"]
     snps = (
-        met.select(*common, "lo", "_r", "_q", index)
-        .select(
-            *common, (F.col("lo") + F.col("_k")).cast("long").alias("pos"), F.substr("_r", F.col("_k"), F.lit(1)).alias("r"), F.substr("_q", F.col("_k"), F.lit(1)).alias("a")
-        )
-        .filter((F.col("r") != F.col("a")) & (F.col("a") != ""))
+        met.select(*common, "lo", index)
+        .select(*common, (F.col("lo") + F.col("_d.k")).cast("long").alias("pos"), F.col("_d.r").alias("r"), F.col("_d.a").alias("a"))
     )
     # indels: anchor base plus the skipped bases, read from the sequence that has them
     gaps = stretches.filter(F.col("_g.sign") != 0).select(
@@ -280,7 +283,7 @@ def delta_variants(
     ref_len = F.when(F.col("_sign") > 0, F.col("_size") + 1).otherwise(1)
     qry_len = F.when(F.col("_sign") < 0, F.col("_size") + 1).otherwise(1)
     indels = (
-        fetch(gaps.withColumn("contig", F.col("ref")), ref.withColumn("seq", F.upper("seq")), ["contig"], F.col("_gr") - 1, ref_len, "r", chunk)
+        fetch(gaps.withColumn("contig", F.col("ref")), ref, ["contig"], F.col("_gr") - 1, ref_len, "r", chunk)
         .drop("contig")
         .withColumn("contig", F.col("qry"))
     )

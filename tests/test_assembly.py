@@ -81,3 +81,22 @@ def test_position_filter(spark):
     assert sorted(r["pos"] for r in B.drop_ambiguous(rows, blocks).collect()) == [7, 11]
     assert B.filter_blocks(B.block_metrics(spark.createDataFrame([(1, 8, 1, 8, 2)], "ref_start int, ref_end int, qry_start int, qry_end int, errors int")), 90, 0, 0).count() == 0
     assert F.col("x") is not None
+
+
+def test_delta_variants_make_rows_of_differences_alone(spark, monkeypatch):
+    """Forward and reversed blocks; a base that agrees never becomes a row."""
+    plans, stage = [], B.stage
+    monkeypatch.setattr(B, "stage", lambda df, **kw: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df, **kw))
+    ref = "ACGTTGCAAC" * 30
+    changed = ref[:50] + "T" + ref[51:170] + "G" + ref[171:]
+    back = changed[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    blocks = spark.createDataFrame(
+        [("c", "f", 1, 300, 1, 300, 2, []), ("d", "r", 1, 300, 300, 1, 2, [])],
+        "ref string, qry string, ref_start int, ref_end int, qry_start int, qry_end int, errors int, offsets array<int>",
+    )
+    refs = spark.createDataFrame([("c", ref), ("d", ref)], "contig string, seq string")
+    qry = spark.createDataFrame([("f", changed), ("r", back)], "contig string, seq string")
+    got = B.delta_variants(blocks, refs, qry, min_identity=0, min_length=0, max_variants_per_kb=0, chunk=64).collect()
+    want = [(p + 1, ref[p], changed[p]) for p in range(300) if ref[p] != changed[p]]
+    assert want and sorted((r.chrom, r.pos, r["ref"], r.alts[0]) for r in got) == [(c, *w) for c in "cd" for w in want]
+    assert not any("explode(sequence(1, length(" in p for p in plans)
