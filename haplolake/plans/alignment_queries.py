@@ -9,6 +9,7 @@ from haplolake.operators import depth as D
 from haplolake.plans.registry import alignments, contigs, query, strings
 from haplolake.functions import fields as X
 from haplolake.plans.views import view
+from haplolake.session import stage
 
 _V = ("v_alignments",)
 _KEY = "qname, flag, rname, pos, mapq, cigar"
@@ -326,8 +327,8 @@ _COUNTS = _BASES + """, sites AS (SELECT DISTINCT chrom, pos, ref, alt FROM v_va
     _COUNTS,
 )
 def strand_bias(spark, d):
-    sites = view(spark, d, "v_variants").select("chrom", "pos", "ref", F.array("alt").alias("alts"))
-    counts = D.strand_counts(sites, D.pileup(alignments(spark, d), _positions(spark, d)))
+    sites = stage(view(spark, d, "v_variants").select("chrom", "pos", "ref", F.array("alt").alias("alts")))
+    counts = D.strand_counts(sites, D.pileup(alignments(spark, d), sites.withColumnRenamed("chrom", "contig")))
     return D.with_strand_test(counts).select("chrom", "pos", "ref", "alt", "ref_fwd", "ref_rev", "alt_fwd", "alt_rev", F.round("pvalue", 7).alias("pvalue"))
 
 
@@ -397,5 +398,6 @@ def strand_filter(spark, d):
     v = view(spark, d, "v_variants").select(
         "sample", "chrom", "pos", "ref", F.array("alt").alias("alts"), strings().alias("filters"), X.empty_map().alias("info"), F.create_map(F.lit("GT"), F.col("gt")).alias("fmt")
     )
-    out = D.strand_bias(v, D.pileup(alignments(spark, d), _positions(spark, d)), 0.123)
+    v = stage(v)
+    out = D.strand_bias(v, D.pileup(alignments(spark, d), v.withColumnRenamed("chrom", "contig")), 0.123)
     return out.select("sample", "chrom", "pos", "ref", F.array_join("alts", ",").alias("alt"), X.format_filters(F.col("filters")).alias("filter"))

@@ -142,3 +142,14 @@ def test_coverage_gt_hot_position(spark):
     """One start holds most rows: it is one event, not thousands of rows in a window."""
     df = spark.range(5000).select(F.lit("a").alias("contig"), F.lit(10).cast("bigint").alias("start"), F.lit(20).cast("bigint").alias("end"))
     assert [tuple(r) for r in I.coverage_gt(df, 1).collect()] == [("a", 10, 20, 5000)]
+
+
+def test_overlap_join_in_bins_copies_rows_to_the_bins_they_touch_only(spark):
+    """Rows of one bin are not copied at all, and a pair that shares many bins is met once."""
+    a = spark.createDataFrame([("a", s, s + 60, s) for s in range(0, 6400, 64)] + [("a", 10, 6000, -1), ("a", 70, 70, -2)], SCHEMA + ", i int")
+    b = spark.createDataFrame([("a", 0, 6400, 0), ("a", 128, 129, 1)], SCHEMA + ", j int").withColumnsRenamed({"start": "t", "end": "f"})
+    met = I._meetings(a, b, ["contig"], "t", "f", 0, 64)
+    pairs = sorted((r.i, r.j) for r in met.collect())
+    assert pairs == sorted([(s, 0) for s in range(0, 6400, 64)] + [(-1, 0), (-2, 0), (128, 1), (-1, 1)])
+    # no row goes to a bin as one that asks
+    assert "_role" not in met._jdf.queryExecution().analyzed().toString()
