@@ -23,6 +23,9 @@ EXCLUDE_DEFAULT = 1796
 EXCLUDE_BY_QUALITY = 3844
 STALE_TAGS = ("MD", "NM", "SA")
 
+# Bins of the join between spans of reads and intervals.
+SPAN_BIN = 256
+
 
 def has(mask: int, flag: Column | None = None) -> Column:
     """Any of the bits is set."""
@@ -204,10 +207,13 @@ def crop_reads(a: DataFrame, bed: DataFrame) -> DataFrame:
     """Cut reads to intervals: one record per overlapped merged interval.
 
     Clips are dropped, an insertion stays if its reference position is inside,
-    edge deletions are trimmed, and tags that no longer hold are removed.
+    edge deletions are trimmed, and tags that no longer hold are removed. Distinct
+    spans alone are copied to bins and meet the intervals, so texts move once.
     """
     reads = as_intervals(a).filter(F.col("end") > F.col("start"))
-    pairs = overlap_join(reads, merge_intervals(bed)).withColumn("_ops", C.placed(F.col("cigar"), F.col("start")))
+    spans = reads.select("contig", "start", "end").distinct()
+    places = overlap_join(spans, merge_intervals(bed), bin_size=SPAN_BIN)
+    pairs = reads.join(places, ["contig", "start", "end"]).withColumn("_ops", C.placed(F.col("cigar"), F.col("start")))
     lo, hi = F.greatest("start", "start_b").cast("long"), F.least("end", "end_b").cast("long")
     pairs = pairs.withColumn("_lo", lo).withColumn("_hi", hi)
 

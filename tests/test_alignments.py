@@ -132,3 +132,20 @@ def test_base_quality_along_cigars(spark):
     assert got == {"c": (4, (5 * 40 + 20 + 4 * 40 + 20 + 40) / 12), "empty": (0, 0.0)}
     assert {r.meanbaseq for r in D.contig_coverage(a.drop("qual"), contigs).collect()} == {0.0}
     assert L.alignment_stats(a).first()["average_quality"] == (5 * 40 + 20 + 4 * 40 + 20 + 40) / 15
+
+
+def test_crop_reads_moves_texts_once(spark, reads):
+    """Spans are copied to bins, texts are not; repeated reads and reads over several intervals stay as they are."""
+    bed = spark.createDataFrame([("chr1", 5, 20), ("chr1", 700, 710), ("chr1", 900, 2000)], "contig string, start long, end long")
+    a = reads([("x", 0, 1, "1000M", "ACGT" * 250), ("x", 0, 1, "1000M", "ACGT" * 250), ("y", 0, 701, "30M", "T" * 30), ("z", 0, 30, "10M", "A" * 10)])
+    out = L.crop_reads(a, bed)
+    got = sorted((r["qname"], r["pos"], len(r["seq"])) for r in out.collect())
+    assert got == sorted([("x", 6, 15), ("x", 701, 10), ("x", 901, 100)] * 2 + [("y", 701, 10)])
+
+    def copied(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.children().apply(0).output().mkString(",")] if node.nodeName() == "Generate" else []
+        return own + [c for child in below for c in copied(child)]
+
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert copied(plan) and not any("seq#" in c for c in copied(plan))
