@@ -11,6 +11,7 @@ from haplolake.operators import variants as V
 from haplolake.operators.intervals import complement, nearest_distance, variant_windows
 from haplolake.plans.registry import contigs, intervals, keys_of, query, strings, variants
 from haplolake.plans.views import table, view
+from haplolake.session import stage
 
 _LABELS = """soft AS (SELECT *, concat_ws(';', CASE WHEN qual < 100 THEN 'LowQual' END, CASE WHEN dp < 10 THEN 'LowDepth' END,
     CASE WHEN gt IN ('0/1', '1/0', '0|1', '1|0') THEN 'MixedSite' END) AS labels FROM v_variants),
@@ -399,7 +400,7 @@ def compare_truth_in_regions(spark, d):
       busy AS (SELECT sample || '/' || chrom AS k, pos AS s, pos + length(ref) - 1 AS e FROM v_variants)""",
 )
 def add_deletions(spark, d):
-    v = variants(spark, d)
+    v = stage(variants(spark, d))
     names = v.agg(F.sort_array(F.collect_set("sample"))).scalar()
     holes = complement(intervals(spark, d), contigs(spark, d)).withColumn("sample", F.explode(names))
     seqs = contigs(spark, d).select("contig", F.expr("repeat('A', cast(length as int))").alias("seq"))
@@ -432,6 +433,7 @@ def add_deletions_to_texts(spark, d):
         "sample", F.col("contig").alias("chrom"), "pos", F.lit(".").alias("id"), "ref", F.array("alt").alias("alts"), F.lit(None).cast("double").alias("qual"),
         strings().alias("filters"), X.empty_map().alias("info"), F.create_map(F.lit("GT"), F.col("gt")).alias("fmt"), F.col("rec_no").cast("long").alias("rec_no"),
     )
+    v = stage(v)
     seqs = view(spark, d, "v_sequences").filter("n > 0")
     third, middle = F.col("ord") % 3, F.expr("cast(n div 2 + 200 as bigint)")
     lead = F.when(third == 0, F.least("n", 5 + F.col("ord") % 300)).when(third == 2, F.col("n"))
