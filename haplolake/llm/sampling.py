@@ -26,7 +26,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return docs.select("doc_id", "text").join(F.broadcast(one), "doc_id").select("doc_id", "text", "y")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0) -> DataFrame:
-    """``doc_id``, ``text`` and ``y`` of every labelled document outside the held-out fold; an id with both labels counts as 1."""
-    known = labels.where(F.col("doc_id").isNotNull() & (remainder_of(F.col("doc_id")) != held_out) & F.col(label).isin(0, 1))
-    return docs.select("doc_id", "text").join(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "doc_id")
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, tasks: int | None = None) -> DataFrame:
+    """``doc_id``, ``text`` and ``y`` of every labelled document outside the held-out fold; an id with both labels counts as 1.
+
+    With ``tasks`` both sides are dealt by doc_id into so many partitions, which
+    the join keeps: texts are shuffled once, however large the labels are.
+    """
+    used = F.col("doc_id").isNotNull() & (remainder_of(F.col("doc_id")) != held_out)
+    known = labels.where(used & F.col(label).isin(0, 1)).select("doc_id", label)
+    texts = docs.where(used).select("doc_id", "text")
+    if tasks is not None:
+        known, texts = known.repartition(tasks, "doc_id"), texts.repartition(tasks, "doc_id")
+    return texts.join(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")), "doc_id")

@@ -388,19 +388,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most_chars: int | None = No
     1 / BINS. With ``most_chars`` the fit reads ``WINDOWS`` windows of longer
     texts. Without both classes the scores stay below the threshold.
     """
-    rows = labelled_texts(docs, labels, "toxic").where("text IS NOT NULL")
-    if most_chars is not None:
-        rows = rows.withColumn("text", bounded("text", most_chars))
-    key = F.xxhash64("doc_id", "text")
-    rows = rows.select((F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 2).alias("aside"), "text", "y", key.alias("_key"))
+    docs = docs.where("text IS NOT NULL")
     with scratch(docs.sparkSession):
-        sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+        # ids alone are counted; then texts are dealt to the tasks by the shuffle that joins them, and by no other
+        sizes = {r["y"]: r["count"] for r in labelled_texts(docs, labels, "toxic").groupBy("y").count().collect()}
         if len(sizes) < 2:
             k = FILTERS * len(WIDTHS)
             return Network(np.zeros((BUCKETS, DIM)), {w: np.zeros((w, DIM, FILTERS)) for w in WIDTHS}, np.zeros(k), np.zeros(k), 0.0, np.ones(5))
         tasks = -(-sum(sizes.values()) // rows_a_task)
-        dealt = rows.withColumn("task", F.pmod(F.col("_key"), F.lit(tasks)).cast("int")).repartition(tasks, "task")
-        dealt = stage(dealt.sortWithinPartitions("aside", "task", "_key").drop("_key"))
+        rows = labelled_texts(docs, labels, "toxic", tasks=tasks).withColumn("task", F.spark_partition_id())
+        if most_chars is not None:
+            rows = rows.withColumn("text", bounded("text", most_chars))
+        aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(3)) == 2
+        rows = rows.select(aside.alias("aside"), "task", "text", "y", F.xxhash64("doc_id", "text").alias("_key"))
+        dealt = stage(rows.sortWithinPartitions("aside", "task", "_key").drop("_key"))
         own, aside = (dealt.where(F.col("aside") == side).select("task", "text", "y") for side in (False, True))
         found = own.mapInArrow(_bucket_counts, "bucket long, y long, n long").groupBy("bucket", "y").agg(F.sum("n").alias("n")).toPandas()
         counts, n = np.zeros((2, BUCKETS)), np.zeros(2)

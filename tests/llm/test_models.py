@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haplolake.llm import mixing, quality, toxicity
+from haplolake.llm import mixing, quality, sampling, toxicity
 from haplolake.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.1"
@@ -124,3 +124,20 @@ def test_toxicity_learns_from_every_labelled_row(spark):
     # a word of one long text only has weight, so that text was read, and whole
     assert models[0].embedding[toxicity.pieces("zorkish")[0], 0] > 0
     assert np.allclose(models[0].embedding, models[1].embedding, atol=1e-4) and np.allclose(models[0].cuts, models[1].cuts, atol=0.01)
+
+
+def test_labelled_texts_are_dealt_by_the_shuffle_that_joins_them(spark):
+    """Texts are exchanged once, an id's rows come to one partition, and broadcasts being off changes nothing."""
+    docs = spark.createDataFrame([(i % 90 if i else None, f"text {i}") for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3) for i in range(80)] + [(4, 1), (None, 1)], "doc_id long, toxic int")
+    plain = sorted(map(tuple, sampling.labelled_texts(docs, labels, "toxic").collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = sampling.labelled_texts(docs, labels, "toxic", tasks=3)
+        rows = dealt.select("*", F.spark_partition_id().alias("p")).collect()
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.text, r.y) for r in rows) == plain and len(plain) > 30
+    assert len({(r.doc_id, r.p) for r in rows}) == len({r.doc_id for r in rows}) and len({r.p for r in rows}) == 3
+    assert plan.count("Exchange hashpartitioning") == 2
