@@ -130,6 +130,32 @@ def test_best_block_matches_scan(spark):
         assert got[p] == (-max(over)[1] if over else None)
 
 
+def test_block_cells_are_few_and_disjoint(spark):
+    rng = random.Random(10)
+    spans = [(0, 1), (255, 257), (256, 512), (-300, -1), (4095, 8193), (1, 70000)]
+    spans += [(s := rng.randrange(10**6), s + 200 + rng.randrange(300)) for _ in range(50)]
+    df = spark.createDataFrame(spans, "s bigint, e bigint").select("s", "e", I.block_cells(F.col("s"), F.col("e")).alias("cells"))
+    for r in df.collect():
+        parts = sorted((c["low"], c["high"]) for c in r["cells"])
+        assert parts[0][0] == r["s"] and parts[-1][1] == r["e"] and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))
+        assert all(lo >> 8 + 4 * c["level"] == c["cell"] == (hi - 1) >> 8 + 4 * c["level"] for c in r["cells"] for lo, hi in [(c["low"], c["high"])])
+        # cells of single positions were some 22 a block of this length
+        assert r["e"] - r["s"] >= 500 or len(parts) <= 3
+
+
+def test_best_block_on_short_and_crowded_blocks(spark):
+    rng = random.Random(11)
+    blocks = [("c", s := rng.randrange(-300, 900), s + 1 + rng.randrange(600) * rng.randrange(2), rng.randrange(4), i) for i in range(400)] + [(None, 0, 900, 9, 400)]
+    spots = [("c", p) for p in range(-310, 1500, 3)] + [("c", None), (None, 5), ("d", 5)]
+    rank = F.struct("score", (-F.col("no")).alias("n"))
+    found = I.best_block(spark.createDataFrame(spots, "contig string, pos0 bigint"), spark.createDataFrame(blocks, SCHEMA + ", score int, no int"), rank, ["no"])
+    got = {(r["contig"], r["pos0"]): r["no"] for r in found.collect()}
+    assert len(got) == len(spots)
+    for c, p in spots:
+        over = [(sc, -no) for k, s, e, sc, no in blocks if c == k == "c" and p is not None and s <= p < e]
+        assert got[c, p] == (-max(over)[1] if over else None)
+
+
 def test_region_text():
     assert I.parse_region("chr1:5-9") == ("chr1", 5, 9)
     assert I.parse_region("5,9") == (None, 5, 9)
