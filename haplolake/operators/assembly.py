@@ -103,8 +103,9 @@ def annotate_paf(v: DataFrame, paf: DataFrame, keys: tuple[str, ...] = (), **thr
         "ASM_RL_FRAC": share,
         "ASM_EDGE_DIST": edge,
     }
-    out = found.withColumn("_reasons", reasons)
-    info = X.add_reasons(X.put_all(F.col("info"), notes), "ASM_LOWQUAL_REASON", F.col("_reasons"))
+    # a column of its own: written into the next expression, the map would be built for each of its uses there
+    out = found.withColumn("_reasons", reasons).withColumn("info", X.put_all(F.col("info"), notes))
+    info = X.add_reasons(F.col("info"), "ASM_LOWQUAL_REASON", F.col("_reasons"))
     label = F.when(F.size("_reasons") > 0, F.array(F.lit("LowQual"))).otherwise(F.array().cast("array<string>"))
     fmt = F.when(F.map_contains_key("fmt", "DP") | (F.size("fmt") == 0), F.col("fmt")).otherwise(
         F.map_concat(F.map_filter("fmt", lambda k, _v: k != "AO"), F.create_map(F.lit("DP"), F.lit("1"), F.lit("AO"), F.lit("1")))

@@ -67,6 +67,15 @@ def test_paf_annotation(spark, variants):
     assert rows[500]["info"]["ASM_LOWQUAL_REASON"] == "NO_PAF_CONTEXT"
 
 
+def test_paf_notes_are_built_once(spark, variants):
+    p = paf(spark, ("q", "chr1", 0, 100, 0, 100, 60, {"tp": "P", "s1": "100", "s2": "90"}))
+    v = variants([(51, "A", "T")]).withColumn("info", F.create_map(F.lit("ASM_TP"), F.lit("S"), F.lit("ASM_DV"), F.lit("1"), F.lit("DP"), F.lit("3")))
+    out = B.annotate_paf(v, p)
+    (info,) = (r["info"] for r in out.collect())
+    assert (info["ASM_TP"], info["ASM_DV"], info["DP"], info["ASM_S1"]) == ("P", "1", "3", "100")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("map_from_entries(") == 1
+
+
 def test_missing_regions(spark):
     contigs = spark.createDataFrame([("chr1", 100, 0), ("chr2", 50, 1)], "contig string, length bigint, ord int")
     p = paf(spark, ("q", "chr1", 10, 40, 0, 30, 60, {"tp": "P"}), ("q", "chr1", 40, 60, 0, 20, 60, {"tp": "S"}))
