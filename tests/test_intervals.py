@@ -179,3 +179,42 @@ def test_overlap_join_in_bins_copies_rows_to_the_bins_they_touch_only(spark):
     assert pairs == sorted([(s, 0) for s in range(0, 6400, 64)] + [(-1, 0), (-2, 0), (128, 1), (-1, 1)])
     # no row goes to a bin as one that asks
     assert "_role" not in met._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_semi_and_anti_join_against_brute_force(spark, closed):
+    """Blocks in the bin of the end, in far earlier bins and across many; negative, empty and unknown places; rows that repeat."""
+    rng = random.Random(5)
+    rows = [(rng.choice("aab"), s, s + rng.choice([0, 1, 5, 900, 5000])) for s in (rng.randrange(-3000, 60000) for _ in range(600))]
+    rows += [*rows[:40], ("a", -5, 70000), ("a", 69000, 69001), ("z", 1, 9), ("a", None, 5), ("a", 5, None), (None, 1, 2)]
+    blocks = [(rng.choice("ab"), s, s + rng.choice([0, 1, 3, 40])) for s in (rng.randrange(-3000, 60000) for _ in range(150))]
+    blocks += [("a", 20000, 30000), ("b", 100, 50000), ("a", None, 9), (None, 0, 9)]
+    a, b = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], SCHEMA + ", i int"), spark.createDataFrame(blocks, SCHEMA)
+    extra = 1 if closed else 0
+
+    def meets(row, block):
+        if None in row or None in block or row[0] != block[0] or block[2] + extra <= block[1]:
+            return False
+        return row[1] < block[2] + extra and block[1] < row[2] + extra
+
+    want = {i for i, r in enumerate(rows) if any(meets(r, x) for x in blocks)}
+    semi, anti = (I.overlap_join(a, b, how=how, closed=closed) for how in ("left_semi", "left_anti"))
+    assert semi.columns == a.columns
+    assert sorted(r.i for r in semi.collect()) == sorted(want)
+    assert sorted(r.i for r in anti.collect()) == sorted(set(range(len(rows))) - want)
+
+
+def test_semi_join_groups_bins_not_ends(spark, monkeypatch):
+    """5 000 different ends and 300 blocks in ten bins are ten rows of the scan that carries blocks on."""
+    sizes = []
+
+    def counted(df, keys, order, runs, *more):
+        sizes.append(df.count())
+        return running(df, keys, order, runs, *more)
+
+    running = I.running
+    monkeypatch.setattr(I, "running", counted)
+    a = spark.range(5000).select(F.lit("a").alias("contig"), (F.col("id") * 2).alias("start"), (F.col("id") * 2 + 1).alias("end"))
+    b = spark.range(300).select(F.lit("a").alias("contig"), (F.col("id") * 30).alias("start"), (F.col("id") * 30 + 1).alias("end"))
+    assert I.overlap_join(a, b, how="left_semi").count() == 300
+    assert sizes == [10]
