@@ -168,3 +168,14 @@ def test_truth_inside_regions(spark, variants):
     assert r.asDict() == {"sample": "s", "found": 1, "missed": 1, "extra": 0, "found_outside": 1, "missed_outside": 1, "extra_outside": 1}
     (r,) = V.compare_truth(called, truth).collect()
     assert r.asDict() == {"sample": "s", "found": 2, "missed": 2, "extra": 1}
+
+
+def test_trimmed_looks_for_shared_bases_twice_a_record(spark):
+    """One search for the tail and one for the head, however often the parts of the result are used; none where the ends differ."""
+    pairs = [("A", "C"), ("AC", "GT"), ("ACGT", "ACT"), ("AAA", "AA"), ("GAC", "GTC"), ("ACA", "A"), ("", "A"), (None, "AC"), (None, None)]
+    df = spark.createDataFrame(pairs, "ref string, alt string").withColumn("_t", A.trimmed(F.col("ref"), F.col("alt")))
+    used = df.select(F.col("_t.skip").alias("skip"), F.col("_t.ref").alias("r"), F.col("_t.alt").alias("a"), F.length("_t.ref").alias("n"))
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") <= 2
+    assert [tuple(x)[:3] for x in used.collect()] == [
+        (0, "A", "C"), (0, "AC", "GT"), (1, "CG", "C"), (0, "AA", "A"), (1, "A", "T"), (0, "ACA", "A"), (0, "", "A"), (0, None, None), (0, None, None)
+    ]
