@@ -264,7 +264,7 @@ def context_filter(
 
 def _end_of_deletion() -> Column:
     symbolic = F.array_contains("alts", "<DEL>") | F.coalesce(_info("SVTYPE") == "DEL", F.lit(False))
-    return F.when(symbolic, _info("END").try_cast("int"))
+    return F.when(symbolic, _info("END").try_cast("long"))
 
 
 def occupied(v: DataFrame, keys: tuple[str, ...] = ("sample", "chrom")) -> DataFrame:
@@ -282,7 +282,7 @@ def deletion_keys(v: DataFrame, keys: tuple[str, ...] = ("sample", "chrom")) ->
     shown = F.transform(plain, lambda a: F.when(a == "-", F.lit("")).otherwise(a))
     shrunk = F.filter(shown, lambda a: (F.length("ref") > F.length(a)) & F.startswith(F.col("ref"), a))
     ends = F.transform(shrunk, lambda a: (F.col("pos") + F.length("ref") - F.length(a)).cast("long"))
-    every = F.array_distinct(F.concat(ends, X.compact(_end_of_deletion().cast("long"))))
+    every = F.array_distinct(F.concat(ends, X.compact(_end_of_deletion())))
     return v.select(*keys, "pos", F.explode(every).alias("end")).distinct()
 
 
@@ -300,7 +300,7 @@ def add_deletions(
     other, so one anti join against the records decides them all; it also covers
     records that spell the same deletion, because those start at its anchor.
     Reference text is fetched last, in blocks, and only for what is left and starts its contig;
-    a missing sequence is an error there.
+    a missing sequence is an error there. ``seqs`` holds (contig, seq), or (contig, block, seq) in blocks of ``CHUNK`` bases.
     """
     from haplolake.operators.sequences import fetch
 
@@ -321,7 +321,8 @@ def add_deletions(
     ranked = free.withColumn("_at", F.shiftleft(F.coalesce("ord", F.lit((1 << 26) - 1)).cast("long"), 36) + F.col("pos"))
     numbered = running(ranked, ["sample"], "_at", [Run("_no", "sum", F.lit(1).cast("long"))])
     numbered = stage(numbered.select("sample", "chrom", "pos", "_start", "_end", "_need", "_no"))
-    texts = seqs.filter(F.col("seq").isNotNull()).select(F.col("contig").alias("chrom"), "seq")
+    texts = seqs.filter(F.col("seq").isNotNull()).withColumnRenamed("contig", "chrom")
+    texts = texts.select(*[c for c in ("chrom", "block", "seq") if c in texts.columns])
     lead = fetch(numbered.filter(F.col("_start") == 0), texts, ["chrom"], F.lit(0), F.col("_need"), "ref")
     inner = numbered.filter(F.col("_start") > 0)
     numbered = inner.withColumns({"ref": F.lit("N"), "alt": F.lit("<DEL>")}).unionByName(lead.withColumns({"ref": F.upper("ref"), "alt": F.lit("-")}))

@@ -9,6 +9,7 @@ from haplolake.functions import fields as X
 from haplolake.operators import stats as S
 from haplolake.operators import variants as V
 from haplolake.operators.intervals import complement, nearest_distance, variant_windows
+from haplolake.operators.sequences import CHUNK
 from haplolake.plans.registry import contigs, intervals, keys_of, query, strings, variants
 from haplolake.plans.views import table, view
 from haplolake.session import stage
@@ -403,7 +404,9 @@ def add_deletions(spark, d):
     v = stage(variants(spark, d))
     names = v.agg(F.sort_array(F.collect_set("sample"))).scalar()
     holes = complement(intervals(spark, d), contigs(spark, d)).withColumn("sample", F.explode(names))
-    seqs = contigs(spark, d).select("contig", F.expr("repeat('A', cast(length as int))").alias("seq"))
+    # in blocks: a contig may be longer than a text can be
+    blocks = contigs(spark, d).filter("length IS NOT NULL").select("contig", "length", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0L) div {CHUNK})")).alias("block"))
+    seqs = blocks.select("contig", "block", F.expr(f"repeat('A', cast(least(length - block * {CHUNK}, {CHUNK}) as int))").alias("seq"))
     out = V.add_deletions(v, holes, seqs, contigs(spark, d), merged=True).filter(F.map_contains_key("info", "ZERODEPTH"))
     return out.select(
         "sample", "chrom", "pos", "id", F.element_at("info", "END").cast("long").alias("end_"), F.element_at("info", "SVLEN").cast("long").alias("svlen"),

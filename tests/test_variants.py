@@ -121,6 +121,29 @@ def test_deletion_meets_existing_record(spark, variants):
     assert deletions(spark, variants([(565, "A", "G")]), [(560, 570)]) == []
 
 
+def test_add_deletions_on_contigs_longer_than_a_text(spark, tmp_path):
+    from haplolake.plans.catalog import QUERIES
+
+    last = 54_000_000
+    lines = [(k, 3, 1, n, 10.0, "A", "F") for k, n in ((1, 1), (2, 2), (last, 3))]
+    lines = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(last,)], "o_orderkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(5).withColumnRenamed("id", "r_regionkey").write.parquet(str(tmp_path / "region.parquet"))
+    length = last * 40 + 2000
+    assert length > 1 << 31
+    got = {(r["chrom"], r["pos"], r["end_"], r["svlen"], r["alt"]) for r in QUERIES["add_deletions"](spark, str(tmp_path)).collect()}
+    whole = {(c, 1, length, -length, "-") for c in ("chr0", "chr2", "chr3", "chr9")}
+    assert got - whole == {("chr1", last * 40 + 45, length, last * 40 + 45 - length, "<DEL>")}
+    assert whole < got
+
+
+def test_deletions_end_beyond_two_to_the_31(spark, variants):
+    v = variants([(5, "A", "<DEL>", {"SVTYPE": "DEL", "END": "3000000000"})])
+    assert [r["end"] for r in V.occupied(v).collect()] == [3000000000]
+    assert [r["end"] for r in V.deletion_keys(v).collect()] == [3000000000]
+
+
 def test_missing_reference_sequence_is_an_error(spark, variants):
     import pytest
 
