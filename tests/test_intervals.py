@@ -170,6 +170,31 @@ def test_coverage_gt_hot_position(spark):
     assert [tuple(r) for r in I.coverage_gt(df, 1).collect()] == [("a", 10, 20, 5000)]
 
 
+def test_overlap_join_copies_narrow_rows_to_the_cells_they_touch_only(spark):
+    """Widths from 1 to 150 are one level: what is shuffled does not grow with the levels they would have."""
+    a = spark.range(2000).selectExpr("'a' AS contig", "id * 40 AS start", "id * 40 + 1 + id % 2 AS end", "id AS i")
+    b = spark.range(2000).selectExpr("'a' AS contig", "id * 40 + 7 AS start", "id * 40 + 10 + id % 148 AS end", "id AS j")
+    got = I.overlap_join(a, b)
+    left, right = a.collect(), b.collect()
+    want = sorted((x["i"], y["j"]) for x in left for y in right if x["start"] < y["end"] and y["start"] < x["end"])
+    assert sorted(map(tuple, got.select("i", "j").collect())) == want
+    # the rows of both sides below the join
+    met = I._meetings(a, b.withColumnsRenamed({"start": "t", "end": "f"}), ["contig"], "t", "f", 0, None)
+    copies = [side.count() for side in _sides(met)]
+    assert copies[0] < 1.1 * 2000 and copies[1] < 1.5 * 2000
+
+
+def _sides(joined):
+    """Both inputs of the join below."""
+    plan = joined._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    of = joined.sparkSession._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    from pyspark.sql import DataFrame
+
+    return [DataFrame(of(joined.sparkSession._jsparkSession, side), joined.sparkSession) for side in (plan.left(), plan.right())]
+
+
 def test_overlap_join_in_bins_copies_rows_to_the_bins_they_touch_only(spark):
     """Rows of one bin are not copied at all, and a pair that shares many bins is met once."""
     a = spark.createDataFrame([("a", s, s + 60, s) for s in range(0, 6400, 64)] + [("a", 10, 6000, -1), ("a", 70, 70, -2)], SCHEMA + ", i int")
