@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,29 @@ def test_snp_distances_add_up_in_one_task(spark):
     assert K.snp_distances(msa.limit(0)).count() == 0
 
 
+def test_sites_of_few_differences_send_their_pairs_and_no_copies(monkeypatch):
+    """Cells of a thin site are not copied to all tiles: what leaves is 4 bytes a differing pair."""
+    import pyarrow as pa
+
+    # 64 tiles; 300 sites of ten members, of which one differs, and one site of 4 000 members half by half
+    rows = [(0, place, (7 * place + 13 * k) % 64 << 16 | k, 65 + (k == place % 10)) for place in range(300) for k in range(10)]
+    rows += [(0, 300, k % 64 << 16 | k, 65 + 2 * (k // 64 % 2)) for k in range(4000)]
+    names = ("block", "place", "who", "base")
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=list(names))
+    monkeypatch.setattr(K, "TOGETHER", 1000)
+    out = [r for b in K._pack_cells(64, iter([batch])) for r in b.to_pylist()]
+    pairs, crowded = [r for r in out if r["tile"] < 0], [r for r in out if r["tile"] >= 0]
+    assert sum(len(r["cells"]) for r in pairs) == 300 * 9 * 4 and all(0 <= r["i"] <= r["j"] and r["block"] >= K.PAIRS for r in pairs)
+    assert len(crowded) == 64 and sum(len(r["cells"]) for r in crowded) == 4000 * 5
+    want = sorted(tuple(sorted((x, y))) for _, p, x, b in rows for _, q, y, c in rows[10 * p : 10 * p + 10] if p == q < 300 and b < c)
+    got = []
+    for r in pairs:
+        at = np.frombuffer(r["cells"], "<u4").tolist()
+        got += [tuple(sorted((r["i"] << 16 | a >> 16, r["j"] << 16 | a & 0xFFFF))) for a in at]
+    assert sorted(got) == want
+
+
 def test_small_cohort_uses_mad(spark):
     values = dict(zip("abcdef", (99.0, 85.0, 83.0, 80.0, 10.0, 35.0)))
     df = spark.createDataFrame([("reference", 100.0), *((f"sample_{k}", v) for k, v in values.items())], "sequence string, aligned double")
