@@ -166,15 +166,18 @@ def phylip_lines(distances: DataFrame, names: list[str]) -> DataFrame:
     """(at, value) of a square matrix: the count at -1, then one line per name; a pair without a distance has 0.
 
     A line is filled from the cells that are there, ordered by place, so the plan
-    does not grow with the names; the line itself does.
+    does not grow with the names; the line itself does. Cells are gathered once, by
+    line; the names, which the caller holds, are broadcast. Of repeated pairs the largest counts.
     """
     spark = distances.sparkSession
     places = spark.createDataFrame(list(enumerate(names)), "at bigint, name string")
     sides = [F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "distance") for x, y in (("a", "b"), ("b", "a"))]
     pairs = distances.select(F.explode(F.array(*sides)).alias("p")).select("p.*")
     b_places = places.select(F.col("name").alias("b"), F.col("at").alias("to"))
-    cells = pairs.join(b_places, "b").groupBy("a", "to").agg(F.max("distance").cast("string").alias("text"))
-    lists = cells.groupBy(F.col("a").alias("name")).agg(F.sort_array(F.collect_list(F.struct("to", "text"))).alias("_cells"))
+    lists = pairs.join(F.broadcast(b_places), "b").groupBy(F.col("a").alias("name")).agg(F.sort_array(F.collect_list(F.struct("to", "distance"))).alias("_all"))
+    # the last of a place is its largest
+    final = F.filter("_all", lambda c, i: ~F.coalesce(F.get("_all", i + 1)["to"] == c["to"], F.lit(False)))
+    lists = lists.select("name", F.transform(final, lambda c: F.struct(c["to"].alias("to"), c["distance"].cast("string").alias("text"))).alias("_cells"))
     rows = places.join(lists, "name", "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<to:bigint,text:string>>")))
     # the zeros before each cell, up to the one before it
     before = F.concat(F.array(F.lit(-1).cast("bigint")), F.transform("_cells", lambda c: c["to"]))

@@ -174,6 +174,21 @@ def test_scan_and_manifest(spark, tmp_path):
     assert m["b.fa"]["size"] == "5 B" and m["b.fa"]["description"] == "sequence" and len(m["b.fa"]["md5"]) == 32
 
 
+def test_phylip_cells_are_dealt_out_once(spark):
+    """A cell goes to its line at once, also without broadcasts by size; of repeated pairs the largest counts."""
+    d = spark.createDataFrame([("a", "b", 3), ("b", "a", 10), ("a", "b", 9), ("a", "c", 4), ("x", "a", 7)], "a string, b string, distance bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = IO.phylip_lines(d, ["a", "b", "c"])
+        plan = lines._jdf.queryExecution().sparkPlan().toString() + lines._jdf.queryExecution().executedPlan().toString()
+        assert [r["value"] for r in lines.orderBy("at").collect()] == ["3", "a\t0\t10\t4", "b\t10\t0\t0", "c\t4\t0\t0"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = plan.split("AdaptiveSparkPlan")[-1].count("Exchange hashpartitioning")
+    assert dealt <= 2, plan
+
+
 def test_writers(spark, tmp_path):
     bed = spark.createDataFrame([("b", 5, 9), ("a", 3, 5), ("a", 5, 7)], "contig string, start bigint, end bigint")
     IO.write_bed(bed, str(tmp_path / "bed"))
